@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from quillwork.llm.bpe_tree import op4_byte_bpe
+from quillwork.llm.decontam import op7_benchmark_ngrams
 from quillwork.llm.divergence import op5_distribution_divergence
 
 QUERIES = {
+    "op4_byte_bpe": op4_byte_bpe,
     "op5_distribution_divergence": op5_distribution_divergence,
+    "op7_benchmark_ngrams": op7_benchmark_ngrams,
 }
 ORACLES: dict[str, str] = {}
