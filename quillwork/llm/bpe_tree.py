@@ -19,6 +19,7 @@ don't matter.
 from __future__ import annotations
 
 import base64
+import heapq
 from array import array
 from collections.abc import Callable, Iterator
 
@@ -37,10 +38,13 @@ from quillwork.llm.common import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Bytes up to which a run is encoded directly.
 LEAF = 16
+NO_RANK = 1 << 60
+#: Bytes from which pairs are kept in a heap.
+LONG = 96
 #: Tokens up to which a run is decoded directly.
 DECODE_LEAF = 1024
 #: Pieces that a worker keeps, and the longest of them in characters.
-KEPT_PIECES = 150_000
+KEPT_PIECES = 300_000
 KEPT_LENGTH = 48
 
 
@@ -60,16 +64,50 @@ class TreeCodec:
 
     def merge(self, data: bytes) -> list[int]:
         """Plain greedy merging, for short runs: the pair of lowest rank first, leftmost on ties."""
-        if data in self.ranks:
-            return [self.ranks[data]]
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            best = min(range(len(parts) - 1), key=lambda i: self.ranks.get(parts[i] + parts[i + 1], 1 << 60))
-            joined = parts[best] + parts[best + 1]
-            if joined not in self.ranks:
-                break
-            parts[best : best + 2] = [joined]
-        return [self.ranks[p] for p in parts]
+        ranks = self.ranks
+        if (whole := ranks.get(data)) is not None:
+            return [whole]
+        if len(data) > LONG:
+            return self.merge_long(data)
+        rank = ranks.get
+        cuts = list(range(len(data) + 1))
+        pairs = [rank(data[i : i + 2], NO_RANK) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) != NO_RANK:
+            i = pairs.index(least)
+            del cuts[i + 1], pairs[i]
+            if i < len(pairs):
+                pairs[i] = rank(data[cuts[i] : cuts[i + 2]], NO_RANK)
+            if i:
+                pairs[i - 1] = rank(data[cuts[i - 1] : cuts[i + 1]], NO_RANK)
+        return [ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
+
+    def merge_long(self, data: bytes) -> list[int]:
+        """The same with a heap of pairs, for windows that had to grow."""
+        rank, n = self.ranks.get, len(data)
+        after, before = list(range(1, n + 2)), list(range(-1, n + 1))
+        pairs = [rank(data[i : i + 2], NO_RANK) for i in range(n - 1)] + [NO_RANK, NO_RANK]
+        heap = [(r, i) for i, r in enumerate(pairs) if r != NO_RANK]
+        heapq.heapify(heap)
+        while heap:
+            r, i = heapq.heappop(heap)
+            if pairs[i] != r:
+                continue
+            gone = after[i]
+            after[i] = end = after[gone]
+            before[end] = i
+            pairs[gone] = NO_RANK
+            for j in (i, before[i]):
+                if j >= 0 and (k := after[j]) < n:
+                    pairs[j] = rank(data[j : after[k]], NO_RANK)
+                    if pairs[j] != NO_RANK:
+                        heapq.heappush(heap, (pairs[j], j))
+                elif j >= 0:
+                    pairs[j] = NO_RANK
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[data[i : after[i]]])
+            i = after[i]
+        return out
 
     def stable(self, left: int, right: int) -> bool:
         """Whether the two tokens, side by side, encode to themselves."""
