@@ -5,10 +5,12 @@ from __future__ import annotations
 from quillwork.llm.bpe_tree import op4_byte_bpe
 from quillwork.llm.decontam import op7_benchmark_ngrams
 from quillwork.llm.divergence import op5_distribution_divergence
+from quillwork.llm.simhash import op8_simhash_pigeonring
 
 QUERIES = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op7_benchmark_ngrams": op7_benchmark_ngrams,
+    "op8_simhash_pigeonring": op8_simhash_pigeonring,
 }
 ORACLES: dict[str, str] = {}
