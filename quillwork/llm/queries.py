@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from quillwork.llm import url_trust
 from quillwork.llm.bpe_tree import op4_byte_bpe
 from quillwork.llm.decontam import op7_benchmark_ngrams
 from quillwork.llm.divergence import op5_distribution_divergence
+from quillwork.llm.pairwise_quality import op3_bradley_terry
 from quillwork.llm.simhash import op8_simhash_pigeonring
+from quillwork.llm.url_trust import op1_link_trust
 
 QUERIES = {
+    "op1_link_trust": op1_link_trust,
+    "op3_bradley_terry": op3_bradley_terry,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_distribution_divergence": op5_distribution_divergence,
     "op7_benchmark_ngrams": op7_benchmark_ngrams,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_link_trust": url_trust.ORACLE}

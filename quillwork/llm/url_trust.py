@@ -3,8 +3,9 @@
 Rules of the form host/path-prefix judge the URLs that they fit. They also seed the hosts: a
 host is trusted by the share of its pages that rules allow and distrusted by the share that
 they block. Trust flows along the links as personalised PageRank, distrust flows against them
-from blocked hosts to those that link there, and a host is blocked when distrust is more than
-SHARE of both. Pages without a rule take their host's verdict.
+from blocked hosts to those that link there. A host is blocked when distrust is more than SHARE
+of both and at least FLOOR of what a wholly blocked host starts with, so a few blocked pages
+don't condemn their host. Pages without a rule take their host's verdict.
 
 Each step joins the flow of the last step, one row per host, with the host edges and sums it
 per target, so a hub is summed before the shuffle and a hub's edges may be split.
@@ -32,6 +33,7 @@ RULES = [
 DAMPING = 0.85
 STEPS = 20
 SHARE = 0.5
+FLOOR = 0.25
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'<>\s]+)"""
 
 
@@ -86,7 +88,7 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, step
     return total.groupBy("host").agg(*both.values())
 
 
-def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, share: float = SHARE) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, share: float = SHARE, floor: float = FLOOR) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for each of the pages."""
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     ruled = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("own", longest_rule(F.col("host"), F.col("path"), rules))
@@ -95,7 +97,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, share: fl
     scores = propagate(host_edges(pages.select("url", "html")), seeds.where("host != ''"))
     joined = ruled.join(scores, "host", "left").na.fill(0.0, ["trust", "distrust"])
     guilt = F.round(F.try_divide("distrust", F.col("trust") + F.col("distrust")), 6)
-    fallback = F.when(guilt > share, "block").otherwise("allow")
+    fallback = F.when((guilt > share) & (F.round("distrust", 6) >= floor), "block").otherwise("allow")
     return joined.select("page_id", "host", "path", F.col("own.rule").alias("rule"), F.coalesce("own.verdict", fallback).alias("verdict"), F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
 
 
@@ -136,7 +138,7 @@ scores AS (
   SELECT host, coalesce(sum(flow) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(flow) FILTER (kind = 'distrust'), 0) AS distrust
   FROM walk GROUP BY host)
 SELECT page_id, host, path, rule,
-  coalesce(own, CASE WHEN round(distrust / nullif(trust + distrust, 0), 6) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
+  coalesce(own, CASE WHEN round(distrust / nullif(trust + distrust, 0), 6) > 0.5 AND round(distrust, 6) >= 0.25 THEN 'block' ELSE 'allow' END) AS verdict,
   round(coalesce(trust, 0), 6) AS trust, round(coalesce(distrust, 0), 6) AS distrust
 FROM ruled LEFT JOIN scores USING (host)
 """
