@@ -44,7 +44,7 @@ LONG = 96
 #: Tokens up to which a run is decoded directly.
 DECODE_LEAF = 1024
 #: Pieces that a worker keeps, and the longest of them in characters.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 200_000
 KEPT_LENGTH = 48
 
 
@@ -153,13 +153,16 @@ def _codec(shared: Broadcast) -> tuple[TreeCodec, dict[str, bytes]]:
     return _worker[1], _worker[2]
 
 
-def encoder(spark: SparkSession, path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> Callable[[Column], Column]:
-    """A function from a text column to its token ids (array of int), without special tokens.
+def vocabulary(spark: SparkSession, path: str | None = None) -> Broadcast:
+    """The ranks of a vocabulary file, read by the driver and broadcast.
 
-    path: a vocabulary file of byte-level ranks, read by the driver and broadcast; it holds one
-    row per token, 50,256 in the default one.
+    It holds one row per token, 50,256 in the default one.
     """
-    shared = spark.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
+    return spark.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
+
+
+def encoder(shared: Broadcast, pattern: str = public_tokenizers.PATTERN) -> Callable[[Column], Column]:
+    """A function from a text column to its token ids (array of int), without special tokens."""
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -175,7 +178,7 @@ def encoder(spark: SparkSession, path: str | None = None, pattern: str = public_
             return ids
 
         for texts in batches:
-            rows = [b"".join([kept.get(p) or piece(p) for p in cut(t)]) if t else b"" for t in texts.to_pylist()]
+            rows = [b"".join([kept.get(p) or piece(p) for p in cut(t)]) if (t := text.as_py()) else b"" for text in texts]
             offsets = np.zeros(len(rows) + 1, np.int32)
             np.cumsum([len(r) // 4 for r in rows], out=offsets[1:])
             yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(rows), np.int32)))
@@ -183,25 +186,24 @@ def encoder(spark: SparkSession, path: str | None = None, pattern: str = public_
     return lambda text: encode(F.make_valid_utf8(text))
 
 
-def decoder(spark: SparkSession, path: str | None = None) -> Callable[[Column], Column]:
+def decoder(shared: Broadcast) -> Callable[[Column], Column]:
     """A function from token ids to the bytes that they stand for; null ids give no bytes."""
-    shared = spark.sparkContext.broadcast(read_ranks(path or public_tokenizers.path(VOCABULARY)))
 
     @F.arrow_udf(T.BinaryType())
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec, _ = _codec(shared)
         for ids in batches:
-            flat, ends = ids.flatten().to_pylist(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))
+            flat, ends = ids.flatten().to_numpy(), np.cumsum(pc.fill_null(pc.list_value_length(ids), 0))
             starts = [0, *ends[:-1]]
-            yield pa.array([codec.decode(flat[a:b]) for a, b in zip(starts, ends)], pa.binary())
+            yield pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(starts, ends)], pa.binary())
 
     return decode
 
 
 def tokenize(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with ``ids``, the token ids of the text, and ``decoded``, the bytes they decode to."""
-    encode, decode = encoder(docs.sparkSession, path), decoder(docs.sparkSession, path)
-    return docs.withColumn("ids", encode(F.col("text"))).withColumn("decoded", decode(F.col("ids")))
+    shared = vocabulary(docs.sparkSession, path)
+    return docs.withColumn("ids", encoder(shared)(F.col("text"))).withColumn("decoded", decoder(shared)(F.col("ids")))
 
 
 def digests(docs: DataFrame) -> DataFrame:
