@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from quillwork.llm import url_trust
+from quillwork.llm import chat_snapshots, revisits, url_trust
 from quillwork.llm.bpe_tree import op4_byte_bpe
+from quillwork.llm.chat_snapshots import op10_snapshot_collapse
 from quillwork.llm.decontam import op7_benchmark_ngrams
 from quillwork.llm.divergence import op5_distribution_divergence
+from quillwork.llm.line_dedup import op6_fuzzy_lines
 from quillwork.llm.pairwise_quality import op3_bradley_terry
+from quillwork.llm.revisits import op9_revisit_asof
 from quillwork.llm.simhash import op8_simhash_pigeonring
+from quillwork.llm.surrogates import op2_surrogates
 from quillwork.llm.url_trust import op1_link_trust
 
 QUERIES = {
     "op1_link_trust": op1_link_trust,
+    "op2_surrogates": op2_surrogates,
     "op3_bradley_terry": op3_bradley_terry,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_distribution_divergence": op5_distribution_divergence,
+    "op6_fuzzy_lines": op6_fuzzy_lines,
     "op7_benchmark_ngrams": op7_benchmark_ngrams,
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
+    "op9_revisit_asof": op9_revisit_asof,
+    "op10_snapshot_collapse": op10_snapshot_collapse,
+}
+ORACLES = {
+    "op1_link_trust": url_trust.ORACLE,
+    "op9_revisit_asof": revisits.ORACLE,
+    "op10_snapshot_collapse": chat_snapshots.ORACLE,
 }
-ORACLES = {"op1_link_trust": url_trust.ORACLE}
