@@ -1,14 +1,16 @@
-"""Constraint checks on code: (code, answer) to a boolean, never null, false for what is unknown.
+"""Constraint checks on code: (code, facts, answer) to a boolean, never null, false for what is unknown.
 
-Python checks take the facts of python_facts; the others take code without comments. How an
-answer is written depends on the constraint and is given in each docstring.
+Python checks take the facts of python_facts; the others take code without comments. The answer
+is a struct as ``parsed`` gives it; how its text is written depends on the constraint and is
+given in each docstring.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import bracket_list, contains_number, extract_code, last_segment, level_check, quoted_list, strip, strip_comments
@@ -50,6 +52,14 @@ OTHER_SYNTAX = {
 }
 
 
+def _spellings(lower: bool) -> Column:
+    def cased(x: str) -> str:
+        return x.lower() if lower else x
+
+    rows = [(f"{language}:{cased(kind)}", [cased(s) for s in names]) for language, kinds in SPELLINGS.items() for kind, names in kinds.items()]
+    return F.from_json(F.lit(json.dumps(dict(rows))), "map<string,array<string>>")
+
+
 def sure(check: Column) -> Column:
     return F.coalesce(check, F.lit(False))
 
@@ -58,9 +68,11 @@ def part(answer: Column, i: int) -> Column:
     return F.try_element_at(F.split(answer, ";"), F.lit(i))
 
 
-def language_of(answer: Column) -> Column:
+def parsed(answer: Column) -> Column:
+    """An answer's parts as a struct: language in one spelling, first as written, second, third."""
     name = F.lower(strip(part(answer, 1)))
-    return F.when(name.isin("c++", "cpp"), "cpp").when(name.isin("c#", "csharp"), "csharp").when(name.isin("js", "javascript"), "javascript").otherwise(name)
+    language = F.when(name.isin("c++", "cpp"), "cpp").when(name.isin("c#", "csharp"), "csharp").when(name.isin("js", "javascript"), "javascript").otherwise(name)
+    return F.struct(language.alias("language"), part(answer, 1).alias("first"), part(answer, 2).alias("second"), part(answer, 3).alias("third"), answer.alias("whole"))
 
 
 def _any(names: Column, wanted: Column) -> Column:
@@ -69,14 +81,14 @@ def _any(names: Column, wanted: Column) -> Column:
 
 def calls_function(code: Column, facts: Column, answer: Column) -> Column:
     """language;name: the code calls it. Of a qualified name the last segment counts."""
-    name = last_segment(part(answer, 2))
-    return sure(F.when(language_of(answer) == "python", _any(facts["calls"], name)).otherwise(_any(code_facts.calls(code), name)))
+    name = last_segment(answer["second"])
+    return sure(F.when(answer["language"] == "python", _any(facts["calls"], name)).otherwise(_any(code_facts.calls(code), name)))
 
 
 def uses_library(code: Column, facts: Column, answer: Column) -> Column:
     """language;library. Python: ``import a.b`` has to be equal, of ``from a.b`` the head counts.
     Elsewhere the library stands anywhere in an import's path."""
-    name, language = part(answer, 2), language_of(answer)
+    name, language = answer["second"], answer["language"]
     python = _any(facts["imports"], name) | _any(facts["heads"], name)
     other = F.exists(code_facts.import_paths(code, language), lambda p: F.contains(p, name))
     known = language.isin("javascript", "typescript", "go", "rust")
@@ -85,7 +97,7 @@ def uses_library(code: Column, facts: Column, answer: Column) -> Column:
 
 def uses_syntax(code: Column, facts: Column, answer: Column) -> Column:
     """language;feature, of a closed list."""
-    language, feature = language_of(answer), F.lower(part(answer, 2))
+    language, feature = answer["language"], F.lower(answer["second"])
     out = F.lit(False)
     for name, kinds in PYTHON_KINDS.items():
         out = F.when((language == "python") & (feature == name), F.arrays_overlap(facts["kinds"], F.array(*[F.lit(k) for k in kinds]))).otherwise(out)
@@ -108,15 +120,9 @@ def _type_fits(written: Column, wanted: Column, language: Column) -> Column:
         .when(language == "cpp", (F.contains(written, F.lit("vector")) & (deep >= 2)) | F.contains(written, F.lit("[")))
         .otherwise(F.contains(written, F.lit("Vec")) & (deep >= 2))
     )
-    named = F.lit(False)
-    for tongue, types in SPELLINGS.items():
-        for kind, spellings in types.items():
-            fits = F.lit(False)
-            for s in spellings:
-                fits = fits | (written.startswith(s) if tongue == "python" else F.contains(written, F.lit(s)))
-            if (tongue, kind) == ("cpp", "List"):
-                fits = fits | F.contains(written, F.lit("["))
-            named = F.when((language == tongue) & (wanted == kind), fits).otherwise(named)
+    spelled = _spellings(False)[F.concat_ws(":", language, wanted)]
+    named = F.exists(spelled, lambda x: F.when(language == "python", F.startswith(written, x)).otherwise(F.contains(written, x)))
+    named = named | ((language == "cpp") & (wanted == "List") & F.contains(written, F.lit("[")))
     return (
         F.when(wanted == "Matrix", matrix)
         .when(wanted == "Tree", F.contains(low, F.lit("tree")))
@@ -132,7 +138,7 @@ def _signatures(facts: Column, name: Column) -> Column:
 
 def input_type(code: Column, facts: Column, answer: Column) -> Column:
     """language;function;type: a parameter of the function has the type."""
-    language, name, wanted = language_of(answer), part(answer, 2), part(answer, 3)
+    language, name, wanted = answer["language"], answer["second"], answer["third"]
     python = F.exists(F.flatten(F.transform(_signatures(facts, name), lambda s: s["parameters"])), lambda p: (p != "None") & _type_fits(p, wanted, language))
     other = F.exists(code_facts.parameters(code, language, name), lambda p: _type_fits(p, wanted, language))
     return sure(F.when(language == "python", python).when(language.isin("java", "cpp", "rust"), other))
@@ -140,7 +146,7 @@ def input_type(code: Column, facts: Column, answer: Column) -> Column:
 
 def output_type(code: Column, facts: Column, answer: Column) -> Column:
     """language;function;type: the function returns the type."""
-    language, name, wanted = language_of(answer), part(answer, 2), part(answer, 3)
+    language, name, wanted = answer["language"], answer["second"], answer["third"]
     python = F.exists(_signatures(facts, name), lambda s: _type_fits(s["returns"], wanted, language))
     other = _type_fits(code_facts.returned(code, language, name), wanted, language)
     return sure(F.when(language == "python", python).when(language.isin("java", "cpp", "rust"), other))
@@ -159,13 +165,7 @@ def _place_fits(written: Column, wanted: Column, language: Column) -> Column:
     )
     deep = F.length(written) - F.length(F.translate(written, "<", ""))
     listed = written.rlike("List|Array|vector|Vec") & (deep >= 2)
-    spelled = F.lit(False)
-    for tongue, types in SPELLINGS.items():
-        for kind, spellings in types.items():
-            fits = F.lit(False)
-            for s in spellings:
-                fits = fits | F.contains(low, F.lit(s.lower()))
-            spelled = F.when((language == tongue) & (want == kind.lower()), fits).otherwise(spelled)
+    spelled = F.exists(_spellings(True)[F.concat_ws(":", language, want)], lambda x: F.contains(low, x))
     other = (
         F.when(F.contains(want, F.lit("matrix")), F.when(language == "java", listed & ~F.contains(written, F.lit("[][]"))).otherwise(listed | F.contains(written, F.lit("["))))
         .when(F.contains(want, F.lit("graph")), F.when(language == "java", F.contains(low, F.lit("graph")) & ~F.contains(low, F.lit("adj"))).otherwise(low.rlike("graph|adj")))
@@ -177,7 +177,7 @@ def _place_fits(written: Column, wanted: Column, language: Column) -> Column:
 
 def input_order(code: Column, facts: Column, answer: Column) -> Column:
     """language;function;[A,B]: as many parameters, each of its place's type."""
-    language, name, wanted = language_of(answer), part(answer, 2), bracket_list(part(answer, 3))
+    language, name, wanted = answer["language"], answer["second"], bracket_list(answer["third"])
     python = F.element_at(F.transform(_signatures(facts, name), lambda s: s["parameters"]), 1)
     python = F.when(F.size(_signatures(facts, name)) > 0, python)
     found = F.when(language == "python", python).otherwise(code_facts.parameters(code, language, name))
@@ -194,7 +194,7 @@ def same_outputs(found: Column, wanted: Column) -> Column:
 def output_order(code: Column, facts: Column, answer: Column) -> Column:
     """language;function;[A,B]. Python looks into the first brackets of the annotation, up to the
     first closing one."""
-    language, name, wanted = language_of(answer), part(answer, 2), bracket_list(part(answer, 3))
+    language, name, wanted = answer["language"], answer["second"], bracket_list(answer["third"])
     written = F.when(F.size(_signatures(facts, name)) > 0, F.element_at(F.transform(_signatures(facts, name), lambda s: s["returns"]), 1))
     python = F.when(written.rlike(r"\[.*?\]"), F.transform(F.split(F.regexp_extract(written, r"\[(.*?)\]", 1), ","), strip))
     other = F.transform(F.split(F.regexp_replace(code_facts.returned(code, language, name), r"^\(+|\)+$", ""), ","), strip)
@@ -204,7 +204,7 @@ def output_order(code: Column, facts: Column, answer: Column) -> Column:
 
 def structure_type(code: Column, facts: Column, answer: Column) -> Column:
     """language;structure. Python: structures that are called or imported; elsewhere type names."""
-    language, name = language_of(answer), F.lower(part(answer, 2))
+    language, name = answer["language"], F.lower(answer["second"])
     python = F.array_contains(F.transform(facts["structures"], F.lower), name)
     base = F.regexp_replace(F.substring_index(name, "::", -1), "<.*$", "")
     other = F.array_contains(F.transform(code_facts.words(code), F.lower), base)
@@ -214,41 +214,40 @@ def structure_type(code: Column, facts: Column, answer: Column) -> Column:
 def structure_size(code: Column, facts: Column, answer: Column) -> Column:
     """language;structure;n. The digits of n stand anywhere in the code. In Rust and Go a structure
     with capitals in its name never passes."""
-    language, name, n = language_of(answer), part(answer, 2), strip(part(answer, 3)).try_cast("int")
+    language, name, n = answer["language"], answer["second"], strip(answer["third"]).try_cast("int")
     odd = language.isin("rust", "go") & (name != F.lower(name))
     return sure(structure_type(code, facts, answer) & contains_number(code, n) & ~odd)
 
 
 def structure_operation(code: Column, facts: Column, answer: Column) -> Column:
     """language;structure;['f','g']: the structure is there and every operation is called."""
-    called = F.when(language_of(answer) == "python", facts["calls"]).otherwise(code_facts.calls(code))
-    return sure(structure_type(code, facts, answer) & F.forall(quoted_list(part(answer, 3)), lambda o: F.array_contains(called, last_segment(o))))
+    called = F.when(answer["language"] == "python", facts["calls"]).otherwise(code_facts.calls(code))
+    return sure(structure_type(code, facts, answer) & F.forall(quoted_list(answer["third"]), lambda o: F.array_contains(called, last_segment(o))))
 
 
 def level_passes(code: Column, facts: Column, answer: Column) -> Column:
     """The check of a multi-level answer: type, size or operation by its form."""
-    cut = F.regexp_replace(answer, "^;+|;+$", "")
-    kind = level_check(answer)
+    kind = level_check(answer["whole"])
     return (
-        F.when(kind == "operation", structure_operation(code, facts, cut))
-        .when(kind == "size", structure_size(code, facts, cut))
-        .otherwise(structure_type(code, facts, cut))
+        F.when(kind == "operation", structure_operation(code, facts, answer))
+        .when(kind == "size", structure_size(code, facts, answer))
+        .otherwise(structure_type(code, facts, answer))
     )
 
 
 def naming_convention(code: Column, facts: Column, answer: Column) -> Column:
     """language;class:A,function:B,variable:C."""
-    python = language_of(answer) == "python"
+    python = answer["language"] == "python"
     classes = F.regexp_extract_all(code, F.lit(r"\b(?:class|struct|interface|enum|trait|object|type)\s+(\w+)"), F.lit(1))
     functions = F.regexp_extract_all(code, F.lit(r"\b(?:fn|func|fun|function)\s+(\w+)|[\w>\]]\s+(\w+)\s*\([^()]*\)\s*\{"), F.lit(1))
     functions = F.array_remove(F.concat(functions, F.regexp_extract_all(code, F.lit(r"[\w>\]]\s+(\w+)\s*\([^()]*\)\s*\{"), F.lit(1))), "")
     pick = lambda field, other: F.when(python, facts[field]).otherwise(other)
-    return sure(layout_checks.naming(pick("classes", classes), pick("functions", functions), pick("words", code_facts.words(code)), part(answer, 2)))
+    return sure(layout_checks.naming(pick("classes", classes), pick("functions", functions), pick("words", code_facts.words(code)), answer["second"]))
 
 
 def syntax_tree(code: Column, facts: Column, answer: Column) -> Column:
     """Whether the code parses. Known for Python alone; other languages give false."""
-    return sure((language_of(answer) == "python") & facts["parsed"])
+    return sure((answer["language"] == "python") & facts["parsed"])
 
 
 Check = Callable[[Column, Column, Column], Column]
@@ -264,27 +263,31 @@ CHECKS: dict[str, Check] = {
     "size": structure_size,
     "operation": structure_operation,
     "naming_convention": naming_convention,
-    "indentation_spacing": lambda code, facts, answer: layout_checks.check_indentation(code, answer),
-    "brace_block_formatting": lambda code, facts, answer: layout_checks.check_braces(code, answer),
-    "comment_formatting": lambda code, facts, answer: sure(layout_checks.comment_style(code, part(answer, 1), part(answer, 2), facts["documented"])),
+    "indentation_spacing": lambda code, facts, answer: layout_checks.check_indentation(code, answer["whole"]),
+    "brace_block_formatting": lambda code, facts, answer: layout_checks.check_braces(code, answer["whole"]),
+    "comment_formatting": lambda code, facts, answer: sure(layout_checks.comment_style(code, answer["first"], answer["second"], facts["documented"])),
+    "level": level_passes,
     "ast_syntax": syntax_tree,
 }
 #: Checks on the code as it is; the others take it without comments.
 RAW = {"library", "comment_formatting", "brace_block_formatting", "indentation_spacing", "ast_syntax"}
 
 
-def check_rows(df, response: str = "response", answer: str = "answer", constraint: str = "constraint"):
+def check_rows(df: DataFrame, response: str = "response", answer: str = "answer", constraint: str = "constraint") -> DataFrame:
     """df with generated_code, is_matched and error_message by the constraint of each row.
 
-    Code of other languages isn't parsed; an unknown constraint is false and says so.
+    Code of other languages isn't parsed; an unknown constraint is false and says so. The checks
+    stand in one CASE over the constraint, so each row runs its own only.
     """
-    out = df.withColumn("generated_code", extract_code(F.col(f"`{response}`")))
-    out = out.withColumn("_facts", code_facts.python_facts(F.when(language_of(F.col(answer)) == "python", F.col("generated_code"))))
-    bare = strip_comments(F.col("generated_code"), part(F.col(answer), 1))
+    text = F.regexp_replace(F.col(f"`{answer}`"), "^;+|;+$", "")
+    out = df.withColumn("generated_code", extract_code(F.col(f"`{response}`"))).withColumn("_answer", parsed(text))
+    python = F.col("_answer.language") == "python"
+    out = out.withColumn("_bare", strip_comments(F.col("generated_code"), F.col("_answer.first")))
+    out = out.withColumn("_facts", code_facts.python_facts(F.when(python, F.col("generated_code"))))
     matched = F.lit(False)
     for name, check in CHECKS.items():
-        code = F.col("generated_code") if name in RAW else bare
-        matched = F.when(F.col(constraint) == name, check(code, F.col("_facts"), F.col(answer))).otherwise(matched)
-    known = F.col(constraint).isin(list(CHECKS))
-    error = F.when(~sure(known), "unknown constraint").when(language_of(F.col(answer)) == "python", F.col("_facts.error"))
-    return out.withColumn("is_matched", sure(matched)).withColumn("error_message", error).drop("_facts")
+        code = F.col("generated_code") if name in RAW else F.col("_bare")
+        matched = F.when(F.col(f"`{constraint}`") == name, check(code, F.col("_facts"), F.col("_answer"))).otherwise(matched)
+    known = F.col(f"`{constraint}`").isin(list(CHECKS))
+    error = F.when(~sure(known), "unknown constraint").when(python, F.col("_facts.error"))
+    return out.withColumn("is_matched", sure(matched)).withColumn("error_message", error).drop("_facts", "_answer", "_bare")
