@@ -49,7 +49,7 @@ def canonical(url: Column) -> Column:
 def headers_of(pairs: Column) -> Column:
     """A map of lower-case names to values from an array of (name, value) structs; the last of equals."""
     named = F.transform(F.coalesce(pairs, F.array().cast("array<struct<name:string,value:string>>")), lambda p: F.struct(ascii_lower(p["name"]).alias("name"), p["value"].alias("value")))
-    last = F.filter(named, lambda p, i: p["name"].isNotNull() & ~F.exists(F.slice(named, i + 2, F.size(named)), lambda q: q["name"] == p["name"]))
+    last = F.filter(named, lambda p, i: p["name"].isNotNull() & ~F.exists(F.slice(named, i + 2, F.size(named)), lambda q: q["name"].eqNullSafe(p["name"])))
     return F.map_from_entries(last)
 
 

@@ -259,6 +259,12 @@ def written(mention: Column, surrogates: Column, key: str = KEY) -> Column:
         counted = F.transform(parts, lambda c, i: F.when(c != " ", F.substring(letters, F.length(F.replace(F.array_join(F.slice(parts, 1, i + 1), ""), F.lit(" "), F.lit(""))), F.lit(1))).otherwise(c))
         return F.array_join(counted, "")
 
+    def address(new: Column) -> Column:
+        """Capitals before the @ where the mention has only capitals there."""
+        local = F.substring_index(mention, "@", 1)
+        upper = local.rlike("[A-Z]") & ~local.rlike("[a-z]")
+        return F.when(upper, F.concat_ws("@", F.upper(F.substring_index(new, "@", 1)), F.substring_index(new, "@", -1))).otherwise(new)
+
     def person(token: Column) -> Column:
         new = surrogates[F.concat(F.lit("name:"), F.lower(_stem(token)))]
         cased = F.when((token == F.upper(token)) & (F.length(token) > 1), F.upper(new)).otherwise(F.initcap(new))
@@ -268,7 +274,7 @@ def written(mention: Column, surrogates: Column, key: str = KEY) -> Column:
         kind = e["kind"]
         new = surrogates[F.concat(kind, F.lit(":"), e["canonical"])]
         return (
-            F.when(kind == "email", F.when(mention == F.upper(mention), F.upper(new)).otherwise(new))
+            F.when(kind == "email", address(new))
             .when(kind.isin(*DIGIT_KINDS), refit(new))
             .when(kind == "iban", spaced(new))
             .otherwise(new)
