@@ -250,8 +250,15 @@ def syntax_tree(code: Column, facts: Column, answer: Column) -> Column:
     return sure((answer["language"] == "python") & facts["parsed"])
 
 
+def written_in(code: Column, facts: Column, answer: Column) -> Column:
+    """language: the guess by keywords is that language. An approximation."""
+    guess = code_facts.guess_language(code)
+    return sure(F.lower(strip(answer["first"])) == guess)
+
+
 Check = Callable[[Column, Column, Column], Column]
 CHECKS: dict[str, Check] = {
+    "language_type": written_in,
     "advanced_syntax": uses_syntax,
     "function": calls_function,
     "library": uses_library,
@@ -270,7 +277,7 @@ CHECKS: dict[str, Check] = {
     "ast_syntax": syntax_tree,
 }
 #: Checks on the code as it is; the others take it without comments.
-RAW = {"library", "comment_formatting", "brace_block_formatting", "indentation_spacing", "ast_syntax"}
+RAW = {"language_type", "library", "comment_formatting", "brace_block_formatting", "indentation_spacing", "ast_syntax"}
 
 
 def check_rows(df: DataFrame, response: str = "response", answer: str = "answer", constraint: str = "constraint") -> DataFrame:

@@ -111,6 +111,28 @@ def _top_level(text: Column) -> Column:
     return F.transform(F.split(inner, ","), lambda s: F.trim(F.translate(s, "\u0001", ",")))
 
 
+#: Patterns that speak for a language; the one with most of them in the code is the guess.
+SIGNS = {
+    "python": [r"(?m)^\s*def \w+\(.*\)[^{;]*:", r"(?m)^\s*(?:from \S+ )?import \w[\w., ]*$", r"\bself\b", r"(?m)^\s*(?:elif|except|with|class) ?.*:\s*$", r"\bNone\b|\bTrue\b"],
+    "java": [r"\bpublic (?:static |final )*(?:class|void|int|String)\b", r"\bSystem\.out\.", r"\bimport java", r"\bnew \w+(?:<.*>)?\(", r"\bString\b"],
+    "javascript": [r"\b(?:const|let|var) \w+ =", r"=>", r"\bconsole\.log\(", r"\bfunction\b", r"===|\brequire\("],
+    "typescript": [r"\b(?:const|let) \w+: \w+", r"\binterface \w+ \{", r": (?:string|number|boolean)\b", r"=>", r"\bexport\b"],
+    "rust": [r"\bfn \w+", r"\blet mut\b", r"\bimpl\b", r"\buse \w+::", r"\bprintln!|->"],
+    "go": [r"(?m)^package \w+", r"\bfunc \w*", r":=", r"\bfmt\.", r"(?m)^import [(\"]"],
+    "c++": [r"#include <(?:iostream|vector|string|map)>", r"\bstd::", r"\bcout\b", r"\btemplate\s*<", r"\bnamespace\b"],
+    "c": [r"#include <std\w+\.h>", r"\bprintf\(", r"\bint main\(", r"\bmalloc\(", r"\bstruct \w+ \*?\w"],
+    "c#": [r"\busing System", r"\bnamespace \w+", r"\bConsole\.Write", r"\bpublic (?:static )?\w+ \w+\(", r"\bstring\b"],
+    "kotlin": [r"\bfun \w+\(", r"\bval \w+", r"\bprintln\(", r"\bdata class\b", r"\bwhen\b"],
+}
+
+
+def guess_language(code: Column) -> Column:
+    """A guess by keywords, an approximation; null where nothing speaks for any language."""
+    scores = [F.struct(sum((code.rlike(p).cast("int") for p in patterns), F.lit(0)).alias("n"), F.lit(-i).alias("i"), F.lit(name).alias("name")) for i, (name, patterns) in enumerate(SIGNS.items())]
+    best = F.array_max(F.array(*scores))
+    return F.when(best["n"] > 0, best["name"])
+
+
 def _first(text: Column, pattern: Column) -> Column:
     """The first group of a pattern that is put together from columns."""
     return F.call_function("regexp_extract", text, pattern, F.lit(1))

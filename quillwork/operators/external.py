@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillwork.functions.text import is_error
 from quillwork.operators.lineage import durable
@@ -27,7 +28,7 @@ def from_client(prompts: DataFrame, connect: Callable[[], Client], column: str =
     A call is tried again up to ``tries`` times; the last error is a value, not a failure. Waiting
     between the tries is the client's affair. Rows stay as they are and in their order.
     """
-    schema = prompts.schema.add("response", "string").add("error", "string")
+    schema = T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = connect()
