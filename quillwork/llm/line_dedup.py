@@ -3,10 +3,9 @@
 Lines are compared in their normal form, lower-cased A-Z without outer white space. Equal normal
 forms are one line from the start, known by a 128-bit hash. Then:
 
-1. Signatures. Character shingles that run from the beginning of a word INTO_NEXT characters into
-   the next word are hashed and sorted; a line with few words for its length takes the shingles
-   of SPARSE_SHINGLE characters at every character. Each of BANDS bands has ROWS minima: the
-   smallest hashes from the band's start on the ring of hash values (one-permutation MinHash).
+1. Signatures. All shingles of SHINGLE characters are hashed and sorted. Each of BANDS bands has
+   ROWS minima: the smallest hashes from the band's start on the ring of hash values
+   (one-permutation MinHash). Lines of few shingles have the bands of a second ring as well.
    Bands are chosen for high recall at SIMILARITY.
 2. Candidates. Lines with a band in common are held against the leader of that bucket, so a
    bucket costs rows in proportion to its size. The distance, 1 - Jaccard, is a metric: a member
@@ -36,15 +35,13 @@ from quillwork.llm.common import ascii_lower, connected_components, durable, let
 
 SIMILARITY = 0.8
 SHINGLE = 5
-INTO_NEXT = 3
-SPARSE_SHINGLE = 8
 BANDS = 8
 ROWS = 3
-#: The same for dividing the members of a crowded bucket.
+#: Lines of up to so many distinct shingles have the bands of a second ring.
+FEW = 32
+#: The same for finer bands.
 FINER_BANDS = 16
 FINER_ROWS = 5
-#: A line with fewer word beginnings than one in so many characters is sampled at every character.
-SPARSE = 16
 #: Buckets of up to so many lines compare their pairs directly after the first round.
 SMALL_BUCKET = 24
 #: Rounds with leaders before what is left of a bucket compares its pairs directly.
@@ -54,7 +51,7 @@ LEADER_ROUNDS = 4
 HOT_SAMPLE = 32
 HOT_SHARE = 1000
 HOT_LEAST = 32
-TOP = (1 << 63) - 1
+TOP, LEAST = (1 << 63) - 1, -(1 << 63)
 #: Pairs whose samples are less similar than this aren't verified.
 SAMPLE_SIMILARITY = 0.5
 #: Bits of the candidates' bitmap for each of them, and at most; a part holds 32,768 bits.
@@ -81,37 +78,52 @@ def shingles(line: Column, size: int = SHINGLE) -> Column:
 
 
 def sample(line: Column) -> Column:
-    """Sorted distinct hashes, 63 bits each, of the shingles that a signature looks at."""
-    plus = F.lit(TOP)
-
-    def at_words(words: Column) -> Column:
-        follow = F.slice(words, F.lit(2), F.size(words))
-        each = F.zip_with(words, follow, lambda w, f: F.xxhash64(w, F.left(f, F.lit(INTO_NEXT))).bitwiseAND(plus))
-        every = F.transform(shingles(line, SPARSE_SHINGLE), lambda s: F.xxhash64(s).bitwiseAND(plus))
-        return F.when(F.size(words) * SPARSE < F.length(line), every).otherwise(each)
-
-    return F.array_distinct(F.sort_array(let(F.split(line, " "), at_words)))
+    """Sorted distinct 64-bit hashes of all of a line's shingles."""
+    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    hashes = F.transform(F.when(F.length(line) > SHINGLE, every).otherwise(F.array(line)), lambda s: F.xxhash64(s))
+    return F.array_sort(F.array_distinct(hashes))
 
 
 def band_keys(hashes: Column, n: int, rows: int) -> Column:
     """n band keys of a line's sample."""
+    starts = F.array(*[F.lit(LEAST + 2 * (TOP // n) * i) for i in range(n)])
+
+    def keys(h: Column, ring: Column, placed: Column) -> Column:
+        """Each band takes the hashes from its start on, around the ring.
+
+        placed: the hashes with the starts among them, in order.
+        """
+        before = F.transform(starts, lambda s, i: (F.array_position(placed, s) - 1 - i).cast("int"))
+        return F.transform(before, lambda p, i: F.xxhash64(i, *[F.get(ring, p + k) for k in range(rows)]))
+
+    def rings(h: Column) -> Column:
+        return let(F.concat(h, *[F.slice(h, 1, rows)] * rows), lambda ring: let(F.array_sort(F.concat(h, starts)), lambda placed: keys(h, ring, placed)))
 
-    def keys(h: Column, ring: Column) -> Column:
-        """Each band takes the hashes from its start on, around the ring."""
-        starts = F.array(*[F.size(F.filter(h, lambda x: x < F.lit(TOP // n * i))) for i in range(n)])
-        return F.transform(starts, lambda p, i: F.xxhash64(i, *[F.get(ring, p + k) for k in range(rows)]))
+    return let(hashes, rings)
 
-    return let(hashes, lambda h: let(F.concat(h, *[F.slice(h, 1, rows)] * rows), lambda ring: keys(h, ring)))
+
+def again(hashes: Column) -> Column:
+    """Other hashes of the same sample, sorted."""
+    return F.array_sort(F.transform(hashes, lambda h: F.xxhash64(F.lit("finer"), h)))
 
 
 def bands(line: Column) -> Column:
-    return band_keys(sample(line), BANDS, ROWS)
+    """The band keys of a line; those of a line with FEW shingles or fewer come from two rings.
+
+    One more shingle can change all bands of a short line's ring, hardly those of both. All
+    lines have the keys of the first ring, so lines on both sides of FEW meet there.
+    """
+    none = F.array().cast("array<bigint>")
+
+    def both(h: Column) -> Column:
+        return F.concat(band_keys(h, BANDS, ROWS), F.when(F.size(h) <= FEW, band_keys(again(h), BANDS, ROWS)).otherwise(none))
+
+    return let(sample(line), both)
 
 
 def finer_bands(hashes: Column) -> Column:
-    """Band keys of more rows, by other hashes of the same sample."""
-    again = F.transform(hashes, lambda h: F.xxhash64(F.lit("finer"), h).bitwiseAND(F.lit(TOP)))
-    return band_keys(F.sort_array(again), FINER_BANDS, FINER_ROWS)
+    """Band keys of more rows. No link depends on them; the tests measure their recall."""
+    return band_keys(again(hashes), FINER_BANDS, FINER_ROWS)
 
 
 def identified(docs: DataFrame) -> DataFrame:
