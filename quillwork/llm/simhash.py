@@ -12,8 +12,8 @@ Components of the links come from distributed star contraction.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other. Rows
 that repeat a doc_id each have their own fingerprint; a null doc_id is a member but never a
-component's id unless nothing else is in it, and components without an id are one group when
-one row of each is kept.
+component's id unless nothing else is in it. One row of each component is kept, whether it has
+an id or not.
 """
 
 from __future__ import annotations
@@ -130,12 +130,15 @@ def links(fingerprints: DataFrame) -> DataFrame:
 
 
 def label(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) for every fingerprint of the rows (doc_id, fp)."""
+    """(fp, root, component_id) for every fingerprint of the rows (doc_id, fp).
+
+    root is the component's smallest fingerprint, component_id its smallest doc_id, null without any.
+    """
     groups = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     roots = connected_components(links(groups)).withColumnRenamed("node", "fp")
     placed = groups.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     ids = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return placed.join(ids, "root").select("fp", "component_id")
+    return placed.join(ids, "root").select("fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -144,7 +147,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*columns).alias("row"), F.col("doc_id"), F.monotonically_increasing_id().alias("rid"), fingerprint(F.col("text")).alias("fp"))
     rows = stored(rows)
     slim = rows.select("doc_id", "fp", "rid").join(label(rows.select("doc_id", "fp")), "fp")
-    keepers = slim.groupBy("component_id").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))).alias("rid"))
+    keepers = slim.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))).alias("rid"))
     return rows.join(keepers.select("rid"), "rid", "left_semi").select("row.*")
 
 
