@@ -39,3 +39,15 @@ def test_recall_of_one_letter_edits(spark):
             if line != other and jaccard(line, other) >= 0.8:
                 pairs.append((line, other))
         assert missed(spark, pairs) <= 3, words
+
+
+def test_no_break_at_a_line_length(spark, make_docs):
+    """One character more, near 16 characters a word and where the second ring of bands ends."""
+    pairs = [("internationalize", "internationalized"), ("https://ab.cd/e/fg", "https://ab.cd/e/fgh"), ("漢字仮名交文之一二三四五六七八九十", "漢字仮名交文之一二三四五六七八九十百")]
+    rng = random.Random(3)
+    letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    pairs += [(line := " ".join(letters[16 * i : 16 * i + 15 + (i == n - 1) * 2] for i in range(n)), line + "s") for n in (1, 2, 3)]
+    pairs += [(letters[:n], letters[: n + 1]) for n in (line_dedup.FEW + line_dedup.SHINGLE + k for k in (-2, -1, 0))]
+    assert all(jaccard(*p) >= 0.8 for p in pairs) and missed(spark, pairs) == 0
+    rows = [(10 * k + i, line) for k, pair in enumerate(pairs) for i, line in enumerate(pair)]
+    assert results(dedup_lines(make_docs(rows))) == brute(rows)
