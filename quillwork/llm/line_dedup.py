@@ -7,17 +7,15 @@ forms are one line from the start, known by a 128-bit hash. Then:
    ROWS minima: the smallest hashes from the band's start on the ring of hash values
    (one-permutation MinHash). Lines of few shingles have the bands of a second ring as well.
    Bands are chosen for high recall at SIMILARITY.
-2. Candidates. Lines with a band in common are held against the leader of that bucket, so a
-   bucket costs rows in proportion to its size. The distance, 1 - Jaccard, is a metric: a member
-   at distance x from the leader can't link to one whose distance from the leader differs by
-   more than 1 - SIMILARITY. Only members that may link to another part of the bucket, one that
-   the leaders haven't joined to theirs, stay for the next round. Small buckets compare such
-   pairs directly; crowded ones are divided by finer bands and go on, and what is left after
-   LEADER_ROUNDS compares its pairs directly. No link that a component needs and whose lines
-   share a bucket to the end is lost.
-3. Verification. Exact Jaccard similarity of the sets of all SHINGLE-character shingles, each pair
-   once. A pair whose signature shingles are less than half alike isn't verified; like the bands,
-   that is part of the estimate, and the tests measure the recall of both.
+2. Candidates. Lines with a band in common are compared if the sizes of their shingle sets and
+   a bitmap of each allow the similarity; no pair that has it fails these bounds. Crowded buckets
+   are held against a leader first. The distance, 1 - Jaccard, is a metric: a member at distance
+   x from the leader can't link to one whose distance from the leader differs by more than
+   1 - SIMILARITY. Only members that may link to another part of the bucket, one that the leaders
+   haven't joined to theirs, stay for the next round. What is left after LEADER_ROUNDS is compared
+   pair by pair. No link that a component needs and whose lines share a bucket is lost.
+3. Verification. Exact Jaccard similarity of the sets of all SHINGLE-character shingles, each
+   candidate pair once.
 4. Distributed union-find over the links; the first line of each component (by doc_id, then row
    and position) stays, in the place where it stands.
 
@@ -42,7 +40,7 @@ FEW = 32
 #: The same for finer bands.
 FINER_BANDS = 16
 FINER_ROWS = 5
-#: Buckets of up to so many lines compare their pairs directly after the first round.
+#: Buckets of up to so many lines compare their pairs directly, without a leader.
 SMALL_BUCKET = 24
 #: Rounds with leaders before what is left of a bucket compares its pairs directly.
 LEADER_ROUNDS = 4
@@ -52,8 +50,10 @@ HOT_SAMPLE = 32
 HOT_SHARE = 1000
 HOT_LEAST = 32
 TOP, LEAST = (1 << 63) - 1, -(1 << 63)
-#: Pairs whose samples are less similar than this aren't verified.
+#: The tests hold the samples of linked lines against this; nothing is decided by it.
 SAMPLE_SIMILARITY = 0.5
+#: Parts of 64 bits of a line's bitmap of shingles.
+MAPS = 4
 #: Bits of the candidates' bitmap for each of them, and at most; a part holds 32,768 bits.
 BITS_EACH = 16
 MOST_PARTS = 8192
@@ -108,7 +108,11 @@ def again(hashes: Column) -> Column:
 
 
 def bands(line: Column) -> Column:
-    """The band keys of a line; those of a line with FEW shingles or fewer come from two rings.
+    return bands_of(sample(line))
+
+
+def bands_of(hashes: Column) -> Column:
+    """The band keys of a sample; those of a line with FEW shingles or fewer come from two rings.
 
     One more shingle can change all bands of a short line's ring, hardly those of both. All
     lines have the keys of the first ring, so lines on both sides of FEW meet there.
@@ -118,7 +122,7 @@ def bands(line: Column) -> Column:
     def both(h: Column) -> Column:
         return F.concat(band_keys(h, BANDS, ROWS), F.when(F.size(h) <= FEW, band_keys(again(h), BANDS, ROWS)).otherwise(none))
 
-    return let(sample(line), both)
+    return let(hashes, both)
 
 
 def finer_bands(hashes: Column) -> Column:
@@ -145,19 +149,49 @@ def exploded(docs: DataFrame) -> DataFrame:
     return lines.withColumn("id", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(1), "line"))
 
 
+def marks(hashes: Column) -> Column:
+    """(size, map) of a sample: how many hashes it has, and their bitmap of MAPS parts.
+
+    A bit is set if an odd number of hashes fall on it, so long lines don't fill the map. Each
+    hash in one of two samples only changes one bit, so the maps never differ in more bits than
+    the samples differ in hashes.
+    """
+    parts = [F.lit(LEAST + 2 * (TOP // MAPS) * i) for i in range(MAPS)]
+
+    def bits(h: Column) -> Column:
+        return F.aggregate(h, F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+    def cut(h: Column) -> Column:
+        def whole(placed: Column) -> Column:
+            at = F.array(*[(F.array_position(placed, p) - i).cast("int") for i, p in enumerate(parts)], F.size(h) + 1)
+            return let(at, lambda a: F.array(*[bits(F.slice(h, F.get(a, F.lit(i)), F.get(a, F.lit(i + 1)) - F.get(a, F.lit(i)))) for i in range(MAPS)]))
+
+        return let(F.array_sort(F.concat(h, F.array(*parts))), whole)
+
+    return F.struct(F.size(hashes).alias("size"), cut(hashes).alias("map"))
+
+
+def maybe_similar(x: Column, y: Column, similarity: float) -> Column:
+    """Whether lines with these marks can reach the similarity: no pair that does fails this.
+
+    Two sets of Jaccard similarity s or more have sizes of ratio s or more and differ in at most
+    (1 - s) / (1 + s) of the sum of their sizes.
+    """
+    sizes = F.least(x["size"], y["size"]) >= F.lit(similarity - EPSILON) * F.greatest(x["size"], y["size"])
+    differing = sum((F.bit_count(F.get(x["map"], F.lit(i)).bitwiseXOR(F.get(y["map"], F.lit(i)))) for i in range(MAPS)), F.lit(0))
+    return sizes & (differing <= F.lit((1 - similarity) / (1 + similarity) + EPSILON) * (x["size"] + y["size"]))
+
+
 def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with ``d``, one minus the exact Jaccard similarity, null for pairs whose samples
-    already differ too much. texts: (id, line, sample)."""
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"), F.col("sample").alias("sample_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"), F.col("sample").alias("sample_b"))
-    both = pairs.join(left, "a").join(right, "b")
+    """pairs (a, b) with ``d``, one minus the exact Jaccard similarity. texts: (id, line)."""
+    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
 
     def jaccard(x: Column, y: Column) -> Column:
         return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
     exact = let(shingles(F.col("line_a")), lambda x: let(shingles(F.col("line_b")), lambda y: jaccard(x, y)))
-    close = jaccard(F.col("sample_a"), F.col("sample_b")) >= SAMPLE_SIMILARITY
-    return both.select("a", "b", F.when(close | (F.size("sample_a") < ROWS) | (F.size("sample_b") < ROWS), 1 - exact).alias("d"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", (1 - exact).alias("d"))
 
 
 def possible(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -201,31 +235,33 @@ def buckets(signed: DataFrame) -> DataFrame:
 def similar_lines(signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(a, b) links: enough for the components of all similar lines that share a bucket.
 
-    signed: (id, bands), one row per line. lines: (id, line), any number of rows per line.
+    signed: (id, bands, marks), one row per line. lines: (id, line), any number of rows per line.
     """
     reach = 1 - similarity + EPSILON
-    members = durable(buckets(signed).withColumn("part", F.col("id")))
-    wanted = durable(members.select("id").distinct())
-    # an inner join, since a semi-join would be moved below the bitmap's
-    texts = possible(lines, wanted).join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))
-    texts = stored(texts.select("id", "line", sample(F.col("line")).alias("sample")))
-    known = None
+    marked = signed.select("id", "marks")
+    members = durable(buckets(signed).withColumn("part", F.col("id")).withColumn("d", F.lit(None).cast("double")))
+    known, texts = None, None
     for turn in range(LEADER_ROUNDS + 1):
-        if turn:  # what is left of small buckets, and of all at the end, is compared pair by pair
-            small = members.where((F.col("n") <= SMALL_BUCKET) if turn < LEADER_ROUNDS else F.lit(True)).select("key", "id", "part", "d")
-            other = small.select("key", F.col("id").alias("b"), F.col("part").alias("part_b"), F.col("d").alias("d_b"))
-            # both distances are from one leader, so they bound that of the pair from below
-            open_pair = "id < b and part != part_b and coalesce(abs(d - d_b), 0) <= " + repr(reach)
-            pairs = small.join(other, "key").where(open_pair).select(F.col("id").alias("a"), "b").distinct()
-            known = _verified(pairs, known, texts)
-            members = members.where(F.col("n") > SMALL_BUCKET)
-            if turn == LEADER_ROUNDS or members.isEmpty():
-                break
-            if turn == 1:
-                members = divided(members, texts)
+        # small buckets, and what is left of all at the end, are compared pair by pair
+        small = members.where((F.col("n") <= SMALL_BUCKET) if turn < LEADER_ROUNDS else F.lit(True))
+        pairs = durable(open_pairs(small, marked, similarity))
+        members = members.where(F.col("n") > SMALL_BUCKET)
+        if texts is None:
+            wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct())
+            # an inner join, since a semi-join would be moved below the bitmap's
+            texts = possible(lines, wanted).join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))
+            texts = stored(texts.select("id", "line"))
+        known = _verified(pairs, known, texts)
+        if turn == LEADER_ROUNDS or members.isEmpty():
+            break
         led = members.drop("d").where("id != leader").withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader"))
-        known = _verified(led.select("a", "b").distinct(), known, texts)
-        rest = led.join(known, ["a", "b"]).select("key", "id", "part", "leader", "d")
+        pairs = led.select("a", "b").distinct()
+        for side in ("a", "b"):
+            pairs = pairs.join(marked.select(F.col("id").alias(side), F.col("marks").alias(f"marks_{side}")), side)
+        pairs = pairs.where(maybe_similar(F.col("marks_a"), F.col("marks_b"), similarity))
+        known = _verified(pairs.select("a", "b"), known, texts)
+        # without a distance: surely far from the leader, but not known how far
+        rest = led.join(known, ["a", "b"], "left").select("key", "id", "part", "leader", "d")
         rest = rest.union(members.where("id = leader").select("key", "id", "part", "leader", F.lit(0.0)))
         # parts of the bucket with a line near the leader become one part, the leader's
         joined = rest.where(F.col("d") <= reach).select("key", "part").distinct().withColumn("near", F.lit(True))
@@ -242,17 +278,23 @@ def similar_lines(signed: DataFrame, lines: DataFrame, similarity: float = SIMIL
     return known.where(F.col("d") <= reach).select("a", "b")
 
 
-def divided(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """The members of crowded buckets in buckets of finer bands within them.
+def open_pairs(members: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the pairs within a bucket that may be links between two of its parts.
 
-    A bucket stays crowded after its leader only if most of its lines are far from each other, as
-    the variants of a short line are; comparing all of them would take the square of their number.
+    Lines are held against those of their own class of size and the next, which are all that a
+    link can reach, so a crowded bucket is also split by size.
     """
-    keyed = members.join(texts.select("id", "sample"), "id")
-    finer = keyed.select("id", "part", "d", F.col("key").alias("old"), F.explode(F.array_distinct(finer_bands(F.col("sample")))).alias("band"))
-    finer = durable(finer.select(F.xxhash64("old", "band").alias("key"), "id", "part", "d"))
-    sizes = finer.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("leader")).where("n > 1")
-    return durable(finer.join(sizes, "key"))
+    reach = 1 - similarity + EPSILON
+    # a little wider than a link's ratio of sizes, so that rounding skips no class
+    level = F.floor(F.log("marks.size") / F.log(F.lit(1.001 / similarity))).cast("int")
+    every = members.select("key", "id", "part", "d").join(marked, "id").withColumn("level", level)
+    one = every.select("key", "level", "id", "part", "d", "marks")
+    other = every.select("key", F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("level"), F.col("level").alias("own"), F.col("id").alias("id_b"), F.col("part").alias("part_b"), F.col("d").alias("d_b"), F.col("marks").alias("marks_b"))
+    once = (F.col("own") > F.col("level")) | (F.col("id") < F.col("id_b"))
+    # both distances are from one leader, so they bound that of the pair from below
+    unsettled = (F.col("part") != F.col("part_b")) & (F.coalesce(F.abs(F.col("d") - F.col("d_b")), F.lit(0.0)) <= reach)
+    found = one.join(other, ["key", "level"]).where(once & unsettled & maybe_similar(F.col("marks"), F.col("marks_b"), similarity))
+    return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
 
 
 def _verified(pairs: DataFrame, known: DataFrame | None, texts: DataFrame) -> DataFrame:
@@ -265,9 +307,10 @@ def _verified(pairs: DataFrame, known: DataFrame | None, texts: DataFrame) -> Da
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(r, d, kept): for each document with such a line, the positions of its lines that stay."""
     lines = exploded(docs)
-    signed = lines.select("id", "check", "at", bands(F.col("line")).alias("bands"))
-    firsts = stored(signed.groupBy("id", "check").agg(F.first("bands").alias("bands"), F.min("at").alias("at")))
-    links = similar_lines(firsts.select("id", "bands"), lines.select("id", "line"), similarity)
+    signed = lines.select("id", "check", "at", let(sample(F.col("line")), lambda h: F.struct(bands_of(h).alias("bands"), marks(h).alias("marks"))).alias("s"))
+    firsts = signed.groupBy("id", "check").agg(F.first("s").alias("s"), F.min("at").alias("at"))
+    firsts = stored(firsts.select("id", "check", "s.bands", "s.marks", "at"))
+    links = similar_lines(firsts.select("id", "bands", "marks"), lines.select("id", "line"), similarity)
     roots = durable(connected_components(links)).withColumnRenamed("node", "id")
     marked = firsts.select("id", "at").join(roots, "id", "left")
     lone = marked.where("root is null").select("at")

@@ -51,3 +51,17 @@ def test_no_break_at_a_line_length(spark, make_docs):
     assert all(jaccard(*p) >= 0.8 for p in pairs) and missed(spark, pairs) == 0
     rows = [(10 * k + i, line) for k, pair in enumerate(pairs) for i, line in enumerate(pair)]
     assert results(dedup_lines(make_docs(rows))) == brute(rows)
+
+
+def test_no_pair_of_a_crowded_bucket_is_dropped(spark):
+    """Short variants far from their bucket's leader, all in one bucket of more than SMALL_BUCKET."""
+    rng, lines = random.Random(6), []
+    for k in range(60):
+        line = sentence(rng, rng.randint(3, 5))
+        lines += [line, line + "."]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(dict.fromkeys(lines))], "id long, line string")
+    signed = df.select("id", F.array(F.lit(1).cast("long")).alias("bands"), line_dedup.marks(line_dedup.sample(F.col("line"))).alias("marks"))
+    texts = {r["id"]: r["line"] for r in df.collect()}
+    want = {(i, j) for i in texts for j in texts if i < j and jaccard(texts[i], texts[j]) >= 0.8}
+    got = {(r["a"], r["b"]) for r in line_dedup.similar_lines(signed, df).collect()}
+    assert len(want) > 30 and len(texts) > line_dedup.SMALL_BUCKET and got == want
