@@ -65,3 +65,23 @@ def test_no_pair_of_a_crowded_bucket_is_dropped(spark):
     want = {(i, j) for i in texts for j in texts if i < j and jaccard(texts[i], texts[j]) >= 0.8}
     got = {(r["a"], r["b"]) for r in line_dedup.similar_lines(signed, df).collect()}
     assert len(want) > 30 and len(texts) > line_dedup.SMALL_BUCKET and got == want
+
+
+def test_no_similar_pair_fails_the_bounds(spark):
+    rng, pairs = random.Random(8), []
+    while len(pairs) < 600:
+        line = other = sentence(rng, rng.choice([1, 2, 4, 9, 30, 90]))
+        for _ in range(rng.randint(1, 9)):
+            other = one_letter(rng, other or "x")
+        if jaccard(line, other) >= 0.8:
+            pairs.append((line, other))
+    marks = {x: line_dedup.marks(line_dedup.sample(F.col(x))) for x in "ab"}
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert df.where(~line_dedup.maybe_similar(marks["a"], marks["b"], 0.8)).count() == 0
+
+
+def test_long_words_with_one_edit_are_linked(make_docs):
+    """Exact similarity decides, however few of the words are alike."""
+    rows = [(1, "internationalization standardization characterization misinterpretation counterrevolutionary"), (2, "internationalization standardixation characterization misinterpretation counterrevolutionary")]
+    assert jaccard(rows[0][1], rows[1][1]) >= 0.8
+    assert results(dedup_lines(make_docs(rows))) == brute(rows)
