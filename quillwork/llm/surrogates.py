@@ -17,7 +17,10 @@ Only distinct entities are compared, after a partial aggregate per task, and onl
 mentions are joined with their surrogates; a common entity's rows may be split.
 
 Defined results: a null or empty text stays as it is; numbers of 13 to 19 digits that fail the
-Luhn check aren't cards and stay. Rows that repeat a doc_id are rewritten one by one.
+Luhn check aren't cards and stay. A masked value, one punctuation mark again and again in place
+of a secret, is no entity and stays. Where a format has too few free values, entities that are
+left after WIDE_ROUNDS get a wider one: secrets and addresses a longer one, phones any digits,
+private IPs the network 10/8 and then, as all IPs, the reserved 240/4. Rows that repeat a doc_id are rewritten one by one.
 """
 
 from __future__ import annotations
@@ -31,6 +34,22 @@ from quillwork.llm.common import ascii_lower, durable, let, stored, table
 
 KEY = "public-demo-key"
 MAX_ROUNDS = 60
+#: Rounds within an entity's own format, and those after which IPs leave the network 10/8 too.
+WIDE_ROUNDS = 20
+WIDEST_ROUNDS = 40
+MASK = r"^([^\p{L}\p{N}])\1*$"
+#: (class, alphabet) of the characters of secrets that aren't ASCII letters or digits.
+ALPHABETS = [
+    (r"[\p{IsCyrillic}&&\p{Lu}]", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"),
+    (r"\p{IsCyrillic}", "абвгдежзиклмнопрстуфхцчшэюя"),
+    (r"[\p{IsGreek}&&\p{Lu}]", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"),
+    (r"\p{IsGreek}", "αβγδεζηθικλμνξοπρστυφχψω"),
+    (r"\p{Lu}", "ÀÁÂÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÖØÙÚÛÜÝ"),
+    (r"[\p{IsLatin}&&\p{L}]", "àáâäåæçèéêëìíîïñòóôöøùúûüý"),
+    (r"\p{L}", "一二三四五六七八九十天地人山水火木金土日月年"),
+    (r"\p{N}", "٠١٢٣٤٥٦٧٨٩"),
+]
+MARKS = "!#$%&*+-./:=?@^_~"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 _NAME = r"\p{Lu}[\p{L}'’-]+"
@@ -132,6 +151,7 @@ def entities_of(mention: Column) -> Column:
             .when(kind == "card", let(_digits(mention), lambda d: F.when(_luhn_sum(d) % 10 == 0, one(kind, d)).otherwise(none)))
             .when(kind.isin(*DIGIT_KINDS), one(kind, _digits(mention)))
             .when(kind == "iban", one(kind, F.replace(mention, F.lit(" "), F.lit(""))))
+            .when((kind == "secret") & mention.rlike(MASK), none)
             .otherwise(one(kind, mention))
         )
 
@@ -169,19 +189,24 @@ def candidate(kind: Column, canonical: Column, turn: Column, key: str = KEY) ->
     def digest(*parts: Column) -> Column:
         return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts), 512)
 
+    wide = turn >= WIDE_ROUNDS
+
+    def longer(s: Column) -> Column:
+        return F.when(wide, F.substring(s, 1, 16)).otherwise(F.lit(""))
+
     def email(s: Column) -> Column:
         local, domain = F.substring_index(canonical, "@", 1), F.substring_index(canonical, "@", -1)
         top = F.substring_index(domain, ".", -1)
         labels = F.translate(F.substring(domain, F.lit(1), F.length(domain) - F.length(top) - 1), ".", "-")
         host = _scrambled(labels, digest(F.lit("domain"), domain))
-        return F.concat(_scrambled(local, s), F.lit("@"), host, F.lit(".example"), F.when(top.isin("com", "net", "org"), F.concat(F.lit("."), top)).otherwise(F.lit("")))
+        return F.concat(_scrambled(local, s), longer(s), F.lit("@"), host, F.lit(".example"), F.when(top.isin("com", "net", "org"), F.concat(F.lit("."), top)).otherwise(F.lit("")))
 
     def phone(s: Column) -> Column:
         country = F.greatest(F.length(canonical) - 10, F.lit(0))
 
         def digit(c: Column, i: Column) -> Column:
             v, d = _draw(s, i), c.cast("int")
-            return F.when(i < country, c).when(d >= 2, (2 + v % 8).cast("string")).otherwise((v % 2).cast("string"))
+            return F.when(i < country, c).when(wide, (v % 10).cast("string")).when(d >= 2, (2 + v % 8).cast("string")).otherwise((v % 2).cast("string"))
 
         return F.array_join(F.transform(F.split(canonical, ""), digit), "")
 
@@ -198,7 +223,9 @@ def candidate(kind: Column, canonical: Column, turn: Column, key: str = KEY) ->
             F.split(canonical, r"\."),
             lambda o, i: F.when(i < same, o).otherwise(F.when(i == 0, 11 + _draw(s, i) % 100).otherwise(1 + _draw(s, i) % 254).cast("string")),
         )
-        return F.array_join(octets, ".")
+        first = F.when((turn < WIDEST_ROUNDS) & (same > 0), "10").otherwise((240 + _draw(s, F.lit(0)) % 15).cast("string"))
+        others = F.transform(octets, lambda o, i: F.when(i == 0, first).otherwise((1 + _draw(s, i) % 254).cast("string")))
+        return F.array_join(F.when(wide, others).otherwise(octets), ".")
 
     def iban(s: Column) -> Column:
         country, body = F.substring(canonical, 1, 2), _scrambled(F.substring(canonical, F.lit(5), F.length(canonical)), s)
@@ -223,7 +250,15 @@ def candidate(kind: Column, canonical: Column, turn: Column, key: str = KEY) ->
         return F.when(script == "cyrillic", joined(SYLLABLES["cyrillic"])).when(script == "greek", joined(SYLLABLES["greek"])).otherwise(joined(SYLLABLES["latin"]))
 
     def secret(s: Column) -> Column:
-        return _scrambled(canonical, s, canonical.rlike("^[0-9a-f]+$"))
+        def other(c: Column, i: Column) -> Column:
+            out = F.when(~canonical.rlike(r"[\p{L}\p{N}]"), F.substring(F.lit(MARKS), _draw(s, i) % len(MARKS) + 1, F.lit(1))).otherwise(c)
+            for kind_of, alphabet in reversed(ALPHABETS):
+                out = F.when(c.rlike(kind_of), F.substring(F.lit(alphabet), _draw(s, i) % len(alphabet) + 1, F.lit(1))).otherwise(out)
+            return F.when(c.rlike("[0-9A-Za-z]"), c).otherwise(out)
+
+        plain = _scrambled(canonical, s, canonical.rlike("^[0-9a-f]+$"))
+        rest = F.when(canonical.rlike("[^ -~]") | ~canonical.rlike("[0-9A-Za-z]"), F.array_join(F.transform(F.split(plain, ""), other), "")).otherwise(plain)
+        return F.concat(rest, longer(s))
 
     made = {"email": email, "phone": phone, "card": card, "ssn": ssn, "ip": ip, "iban": iban, "access": access, "name": name}
 
