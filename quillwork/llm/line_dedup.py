@@ -1,27 +1,28 @@
 """Fuzzy line deduplication by MinHash.
 
-Lines are compared in their normal form, lower-cased A-Z without outer white space. Equal normal
+Lines are compared in their normal form, lower-cased and without outer white space. Equal normal
 forms are one line from the start, known by a 128-bit hash. Then:
 
-1. Signatures. All shingles of SHINGLE characters are hashed and sorted. Each of BANDS bands has
-   ROWS minima: the smallest hashes from the band's start on the ring of hash values
-   (one-permutation MinHash). Lines of few shingles have the bands of a second ring as well.
-   Bands are chosen for high recall at SIMILARITY.
-2. Candidates. Lines with a band in common are compared if the sizes of their shingle sets and
-   a bitmap of each allow the similarity; no pair that has it fails these bounds. Crowded buckets
-   are held against a leader first. The distance, 1 - Jaccard, is a metric: a member at distance
-   x from the leader can't link to one whose distance from the leader differs by more than
-   1 - SIMILARITY. Only members that may link to another part of the bucket, one that the leaders
-   haven't joined to theirs, stay for the next round. What is left after LEADER_ROUNDS is compared
-   pair by pair. No link that a component needs and whose lines share a bucket is lost.
-3. Verification. Exact Jaccard similarity of the sets of all SHINGLE-character shingles, each
-   candidate pair once.
-4. Distributed union-find over the links; the first line of each component (by doc_id, then row
+1. Signatures. All shingles of SHINGLE characters are hashed; each band has as many minima as it
+   has rows, each under a hash function of its own (MinHash). Long lines have BANDS bands of ROWS
+   rows, so that chance meetings stay rare, short ones SHORT_BANDS of SHORT_ROWS. Lines whose
+   number of shingles allows partners of both kinds have both.
+2. Stars. Every line of a bucket is compared with the bucket's first line, and if that leaves
+   several parts of it unlinked, with the last, where the sizes of their shingle sets and a bitmap
+   of each allow the similarity; no pair that has it fails these bounds. The cost is linear.
+3. The rest. Lines that these links leave in different parts of a bucket are held against each
+   other by the bounds. The distance, 1 - Jaccard, is a metric, so two lines whose distances from
+   the first or last line differ by more than 1 - SIMILARITY can't link either. Buckets of all
+   sizes take the same way, and no link between lines that share a bucket is lost unless they
+   are in one component already.
+4. Verification. Exact Jaccard similarity of the sets of all shingles, each candidate pair once.
+5. Distributed union-find over the links; the first line of each component (by doc_id, then row
    and position) stays, in the place where it stands.
 
 Defined results: lines of white space only are layout and always stay; a null text has no lines
 and stays null. A null doc_id sorts last. Rows that repeat a doc_id are different documents.
-A line shorter than a shingle is its own only shingle. A text may become empty.
+A line no longer than a shingle is its own only shingle. A text may become empty. Of two lines
+with the same first half of the hash only one, with the lower second half, is compared with others.
 """
 
 from __future__ import annotations
@@ -29,31 +30,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import ascii_lower, connected_components, durable, let, stored, table
-
-SIMILARITY = 0.8
-SHINGLE = 5
-BANDS = 8
-ROWS = 3
-#: Lines of up to so many distinct shingles have the bands of a second ring.
-FEW = 32
-#: The same for finer bands.
-FINER_BANDS = 16
-FINER_ROWS = 5
-#: Buckets of up to so many lines compare their pairs directly, without a leader.
-SMALL_BUCKET = 24
-#: Rounds with leaders before what is left of a bucket compares its pairs directly.
-LEADER_ROUNDS = 4
+from quillwork.llm.common import connected_components, durable, let, stored, table
+from quillwork.llm.line_signatures import BRIEF, MAPS, SHINGLE, SIMILARITY, bands, marks
+
+#: Shingles start in pieces of so many characters, which keeps the search for them linear.
+PIECE = 16
 #: One line in so many is looked at to find keys that hold a share of 1 / HOT_SHARE of the lines,
-#: and HOT_LEAST of the lines looked at or more.
+#: and HOT_LEAST of the lines looked at or more. Rows of such a key are dealt to SALTS groups.
 HOT_SAMPLE = 32
 HOT_SHARE = 1000
 HOT_LEAST = 32
-TOP, LEAST = (1 << 63) - 1, -(1 << 63)
-#: The tests hold the samples of linked lines against this; nothing is decided by it.
-SAMPLE_SIMILARITY = 0.5
-#: Parts of 64 bits of a line's bitmap of shingles.
-MAPS = 4
+SALTS = 256
+#: Which lines of a bucket all its others are compared with.
+LEADERS = (F.min, F.max)
 #: Bits of the candidates' bitmap for each of them, and at most; a part holds 32,768 bits.
 BITS_EACH = 16
 MOST_PARTS = 8192
@@ -63,79 +52,33 @@ EPSILON = 1e-9
 BLANK = "\x20\x09\x0a\x0b\x0c\x0d"
 
 
-def normal(line: Column) -> Column:
-    return ascii_lower(F.btrim(line, F.lit(BLANK)))
-
-
 def is_blank(line: Column) -> Column:
     return F.btrim(line, F.lit(BLANK)) == ""
 
 
-def shingles(line: Column, size: int = SHINGLE) -> Column:
-    """The set of character shingles, overlapping ones included."""
-    found = F.array_distinct(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
-    return F.when(F.length(line) > size, found).otherwise(F.array(line))
-
-
 def sample(line: Column) -> Column:
-    """Sorted distinct 64-bit hashes of all of a line's shingles."""
-    every = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    hashes = F.transform(F.when(F.length(line) > SHINGLE, every).otherwise(F.array(line)), lambda s: F.xxhash64(s))
-    return F.array_sort(F.array_distinct(hashes))
-
-
-def band_keys(hashes: Column, n: int, rows: int) -> Column:
-    """n band keys of a line's sample."""
-    starts = F.array(*[F.lit(LEAST + 2 * (TOP // n) * i) for i in range(n)])
-
-    def keys(h: Column, ring: Column, placed: Column) -> Column:
-        """Each band takes the hashes from its start on, around the ring.
+    """Sorted distinct 64-bit hashes of all of a line's shingles, overlapping ones included."""
+    wide = PIECE + SHINGLE - 1
+    pieces = F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{SHINGLE},{wide}}})).{{1,{PIECE}}}"), F.lit(1))
 
-        placed: the hashes with the starts among them, in order.
-        """
-        before = F.transform(starts, lambda s, i: (F.array_position(placed, s) - 1 - i).cast("int"))
-        return F.transform(before, lambda p, i: F.xxhash64(i, *[F.get(ring, p + k) for k in range(rows)]))
+    def at(piece: Column, i: Column | int) -> Column:
+        return F.xxhash64(F.substring(piece, i, F.lit(SHINGLE) if isinstance(i, Column) else SHINGLE))
 
-    def rings(h: Column) -> Column:
-        return let(F.concat(h, *[F.slice(h, 1, rows)] * rows), lambda ring: let(F.array_sort(F.concat(h, starts)), lambda placed: keys(h, ring, placed)))
+    def hashed(piece: Column) -> Column:
+        whole = F.array(*[at(piece, i + 1) for i in range(PIECE)])
+        rest = F.transform(F.sequence(F.lit(1), F.length(piece) - (SHINGLE - 1)), lambda i: at(piece, i))
+        return F.when(F.length(piece) == wide, whole).otherwise(rest)
 
-    return let(hashes, rings)
-
-
-def again(hashes: Column) -> Column:
-    """Other hashes of the same sample, sorted."""
-    return F.array_sort(F.transform(hashes, lambda h: F.xxhash64(F.lit("finer"), h)))
-
-
-def bands(line: Column) -> Column:
-    return bands_of(sample(line))
-
-
-def bands_of(hashes: Column) -> Column:
-    """The band keys of a sample; those of a line with FEW shingles or fewer come from two rings.
-
-    One more shingle can change all bands of a short line's ring, hardly those of both. All
-    lines have the keys of the first ring, so lines on both sides of FEW meet there.
-    """
-    none = F.array().cast("array<bigint>")
-
-    def both(h: Column) -> Column:
-        return F.concat(band_keys(h, BANDS, ROWS), F.when(F.size(h) <= FEW, band_keys(again(h), BANDS, ROWS)).otherwise(none))
-
-    return let(hashes, both)
-
-
-def finer_bands(hashes: Column) -> Column:
-    """Band keys of more rows. No link depends on them; the tests measure their recall."""
-    return band_keys(again(hashes), FINER_BANDS, FINER_ROWS)
+    every = F.when(F.length(line) > SHINGLE, F.flatten(F.transform(pieces, hashed))).otherwise(F.array(F.xxhash64(line)))
+    return F.sort_array(F.array_distinct(every))
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """docs with ``r`` and ``d``, which name a row by its doc_id and text.
+    """docs with ``r``, a hash that together with doc_id names a row.
 
     Rows that agree in both are interchangeable here and told apart only at the end.
     """
-    return docs.withColumn("r", F.xxhash64("doc_id", "text")).withColumn("d", F.coalesce("doc_id", F.lit(0)).cast("long"))
+    return docs.withColumn("r", F.xxhash64("doc_id", "text"))
 
 
 def exploded(docs: DataFrame) -> DataFrame:
@@ -143,42 +86,20 @@ def exploded(docs: DataFrame) -> DataFrame:
 
     at orders lines by doc_id (null last), row and position. id and check are 128 bits of hash.
     """
-    lines = docs.select("doc_id", "r", "d", F.posexplode(F.transform(F.split("text", "\n"), normal)).alias("pos", "line"))
-    at = F.struct(F.col("doc_id").isNull().alias("last"), "d", "r", "pos")
-    lines = lines.where("line != ''").select(at.alias("at"), "line")
+    lines = docs.select("doc_id", "r", F.posexplode(F.split(F.lower("text"), "\n")).alias("pos", "line"))
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "r", "pos")
+    lines = lines.select(at.alias("at"), F.btrim("line", F.lit(BLANK)).alias("line")).where("line != ''")
     return lines.withColumn("id", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(1), "line"))
 
 
-def marks(hashes: Column) -> Column:
-    """(size, map) of a sample: how many hashes it has, and their bitmap of MAPS parts.
-
-    A bit is set if an odd number of hashes fall on it, so long lines don't fill the map. Each
-    hash in one of two samples only changes one bit, so the maps never differ in more bits than
-    the samples differ in hashes.
-    """
-    parts = [F.lit(LEAST + 2 * (TOP // MAPS) * i) for i in range(MAPS)]
-
-    def bits(h: Column) -> Column:
-        return F.aggregate(h, F.lit(0).cast("long"), lambda m, x: m.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
-
-    def cut(h: Column) -> Column:
-        def whole(placed: Column) -> Column:
-            at = F.array(*[(F.array_position(placed, p) - i).cast("int") for i, p in enumerate(parts)], F.size(h) + 1)
-            return let(at, lambda a: F.array(*[bits(F.slice(h, F.get(a, F.lit(i)), F.get(a, F.lit(i + 1)) - F.get(a, F.lit(i)))) for i in range(MAPS)]))
-
-        return let(F.array_sort(F.concat(h, F.array(*parts))), whole)
-
-    return F.struct(F.size(hashes).alias("size"), cut(hashes).alias("map"))
-
-
-def maybe_similar(x: Column, y: Column, similarity: float) -> Column:
+def maybe_similar(x: Column, y: Column, similarity: float, maps: str = "map") -> Column:
     """Whether lines with these marks can reach the similarity: no pair that does fails this.
 
     Two sets of Jaccard similarity s or more have sizes of ratio s or more and differ in at most
     (1 - s) / (1 + s) of the sum of their sizes.
     """
     sizes = F.least(x["size"], y["size"]) >= F.lit(similarity - EPSILON) * F.greatest(x["size"], y["size"])
-    differing = sum((F.bit_count(F.get(x["map"], F.lit(i)).bitwiseXOR(F.get(y["map"], F.lit(i)))) for i in range(MAPS)), F.lit(0))
+    differing = sum((F.bit_count(F.get(x[maps], F.lit(i)).bitwiseXOR(F.get(y[maps], F.lit(i)))) for i in range(BRIEF if maps == "brief" else MAPS)), F.lit(0))
     return sizes & (differing <= F.lit((1 - similarity) / (1 + similarity) + EPSILON) * (x["size"] + y["size"]))
 
 
@@ -187,11 +108,9 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
 
-    def jaccard(x: Column, y: Column) -> Column:
-        return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
-
-    exact = let(shingles(F.col("line_a")), lambda x: let(shingles(F.col("line_b")), lambda y: jaccard(x, y)))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", (1 - exact).alias("d"))
+    pairs = pairs.join(left, "a").join(right, "b").select("a", "b", sample(F.col("line_a")).alias("x"), sample(F.col("line_b")).alias("y"))
+    pairs = pairs.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
+    return pairs.select("a", "b", (1 - F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("d"))
 
 
 def possible(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -211,71 +130,67 @@ def possible(lines: DataFrame, ids: DataFrame) -> DataFrame:
     return placed.join(F.broadcast(maps), "part").where(there).select(*lines.columns)
 
 
-def buckets(signed: DataFrame) -> DataFrame:
-    """(key, id, leader, n): lines that share a band with others, and the bucket's smallest id.
+def buckets(lines: DataFrame) -> DataFrame:
+    """(key, id): the lines that share a band with others. lines: (id, line), repeats allowed.
 
-    signed: (id, bands), one row per line. Keys that hold a thousandth of the lines or more, as a
-    sample of the lines shows, get their leader by a partial aggregate and a broadcast of at most
-    a few thousand keys; the others by a window. The sample decides the way, not the result.
+    Keys that hold a thousandth of the lines or more, as a sample of the rows shows, are dealt to
+    SALTS groups each; there are at most a few thousand of them, which are broadcast. Groups of
+    others drop out here unless they hold two lines. The sample decides the way, not the result.
     """
-    keys = signed.select(F.explode(F.array_distinct("bands")).alias("key"), "id")
-    sample = signed.where(F.pmod("id", F.lit(HOT_SAMPLE)) == 0)
-    least = max(HOT_LEAST, sample.count() // HOT_SHARE)
-    hot = durable(
-        sample.select(F.explode(F.array_distinct("bands")).alias("key")).groupBy("key").count().where(F.col("count") >= least).select("key")
-    )
-    crowded = keys.join(F.broadcast(hot), "key")
-    leaders = crowded.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("n"))
-    crowded = crowded.join(F.broadcast(leaders), "key").select("key", "id", "leader", "n")
-    whole = Window.partitionBy("key")
-    plain = keys.join(F.broadcast(hot), "key", "left_anti").select("key", "id", F.min("id").over(whole).alias("leader"), F.count("*").over(whole).alias("n"))
-    return crowded.union(plain).where("n > 1")
-
-
-def similar_lines(signed: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(a, b) links: enough for the components of all similar lines that share a bucket.
-
-    signed: (id, bands, marks), one row per line. lines: (id, line), any number of rows per line.
+    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_SAMPLE * SALTS))
+    every = lines.select("id", "line", row.alias("deal"))
+    sampled = durable(every.where(F.col("deal") % HOT_SAMPLE == 0).select(bands("line").alias("bands")))
+    least = max(HOT_LEAST, sampled.count() // HOT_SHARE)
+    hot = durable(sampled.select(F.explode("bands").alias("key")).groupBy("key").count().where(F.col("count") >= least).select("key"))
+    keys = every.select("id", "deal", F.explode(bands("line")).alias("key"))
+    salt = F.when(F.col("hot"), 1 + F.floor(F.col("deal") / HOT_SAMPLE).cast("int")).otherwise(F.lit(0))
+    dealt = keys.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").select("key", salt.alias("salt"), "id")
+    group = Window.partitionBy("key", "salt")
+    shared = dealt.withColumn("least", F.min("id").over(group)).withColumn("most", F.max("id").over(group))
+    return durable(shared.where("salt > 0 or least != most").select("key", "id").distinct())
+
+
+def similar_lines(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of the components of all similar lines that share a bucket, and (id, check).
+
+    members: (key, id), each once. lines: (id, check, line), any number of rows per line.
     """
     reach = 1 - similarity + EPSILON
-    marked = signed.select("id", "marks")
-    members = durable(buckets(signed).withColumn("part", F.col("id")).withColumn("d", F.lit(None).cast("double")))
-    known, texts = None, None
-    for turn in range(LEADER_ROUNDS + 1):
-        # small buckets, and what is left of all at the end, are compared pair by pair
-        small = members.where((F.col("n") <= SMALL_BUCKET) if turn < LEADER_ROUNDS else F.lit(True))
-        pairs = durable(open_pairs(small, marked, similarity))
-        members = members.where(F.col("n") > SMALL_BUCKET)
-        if texts is None:
-            wanted = durable(pairs.select(F.explode(F.array("a", "b")).alias("id")).union(members.select("id")).distinct())
-            # an inner join, since a semi-join would be moved below the bitmap's
-            texts = possible(lines, wanted).join(wanted, "id").groupBy("id").agg(F.first("line").alias("line"))
-            texts = stored(texts.select("id", "line"))
-        known = _verified(pairs, known, texts)
-        if turn == LEADER_ROUNDS or members.isEmpty():
-            break
-        led = members.drop("d").where("id != leader").withColumn("a", F.least("id", "leader")).withColumn("b", F.greatest("id", "leader"))
-        pairs = led.select("a", "b").distinct()
-        for side in ("a", "b"):
-            pairs = pairs.join(marked.select(F.col("id").alias(side), F.col("marks").alias(f"marks_{side}")), side)
-        pairs = pairs.where(maybe_similar(F.col("marks_a"), F.col("marks_b"), similarity))
-        known = _verified(pairs.select("a", "b"), known, texts)
-        # without a distance: surely far from the leader, but not known how far
-        rest = led.join(known, ["a", "b"], "left").select("key", "id", "part", "leader", "d")
-        rest = rest.union(members.where("id = leader").select("key", "id", "part", "leader", F.lit(0.0)))
-        # parts of the bucket with a line near the leader become one part, the leader's
-        joined = rest.where(F.col("d") <= reach).select("key", "part").distinct().withColumn("near", F.lit(True))
-        rest = rest.join(joined, ["key", "part"], "left").withColumn("near", F.coalesce("near", F.lit(False)))
-        far = ~F.col("near")
-        nearest = rest.groupBy("key").agg(F.min(F.when(far, F.coalesce("d", F.lit(reach)))).alias("nearest"), F.min(F.when(far, F.col("id"))).alias("next"))
-        open_row = far | F.col("d").isNull() | (F.col("d") >= F.col("nearest") - reach)
-        rest = rest.join(nearest.where("nearest is not null"), "key").where((F.col("id") != F.col("leader")) & open_row)
-        rest = durable(rest.select("key", "id", F.when(F.col("near"), F.col("leader")).otherwise(F.col("part")).alias("part"), "d", F.col("next").alias("leader")))
-        sizes = rest.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        members = rest.join(sizes, "key")
-        if rest.isEmpty():
-            break
-    return known.where(F.col("d") <= reach).select("a", "b")
+    wanted = durable(members.select("id").distinct())
+    # an inner join, since a semi-join would be moved below the bitmap's
+    texts = possible(lines, wanted).join(wanted, "id").groupBy("id").agg(F.min(F.struct("check", "line")).alias("first"))
+    texts = stored(texts.select("id", "first.check", "first.line").withColumn("marks", marks("line")))
+    marked = texts.select("id", "marks")
+    parts, known, roots = members.withColumn("part", F.col("id")), None, None
+    for turn, pick in enumerate(LEADERS):
+        lead = parts.groupBy("key").agg(pick(F.struct("id", "part")).alias("lead"), F.min("part").alias("least"), F.max("part").alias("most"))
+        led = parts.join(lead.where("least != most").select("key", "lead"), "key")
+        stars = led.where("part != lead.part").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
+        stars = stars if known is None else stars.join(known.select("a", "b"), ["a", "b"], "left_anti")
+        found = durable(distances(alike(stars, marked, similarity), texts))
+        known = found if known is None else known.union(found)
+        roots = joined(roots, found.where(F.col("d") <= reach))
+        led = led.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("a", F.least("id", "lead.id")).withColumn("b", F.greatest("id", "lead.id"))
+        far = F.when(F.col("id") == F.col("lead.id"), 0.0).otherwise(F.col("d"))
+        parts = durable(led.join(known, ["a", "b"], "left").select("key", "id", F.coalesce("root", "id").alias("part"), *[f"d{k}" for k in range(turn)], far.alias(f"d{turn}")))
+    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    rest = open_pairs(parts.join(several, "key"), marked, similarity)
+    more = durable(distances(rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts))
+    return joined(roots, more.where(F.col("d") <= reach)), texts.select("id", "check")
+
+
+def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
+    """(node, root) of the components of earlier ones and of more links (a, b)."""
+    links = links.select("a", "b")
+    earlier = links if roots is None else links.union(roots.where("node != root").select("root", "node"))
+    return durable(connected_components(earlier))
+
+
+def alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose marks allow the similarity."""
+    for side in ("a", "b"):
+        pairs = pairs.join(marked.select(F.col("id").alias(side), F.struct("marks.size", "marks.brief").alias(f"marks_{side}")), side)
+    return pairs.where(maybe_similar(F.col("marks_a"), F.col("marks_b"), similarity, "brief")).select("a", "b")
 
 
 def open_pairs(members: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
@@ -287,35 +202,32 @@ def open_pairs(members: DataFrame, marked: DataFrame, similarity: float) -> Data
     reach = 1 - similarity + EPSILON
     # a little wider than a link's ratio of sizes, so that rounding skips no class
     level = F.floor(F.log("marks.size") / F.log(F.lit(1.001 / similarity))).cast("int")
-    every = members.select("key", "id", "part", "d").join(marked, "id").withColumn("level", level)
-    one = every.select("key", "level", "id", "part", "d", "marks")
-    other = every.select("key", F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("level"), F.col("level").alias("own"), F.col("id").alias("id_b"), F.col("part").alias("part_b"), F.col("d").alias("d_b"), F.col("marks").alias("marks_b"))
+    turns = [c for c in members.columns if c.startswith("d")]
+    every = members.join(marked.select("id", F.struct("marks.size", "marks.map").alias("marks")), "id")
+    every = every.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").withColumn("level", level)
+    names = {c: f"{c}_b" for c in ("id", "part", "marks", "keys", *turns)}
+    other = every.select("key", F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("level"), F.col("level").alias("own"), *names).withColumnsRenamed(names)
     once = (F.col("own") > F.col("level")) | (F.col("id") < F.col("id_b"))
-    # both distances are from one leader, so they bound that of the pair from below
-    unsettled = (F.col("part") != F.col("part_b")) & (F.coalesce(F.abs(F.col("d") - F.col("d_b")), F.lit(0.0)) <= reach)
-    found = one.join(other, ["key", "level"]).where(once & unsettled & maybe_similar(F.col("marks"), F.col("marks_b"), similarity))
-    return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b")).distinct()
-
-
-def _verified(pairs: DataFrame, known: DataFrame | None, texts: DataFrame) -> DataFrame:
-    """known with the distances of those pairs (a < b) that it doesn't hold yet."""
-    if known is None:
-        return durable(distances(pairs, texts))
-    return known.union(durable(distances(pairs.join(known, ["a", "b"], "left_anti"), texts)))
+    unsettled = F.col("part") != F.col("part_b")
+    for d in turns:  # both distances are from one leader, so they bound that of the pair from below
+        unsettled &= F.coalesce(F.abs(F.col(d) - F.col(f"{d}_b")), F.lit(0.0)) <= reach
+    # lines that share several buckets meet in one of them
+    here = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")
+    found = every.join(other, ["key", "level"]).where(once & unsettled & maybe_similar(F.col("marks"), F.col("marks_b"), similarity) & here)
+    return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(r, d, kept): for each document with such a line, the positions of its lines that stay."""
+    """(r, doc_id, kept): for each document with such a line, the positions of its lines that stay."""
     lines = exploded(docs)
-    signed = lines.select("id", "check", "at", let(sample(F.col("line")), lambda h: F.struct(bands_of(h).alias("bands"), marks(h).alias("marks"))).alias("s"))
-    firsts = signed.groupBy("id", "check").agg(F.first("s").alias("s"), F.min("at").alias("at"))
-    firsts = stored(firsts.select("id", "check", "s.bands", "s.marks", "at"))
-    links = similar_lines(firsts.select("id", "bands", "marks"), lines.select("id", "line"), similarity)
-    roots = durable(connected_components(links)).withColumnRenamed("node", "id")
-    marked = firsts.select("id", "at").join(roots, "id", "left")
+    members = buckets(lines.select("id", "line"))
+    roots, checks = similar_lines(members, lines.select("id", "check", "line"), similarity)
+    roots = roots.withColumnRenamed("node", "id").join(checks, "id")
+    firsts = lines.groupBy("id", "check").agg(F.min("at").alias("at"))
+    marked = durable(firsts.join(roots, ["id", "check"], "left").select("at", "root"))
     lone = marked.where("root is null").select("at")
     grouped = marked.where("root is not null").groupBy("root").agg(F.min("at").alias("at")).select("at")
-    return lone.union(grouped).groupBy("at.r", "at.d").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
+    return lone.union(grouped).groupBy("at.r", "at.doc_id").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -325,10 +237,11 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = identified(docs.select(row.alias("row"), "doc_id", "text"))
-    kept = kept_lines(base.select("doc_id", "text", "r", "d"), similarity)
-    same = Window.partitionBy("r", "d").orderBy(F.xxhash64("row"))
-    numbered = base.select("row", "r", "d", F.row_number().over(same).alias("nth"))
-    joined = numbered.join(kept, ["r", "d"], "left").withColumn("kept", F.when(F.col("nth") == 1, F.col("kept")))
+    kept = kept_lines(base.select("doc_id", "text", "r"), similarity).withColumnsRenamed({"r": "r_kept", "doc_id": "id_kept"})
+    same = Window.partitionBy("r", "doc_id").orderBy(F.xxhash64("row"))
+    numbered = base.select("row", "r", "doc_id", F.row_number().over(same).alias("nth"))
+    own = (F.col("r") == F.col("r_kept")) & F.col("doc_id").eqNullSafe(F.col("id_kept"))
+    joined = numbered.join(kept, own, "left").withColumn("kept", F.when(F.col("nth") == 1, F.col("kept")))
     text = F.col("row.text")
     none = F.array().cast("array<int>")
 

@@ -1,0 +1,144 @@
+"""MinHash bands and bitmaps of lines, by numpy on Arrow batches."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+SIMILARITY = 0.8
+SHINGLE = 5
+#: Bands of lines of more than SIMILARITY * SHORT shingles, and the minima in each.
+BANDS = 10
+ROWS = 5
+#: The same for lines of up to SHORT shingles, in which one edit changes a larger part.
+SHORT = 64
+SHORT_BANDS = 16
+SHORT_ROWS = 4
+#: Parts of 64 bits of a line's bitmap of shingles, and of a brief one.
+MAPS = 16
+BRIEF = 4
+#: Characters that are worked on at once; a longer line is worked on alone.
+CHARS = 1 << 17
+#: Hashes are dealt to so many slots to see that a line has many distinct ones.
+SLOTS = 1024
+
+
+def _odd(seed: int, n: int) -> np.ndarray:
+    return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+WEIGHTS = _odd(1, SHINGLE)
+LONG_FACTORS = _odd(2, BANDS * ROWS).reshape(BANDS, ROWS)
+SHORT_FACTORS = _odd(3, SHORT_BANDS * SHORT_ROWS).reshape(SHORT_BANDS, SHORT_ROWS)
+MIX = _odd(4, 2)
+
+
+def slices(lines: list[str]) -> Iterator[tuple[int, int]]:
+    """Ranges of lines of about CHARS characters together."""
+    first = total = 0
+    for i, line in enumerate(lines):
+        total += len(line) + SHINGLE - 1
+        if total >= CHARS:
+            yield first, i + 1
+            first, total = i + 1, 0
+    if first < len(lines):
+        yield first, len(lines)
+
+
+def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all lines' shingles, line by line, and how many each line has."""
+    gap = "\0" * (SHINGLE - 1)
+    points = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    counts = np.maximum(lengths - (SHINGLE - 1), 1)
+    n = len(points) - (SHINGLE - 1)
+    h = points[:n] * WEIGHTS[0]
+    for i in range(1, SHINGLE):
+        h += points[i : i + n] * WEIGHTS[i]
+    h ^= h >> np.uint64(29)
+    h *= MIX[0]
+    h ^= h >> np.uint64(32)
+    before = np.cumsum(counts) - counts
+    starts = np.cumsum(lengths + SHINGLE - 1) - (lengths + SHINGLE - 1)
+    return h[np.repeat(starts - before, counts) + np.arange(counts.sum())], counts
+
+
+def keys(h: np.ndarray, counts: np.ndarray, factors: np.ndarray, name: int) -> np.ndarray:
+    """A row of band keys for each line. Keys of different names never meet but by chance."""
+    before = np.cumsum(counts) - counts
+    out = np.empty((len(counts), len(factors)), np.uint64)
+    for band, row in enumerate(factors):
+        key = np.full(len(counts), 1000 * name + band, np.uint64)
+        for factor in row:
+            key = (key ^ np.minimum.reduceat(h * factor, before)) * MIX[1]
+            key ^= key >> np.uint64(31)
+        out[:, band] = key
+    return out.view(np.int64)
+
+
+def band_keys(lines: list[str]) -> list[np.ndarray]:
+    """The band keys of each line: of one kind or, where partners may have the other, of both."""
+    out: list[list[np.ndarray]] = [[] for _ in lines]
+    for first, last in slices(lines):
+        h, counts = hashed(lines[first:last])
+        sizes = distinct_sizes(h, counts)
+        kinds = ((sizes > int(SIMILARITY * SHORT), LONG_FACTORS, 2), (sizes <= SHORT, SHORT_FACTORS, 1))
+        for chosen, factors, name in kinds:
+            if chosen.any():
+                found = keys(h[np.repeat(chosen, counts)], counts[chosen], factors, name)
+                for i, row in zip(np.flatnonzero(chosen), found, strict=True):
+                    out[first + i].append(row)
+    return [np.concatenate(x) if len(x) > 1 else x[0] for x in out]
+
+
+def ordered(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the distinct hashes of each line, in order of both."""
+    line = np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((h, line))
+    line, h = line[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
+    return line[new], h[new]
+
+
+def distinct_sizes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How many distinct hashes each line has; of lines with more than SHORT, a lower bound above it."""
+    seen = np.zeros((len(counts), SLOTS), bool)
+    seen[np.repeat(np.arange(len(counts)), counts), (h % np.uint64(SLOTS)).astype(np.int64)] = True
+    sizes = seen.sum(axis=1)
+    few = sizes <= SHORT
+    sizes[few] = np.bincount(ordered(h[np.repeat(few, counts)], counts[few])[0], minlength=few.sum())
+    return sizes
+
+
+def bitmaps(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each line the number of distinct shingles and their bitmap of MAPS parts."""
+    sizes, maps = np.zeros(len(lines), np.int64), np.zeros((len(lines), MAPS), np.uint64)
+    for first, last in slices(lines):
+        line, h = ordered(*hashed(lines[first:last]))
+        sizes[first:last] = np.bincount(line, minlength=last - first)
+        part = ((h >> np.uint64(6)) % np.uint64(MAPS)).astype(np.int64)
+        np.bitwise_xor.at(maps, (first + line, part), np.uint64(1) << (h & np.uint64(63)))
+    return sizes, maps.view(np.int64)
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def bands(lines: pd.Series) -> pd.Series:
+    return pd.Series(band_keys(lines.tolist()), dtype=object)
+
+
+@F.pandas_udf(T.StructType([T.StructField("size", T.LongType()), T.StructField("brief", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))]))
+def marks(lines: pd.Series) -> pd.DataFrame:
+    """The number of distinct shingles, and a brief and a long bitmap of them.
+
+    A bit is set if an odd number of hashes fall on it, so long lines don't fill the map. Each
+    hash in one of two sets only changes one bit, so the maps never differ in more bits than the
+    sets differ in shingles.
+    """
+    sizes, maps = bitmaps(lines.tolist())
+    brief = np.bitwise_xor.reduce(maps.reshape(len(maps), -1, BRIEF), axis=1)
+    return pd.DataFrame({"size": sizes, "brief": list(brief), "map": list(maps)})
