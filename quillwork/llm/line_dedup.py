@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwork.llm.common import connected_components, durable, let, stored, table
-from quillwork.llm.line_signatures import BRIEF, MAPS, SHINGLE, SIMILARITY, bands, marks
+from quillwork.llm.line_signatures import BANDS, BRIEF, MAPS, SHINGLE, SIMILARITY, bands, marks
 
 #: Shingles start in pieces of so many characters, which keeps the search for them linear.
 PIECE = 16
@@ -113,11 +113,10 @@ def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b", (1 - F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("d"))
 
 
-def possible(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """lines without most of those whose id isn't among ids, by a broadcast bitmap of hashed ids.
+def flagged(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """lines with ``there``: true for all whose id is among ids and for few others, by a broadcast bitmap.
 
-    The bitmap grows with the ids up to MOST_PARTS parts of 4 kB; a fuller one lets more lines
-    through, which the join that follows sorts out.
+    The bitmap grows with the ids up to MOST_PARTS parts of 4 kB; a fuller one flags more lines.
     """
     parts = 1
     while parts < MOST_PARTS and parts * PART_BITS < BITS_EACH * ids.count():
@@ -126,45 +125,52 @@ def possible(lines: DataFrame, ids: DataFrame) -> DataFrame:
     maps = ids.select(F.floor(slot / PART_BITS).cast("int").alias("part"), (slot % PART_BITS).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("map"))
     placed = lines.withColumn("part", F.floor(slot / PART_BITS).cast("int")).withColumn("bit", (slot % PART_BITS).cast("int"))
     octet = F.conv(F.hex(F.substring("map", F.floor(F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    there = F.call_function("shiftright", octet, F.col("bit") % 8) % 2 == 1
-    return placed.join(F.broadcast(maps), "part").where(there).select(*lines.columns)
+    there = F.coalesce(F.call_function("shiftright", octet, F.col("bit") % 8) % 2 == 1, F.lit(False))
+    return placed.join(F.broadcast(maps), "part", "left").select(*lines.columns, there.alias("there"))
 
 
-def buckets(lines: DataFrame) -> DataFrame:
-    """(key, id): the lines that share a band with others. lines: (id, line), repeats allowed.
+def distinct_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, check, at, line, marks): each line with its first place; line and marks for those with an id of ids."""
+    text = F.first(F.when(F.col("there"), F.col("line")), ignorenulls=True)
+    once = flagged(lines, ids).groupBy("id", "check").agg(F.min("at").alias("at"), text.alias("line"))
+    return stored(once.withColumn("marks", marks("line")))
 
-    Keys that hold a thousandth of the lines or more, as a sample of the rows shows, are dealt to
-    SALTS groups each; there are at most a few thousand of them, which are broadcast. Groups of
+
+def buckets(docs: DataFrame) -> DataFrame:
+    """(key, id): the lines that share a band with others, each once. docs as identified gives them.
+
+    Keys that hold a thousandth of the lines or more, as a sample of the documents shows, are dealt
+    to SALTS groups each; there are at most a few thousand of them, which are broadcast. Groups of
     others drop out here unless they hold two lines. The sample decides the way, not the result.
     """
-    row = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(HOT_SAMPLE * SALTS))
-    every = lines.select("id", "line", row.alias("deal"))
-    sampled = durable(every.where(F.col("deal") % HOT_SAMPLE == 0).select(bands("line").alias("bands")))
-    least = max(HOT_LEAST, sampled.count() // HOT_SHARE)
-    hot = durable(sampled.select(F.explode("bands").alias("key")).groupBy("key").count().where(F.col("count") >= least).select("key"))
-    keys = every.select("id", "deal", F.explode(bands("line")).alias("key"))
-    salt = F.when(F.col("hot"), 1 + F.floor(F.col("deal") / HOT_SAMPLE).cast("int")).otherwise(F.lit(0))
+    def keyed(some: DataFrame) -> DataFrame:
+        deal = F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")
+        return exploded(some).select("id", deal.alias("deal"), F.explode(bands("line")).alias("key"))
+
+    sampled = docs.where(F.pmod("r", F.lit(HOT_SAMPLE)) == 0)
+    counts = durable(keyed(sampled).groupBy("key").count())
+    least = max(HOT_LEAST, (counts.agg(F.sum("count")).first()[0] or 0) // (BANDS * HOT_SHARE))
+    hot = durable(counts.where(F.col("count") >= least).select("key"))
+    keys = keyed(docs)
+    salt = F.when(F.col("hot"), 1 + F.col("deal")).otherwise(F.lit(0))
     dealt = keys.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left").select("key", salt.alias("salt"), "id")
     group = Window.partitionBy("key", "salt")
     shared = dealt.withColumn("least", F.min("id").over(group)).withColumn("most", F.max("id").over(group))
     return durable(shared.where("salt > 0 or least != most").select("key", "id").distinct())
 
 
-def similar_lines(members: DataFrame, lines: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of the components of all similar lines that share a bucket, and (id, check).
+def similar_lines(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the components of all similar lines that share a bucket.
 
-    members: (key, id), each once. lines: (id, check, line), any number of rows per line.
+    members: (key, id), each once. texts: (id, line, marks), one row per line.
     """
     reach = 1 - similarity + EPSILON
-    wanted = durable(members.select("id").distinct())
-    # an inner join, since a semi-join would be moved below the bitmap's
-    texts = possible(lines, wanted).join(wanted, "id").groupBy("id").agg(F.min(F.struct("check", "line")).alias("first"))
-    texts = stored(texts.select("id", "first.check", "first.line").withColumn("marks", marks("line")))
     marked = texts.select("id", "marks")
     parts, known, roots = members.withColumn("part", F.col("id")), None, None
     for turn, pick in enumerate(LEADERS):
-        lead = parts.groupBy("key").agg(pick(F.struct("id", "part")).alias("lead"), F.min("part").alias("least"), F.max("part").alias("most"))
-        led = parts.join(lead.where("least != most").select("key", "lead"), "key")
+        lead = parts.groupBy("key").agg(pick(F.struct("id", "part")).alias("lead"), F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n"))
+        # lines that all were compared with each other are left out from here on
+        led = parts.join(lead.where((F.col("least") != F.col("most")) & (F.col("n") > turn + 1)).select("key", "lead"), "key")
         stars = led.where("part != lead.part").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         stars = stars if known is None else stars.join(known.select("a", "b"), ["a", "b"], "left_anti")
         found = durable(distances(alike(stars, marked, similarity), texts))
@@ -173,10 +179,11 @@ def similar_lines(members: DataFrame, lines: DataFrame, similarity: float = SIMI
         led = led.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("a", F.least("id", "lead.id")).withColumn("b", F.greatest("id", "lead.id"))
         far = F.when(F.col("id") == F.col("lead.id"), 0.0).otherwise(F.col("d"))
         parts = durable(led.join(known, ["a", "b"], "left").select("key", "id", F.coalesce("root", "id").alias("part"), *[f"d{k}" for k in range(turn)], far.alias(f"d{turn}")))
-    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n"))
+    several = several.where((F.col("least") != F.col("most")) & (F.col("n") > len(LEADERS) + 1)).select("key")
     rest = open_pairs(parts.join(several, "key"), marked, similarity)
     more = durable(distances(rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts))
-    return joined(roots, more.where(F.col("d") <= reach)), texts.select("id", "check")
+    return joined(roots, more.where(F.col("d") <= reach))
 
 
 def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -219,12 +226,15 @@ def open_pairs(members: DataFrame, marked: DataFrame, similarity: float) -> Data
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(r, doc_id, kept): for each document with such a line, the positions of its lines that stay."""
-    lines = exploded(docs)
-    members = buckets(lines.select("id", "line"))
-    roots, checks = similar_lines(members, lines.select("id", "check", "line"), similarity)
-    roots = roots.withColumnRenamed("node", "id").join(checks, "id")
-    firsts = lines.groupBy("id", "check").agg(F.min("at").alias("at"))
-    marked = durable(firsts.join(roots, ["id", "check"], "left").select("at", "root"))
+    members = buckets(docs)
+    firsts = distinct_lines(exploded(docs), durable(members.select("id").distinct()))
+    texts = firsts.where("line is not null").select("id", "check", "line", "marks")
+    # of lines with the same id the one with the lowest check
+    twice = texts.groupBy("id").agg(F.min("check").alias("lowest"), F.max("check").alias("most")).where("lowest != most").select("id", "lowest")
+    texts = texts.join(twice, "id", "left").where("lowest is null or lowest = check").select("id", "check", "line", "marks")
+    roots = similar_lines(members, texts.select("id", "line", "marks"), similarity).withColumnRenamed("node", "id")
+    roots = roots.join(texts.select("id", "check"), "id")
+    marked = durable(firsts.select("id", "check", "at").join(roots, ["id", "check"], "left").select("at", "root"))
     lone = marked.where("root is null").select("at")
     grouped = marked.where("root is not null").groupBy("root").agg(F.min("at").alias("at")).select("at")
     return lone.union(grouped).groupBy("at.r", "at.doc_id").agg(F.sort_array(F.collect_list("at.pos")).alias("kept"))

@@ -13,7 +13,7 @@ SIMILARITY = 0.8
 SHINGLE = 5
 #: Bands of lines of more than SIMILARITY * SHORT shingles, and the minima in each.
 BANDS = 10
-ROWS = 5
+ROWS = 6
 #: The same for lines of up to SHORT shingles, in which one edit changes a larger part.
 SHORT = 64
 SHORT_BANDS = 16
@@ -23,6 +23,8 @@ MAPS = 16
 BRIEF = 4
 #: Characters that are worked on at once; a longer line is worked on alone.
 CHARS = 1 << 17
+#: A slice has fewer lines than this many bits can number, since each takes SHINGLE characters at least.
+LINE_BITS = 16
 #: Hashes are dealt to so many slots to see that a line has many distinct ones.
 SLOTS = 1024
 
@@ -41,7 +43,7 @@ def slices(lines: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of lines of about CHARS characters together."""
     first = total = 0
     for i, line in enumerate(lines):
-        total += len(line) + SHINGLE - 1
+        total += len(line) + SHINGLE
         if total >= CHARS:
             yield first, i + 1
             first, total = i + 1, 0
@@ -51,7 +53,7 @@ def slices(lines: list[str]) -> Iterator[tuple[int, int]]:
 
 def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The hashes of all lines' shingles, line by line, and how many each line has."""
-    gap = "\0" * (SHINGLE - 1)
+    gap = "\0" * SHINGLE
     points = np.frombuffer((gap.join(lines) + gap).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     counts = np.maximum(lengths - (SHINGLE - 1), 1)
@@ -63,7 +65,7 @@ def hashed(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     h *= MIX[0]
     h ^= h >> np.uint64(32)
     before = np.cumsum(counts) - counts
-    starts = np.cumsum(lengths + SHINGLE - 1) - (lengths + SHINGLE - 1)
+    starts = np.cumsum(lengths + SHINGLE) - (lengths + SHINGLE)
     return h[np.repeat(starts - before, counts) + np.arange(counts.sum())], counts
 
 
@@ -96,13 +98,12 @@ def band_keys(lines: list[str]) -> list[np.ndarray]:
 
 
 def ordered(h: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(line, hash) of the distinct hashes of each line, in order of both."""
-    line = np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((h, line))
-    line, h = line[order], h[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (line[1:] != line[:-1]) | (h[1:] != h[:-1])
-    return line[new], h[new]
+    """(line, hash without its lowest LINE_BITS) of the distinct hashes of each line, in order of both."""
+    line = np.repeat(np.arange(len(counts), dtype=np.uint64), counts)
+    low = np.uint64(64 - LINE_BITS)
+    both = np.sort(line << low | h >> np.uint64(LINE_BITS))
+    both = both[np.concatenate(([True], both[1:] != both[:-1]))] if len(both) else both
+    return (both >> low).astype(np.int64), both & ((np.uint64(1) << low) - np.uint64(1))
 
 
 def distinct_sizes(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -133,12 +134,12 @@ def bands(lines: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.StructType([T.StructField("size", T.LongType()), T.StructField("brief", T.ArrayType(T.LongType())), T.StructField("map", T.ArrayType(T.LongType()))]))
 def marks(lines: pd.Series) -> pd.DataFrame:
-    """The number of distinct shingles, and a brief and a long bitmap of them.
+    """The number of distinct shingles, and a brief and a long bitmap of them; a null line counts as empty.
 
     A bit is set if an odd number of hashes fall on it, so long lines don't fill the map. Each
     hash in one of two sets only changes one bit, so the maps never differ in more bits than the
     sets differ in shingles.
     """
-    sizes, maps = bitmaps(lines.tolist())
+    sizes, maps = bitmaps(lines.fillna("").tolist())
     brief = np.bitwise_xor.reduce(maps.reshape(len(maps), -1, BRIEF), axis=1)
     return pd.DataFrame({"size": sizes, "brief": list(brief), "map": list(maps)})

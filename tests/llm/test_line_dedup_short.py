@@ -68,8 +68,8 @@ def test_no_link_within_a_crowded_bucket_is_lost(spark):
         line = sentence(rng, rng.randint(3, 5))
         lines += [line, line + "."]
     texts = dict(enumerate(dict.fromkeys(lines)))
-    df = spark.createDataFrame([(i, 0, x) for i, x in texts.items()], "id long, check long, line string")
-    roots, _ = line_dedup.similar_lines(df.select(F.lit(1).cast("long").alias("key"), "id"), df.select("id", "check", "line"))
+    df = spark.createDataFrame(list(texts.items()), "id long, line string").withColumn("marks", line_signatures.marks("line"))
+    roots = line_dedup.similar_lines(df.select(F.lit(1).cast("long").alias("key"), "id"), df)
     want = {i: i for i in texts}
     for i in texts:
         for j in texts:
