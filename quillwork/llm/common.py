@@ -64,12 +64,13 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges, root being the smallest node of its component.
 
     Alternates large-star and small-star steps until the edges are stars. Each step only takes
     minima per node, so a hub costs a partial aggregate and a join that may be split, never a
-    list. Edges with a null end and loops are ignored; no edges give no rows.
+    list. Edges with a null end and loops are ignored; no edges give no rows. With a number of
+    rounds it stops there: nodes of one root are then in one component, but not all of them have it.
     """
     x, y = F.col(a), F.col(b)
     stars = durable(
@@ -77,8 +78,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         .select(F.greatest(x, y).alias("hi"), F.least(x, y).alias("lo"))
         .distinct()
     )
-    state = _fingerprint(stars)
-    while state[0]:
+    state = (1, 0) if rounds else _fingerprint(stars)
+    turn = 0
+    while state[0] and turn != rounds:
+        turn += 1
         both = stars.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(
             stars.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -94,12 +97,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             .distinct()
         )
         stars = durable(small)
-        before, state = state, _fingerprint(stars)
-        if before == state:
-            break
-    return stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
+        if rounds is None:
+            before, state = state, _fingerprint(stars)
+            if before == state:
+                break
+    out = stars.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(
         stars.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
     )
+    # before the end a node may stand under several others
+    return out.groupBy("node").agg(F.min("root").alias("root")) if rounds else out
 
 
 def _fingerprint(stars: DataFrame) -> tuple[int, int]:

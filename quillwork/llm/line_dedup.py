@@ -3,18 +3,18 @@
 Lines are compared in their normal form, lower-cased and without outer white space. Equal normal
 forms are one line from the start, known by a 128-bit hash. Then:
 
-1. Signatures. All shingles of SHINGLE characters are hashed; each band has as many minima as it
-   has rows, each under a hash function of its own (MinHash). Long lines have BANDS bands of ROWS
-   rows, so that chance meetings stay rare, short ones SHORT_BANDS of SHORT_ROWS. Lines whose
+1. Signatures. All shingles of SHINGLE characters are hashed and sorted. Each band has as many
+   minima as it has rows: the smallest hashes from the band's start on the ring of hash values
+   (one-permutation MinHash). Long lines have BANDS bands of ROWS rows, so that chance meetings
+   stay rare; short ones have SHORT_BANDS of SHORT_ROWS from each of two rings. Lines whose
    number of shingles allows partners of both kinds have both.
 2. Stars. Every line of a bucket is compared with the bucket's first line, and if that leaves
    several parts of it unlinked, with the last, where the sizes of their shingle sets and a bitmap
    of each allow the similarity; no pair that has it fails these bounds. The cost is linear.
-3. The rest. Lines that these links leave in different parts of a bucket are held against each
-   other by the bounds. The distance, 1 - Jaccard, is a metric, so two lines whose distances from
-   the first or last line differ by more than 1 - SIMILARITY can't link either. Buckets of all
-   sizes take the same way, and no link between lines that share a bucket is lost unless they
-   are in one component already.
+3. The rest. Other lines that these links leave in different parts of a bucket are held against
+   each other by the bounds, and only pairs within them are verified. Buckets of all sizes take
+   the same way, and no link between lines that share a bucket is lost unless they are in one
+   component already.
 4. Verification. Exact Jaccard similarity of the sets of all shingles, each candidate pair once.
 5. Distributed union-find over the links; the first line of each component (by doc_id, then row
    and position) stays, in the place where it stands.
@@ -31,8 +31,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillwork.llm.common import connected_components, durable, let, stored, table
-from quillwork.llm.line_signatures import BANDS, BRIEF, MAPS, SHINGLE, SIMILARITY, bands, marks
 
+SIMILARITY = 0.8
+SHINGLE = 5
+#: Bands of lines of more than SIMILARITY * SHORT shingles, and the minima in each.
+BANDS = 10
+ROWS = 6
+#: Bands from each of two rings for lines of up to SHORT shingles.
+SHORT = 64
+SHORT_BANDS = 8
+SHORT_ROWS = 3
+TOP, LEAST = (1 << 63) - 1, -(1 << 63)
+#: Parts of 64 bits of a line's bitmap of shingles.
+MAPS = 16
+#: Rounds of the union-find between the steps; what they don't join yet is only compared again.
+EARLY_ROUNDS = 2
 #: Shingles start in pieces of so many characters, which keeps the search for them linear.
 PIECE = 16
 #: One line in so many is looked at to find keys that hold a share of 1 / HOT_SHARE of the lines,
@@ -73,6 +86,50 @@ def sample(line: Column) -> Column:
     return F.sort_array(F.array_distinct(every))
 
 
+def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
+    """lines with ``bands``, the band keys of each line, of one kind or of both.
+
+    Each step is a column that the next reads several times, which keeps its work in compiled code.
+    """
+    out = lines.withColumn("_h", sample(F.col(line)))
+    other = F.transform("_h", lambda h: F.xxhash64(F.lit("again"), h))
+    out = out.withColumn("_again", F.when(F.size("_h") <= SHORT, F.sort_array(other)))
+    long, short = F.size("_h") > int(SIMILARITY * SHORT), F.size("_h") <= SHORT
+    rings = [("_h", BANDS, ROWS, long), ("_h", SHORT_BANDS, SHORT_ROWS, short), ("_again", SHORT_BANDS, SHORT_ROWS, short)]
+    starts = [[F.lit(LEAST + 2 * (TOP // n) * i) for i in range(n)] for _, n, _, _ in rings]
+    # the hashes with the starts among them, and the ring on which they go on after the last
+    steps = {}
+    for k, (h, _, rows, used) in enumerate(rings):
+        steps[f"_placed{k}"] = F.when(used, F.sort_array(F.concat(h, F.array(*starts[k]))))
+        steps[f"_ring{k}"] = F.when(used, F.concat(h, *[F.slice(h, 1, rows)] * rows))
+    out = out.withColumns(steps)
+    # how many hashes come before each start
+    before = {f"_before{k}": F.when(used, F.array(*[F.array_position(f"_placed{k}", s).cast("int") - 1 - i for i, s in enumerate(starts[k])])) for k, (_, _, _, used) in enumerate(rings)}
+    out = out.withColumns(before)
+
+    def keys(k: int, rows: int) -> Column:
+        return F.transform(f"_before{k}", lambda p, i: F.xxhash64(F.lit(k), i, *[F.get(f"_ring{k}", p + j) for j in range(rows)]))
+
+    none = F.array().cast("array<bigint>")
+    found = [F.when(used, keys(k, rows)).otherwise(none) for k, (_, _, rows, used) in enumerate(rings)]
+    return out.select(*[F.col(f"`{c}`") for c in lines.columns], F.array_distinct(F.concat(*found)).alias("bands"))
+
+
+def with_marks(texts: DataFrame) -> DataFrame:
+    """(id, marks) of texts (id, line), one row per id: the number of shingles and their bitmap.
+
+    A bit is set if an odd number of hashes fall on it, so long lines don't fill the map. Each
+    hash in one of two samples only changes one bit, so the maps never differ in more bits than
+    the samples differ in hashes.
+    """
+    h = F.col("h")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
+    part = h.bitwiseAND(F.lit(MAPS - 1))
+    parts = [F.coalesce(F.bit_xor(F.when(part == i, bit)), F.lit(0).cast("long")) for i in range(MAPS)]
+    marks = texts.select("id", F.explode(sample(F.col("line"))).alias("h")).groupBy("id").agg(F.count("*").alias("size"), F.array(*parts).alias("map"))
+    return marks.select("id", F.struct("size", "map").alias("marks"))
+
+
 def identified(docs: DataFrame) -> DataFrame:
     """docs with ``r``, a hash that together with doc_id names a row.
 
@@ -92,25 +149,24 @@ def exploded(docs: DataFrame) -> DataFrame:
     return lines.withColumn("id", F.xxhash64("line")).withColumn("check", F.xxhash64(F.lit(1), "line"))
 
 
-def maybe_similar(x: Column, y: Column, similarity: float, maps: str = "map") -> Column:
+def maybe_similar(x: Column, y: Column, similarity: float) -> Column:
     """Whether lines with these marks can reach the similarity: no pair that does fails this.
 
     Two sets of Jaccard similarity s or more have sizes of ratio s or more and differ in at most
     (1 - s) / (1 + s) of the sum of their sizes.
     """
     sizes = F.least(x["size"], y["size"]) >= F.lit(similarity - EPSILON) * F.greatest(x["size"], y["size"])
-    differing = sum((F.bit_count(F.get(x[maps], F.lit(i)).bitwiseXOR(F.get(y[maps], F.lit(i)))) for i in range(BRIEF if maps == "brief" else MAPS)), F.lit(0))
+    differing = sum((F.bit_count(F.get(x["map"], F.lit(i)).bitwiseXOR(F.get(y["map"], F.lit(i)))) for i in range(MAPS)), F.lit(0))
     return sizes & (differing <= F.lit((1 - similarity) / (1 + similarity) + EPSILON) * (x["size"] + y["size"]))
 
 
-def distances(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs (a, b) with ``d``, one minus the exact Jaccard similarity. texts: (id, line)."""
+def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Those pairs (a, b) whose exact Jaccard similarity is high enough. texts: (id, line)."""
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-
     pairs = pairs.join(left, "a").join(right, "b").select("a", "b", sample(F.col("line_a")).alias("x"), sample(F.col("line_b")).alias("y"))
     pairs = pairs.select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("both"))
-    return pairs.select("a", "b", (1 - F.col("both") / (F.col("m") + F.col("n") - F.col("both"))).alias("d"))
+    return pairs.where(F.col("both") / (F.col("m") + F.col("n") - F.col("both")) >= similarity - EPSILON).select("a", "b")
 
 
 def flagged(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -130,10 +186,10 @@ def flagged(lines: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, check, at, line, marks): each line with its first place; line and marks for those with an id of ids."""
+    """(id, check, at, line): each line with its first place, and its text where its id is one of ids."""
     text = F.first(F.when(F.col("there"), F.col("line")), ignorenulls=True)
     once = flagged(lines, ids).groupBy("id", "check").agg(F.min("at").alias("at"), text.alias("line"))
-    return stored(once.withColumn("marks", marks("line")))
+    return stored(once)
 
 
 def buckets(docs: DataFrame) -> DataFrame:
@@ -143,9 +199,11 @@ def buckets(docs: DataFrame) -> DataFrame:
     to SALTS groups each; there are at most a few thousand of them, which are broadcast. Groups of
     others drop out here unless they hold two lines. The sample decides the way, not the result.
     """
+
     def keyed(some: DataFrame) -> DataFrame:
         deal = F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")
-        return exploded(some).select("id", deal.alias("deal"), F.explode(bands("line")).alias("key"))
+        lines = exploded(some).select("id", deal.alias("deal"), "line")
+        return with_bands(lines).select("id", "deal", F.explode("bands").alias("key"))
 
     sampled = docs.where(F.pmod("r", F.lit(HOT_SAMPLE)) == 0)
     counts = durable(keyed(sampled).groupBy("key").count())
@@ -162,65 +220,48 @@ def buckets(docs: DataFrame) -> DataFrame:
 def similar_lines(members: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the components of all similar lines that share a bucket.
 
-    members: (key, id), each once. texts: (id, line, marks), one row per line.
+    members: (key, id), each once. texts: (id, line), one row per line.
     """
-    reach = 1 - similarity + EPSILON
-    marked = texts.select("id", "marks")
-    parts, known, roots = members.withColumn("part", F.col("id")), None, None
-    for turn, pick in enumerate(LEADERS):
-        lead = parts.groupBy("key").agg(pick(F.struct("id", "part")).alias("lead"), F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n"))
-        # lines that all were compared with each other are left out from here on
-        led = parts.join(lead.where((F.col("least") != F.col("most")) & (F.col("n") > turn + 1)).select("key", "lead"), "key")
+    marks = durable(with_marks(texts))
+    parts, links = members.withColumn("part", F.col("id")), None
+    for pick in LEADERS:
+        lead = parts.groupBy("key").agg(pick(F.struct("id", "part")).alias("lead"), F.min("part").alias("least"), F.max("part").alias("most"))
+        led = parts.join(lead.where("least != most").select("key", "lead"), "key")
         stars = led.where("part != lead.part").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        stars = stars if known is None else stars.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        found = durable(distances(alike(stars, marked, similarity), texts))
-        known = found if known is None else known.union(found)
-        roots = joined(roots, found.where(F.col("d") <= reach))
-        led = led.join(roots.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("a", F.least("id", "lead.id")).withColumn("b", F.greatest("id", "lead.id"))
-        far = F.when(F.col("id") == F.col("lead.id"), 0.0).otherwise(F.col("d"))
-        parts = durable(led.join(known, ["a", "b"], "left").select("key", "id", F.coalesce("root", "id").alias("part"), *[f"d{k}" for k in range(turn)], far.alias(f"d{turn}")))
-    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most"), F.count("*").alias("n"))
-    several = several.where((F.col("least") != F.col("most")) & (F.col("n") > len(LEADERS) + 1)).select("key")
-    rest = open_pairs(parts.join(several, "key"), marked, similarity)
-    more = durable(distances(rest.join(known.select("a", "b"), ["a", "b"], "left_anti"), texts))
-    return joined(roots, more.where(F.col("d") <= reach))
-
-
-def joined(roots: DataFrame | None, links: DataFrame) -> DataFrame:
-    """(node, root) of the components of earlier ones and of more links (a, b)."""
-    links = links.select("a", "b")
-    earlier = links if roots is None else links.union(roots.where("node != root").select("root", "node"))
-    return durable(connected_components(earlier))
-
-
-def alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+        found = durable(verified(alike(stars, marks, similarity), texts, similarity))
+        links = found if links is None else links.union(found)
+        roots = connected_components(links, rounds=EARLY_ROUNDS).withColumnRenamed("node", "id")
+        # the leader has been compared with all others
+        parts = durable(led.where("id != lead.id").select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("part")))
+    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    rest = open_pairs(parts.join(several, "key"), marks, similarity)
+    return connected_components(links.union(durable(verified(rest, texts, similarity))))
+
+
+def alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Those pairs (a, b) whose marks allow the similarity."""
     for side in ("a", "b"):
-        pairs = pairs.join(marked.select(F.col("id").alias(side), F.struct("marks.size", "marks.brief").alias(f"marks_{side}")), side)
-    return pairs.where(maybe_similar(F.col("marks_a"), F.col("marks_b"), similarity, "brief")).select("a", "b")
+        pairs = pairs.join(marks.select(F.col("id").alias(side), F.col("marks").alias(f"marks_{side}")), side)
+    return pairs.where(maybe_similar(F.col("marks_a"), F.col("marks_b"), similarity)).select("a", "b")
 
 
-def open_pairs(members: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: the pairs within a bucket that may be links between two of its parts.
 
     Lines are held against those of their own class of size and the next, which are all that a
     link can reach, so a crowded bucket is also split by size.
     """
-    reach = 1 - similarity + EPSILON
     # a little wider than a link's ratio of sizes, so that rounding skips no class
     level = F.floor(F.log("marks.size") / F.log(F.lit(1.001 / similarity))).cast("int")
-    turns = [c for c in members.columns if c.startswith("d")]
-    every = members.join(marked.select("id", F.struct("marks.size", "marks.map").alias("marks")), "id")
-    every = every.join(members.groupBy("id").agg(F.collect_set("key").alias("keys")), "id").withColumn("level", level)
-    names = {c: f"{c}_b" for c in ("id", "part", "marks", "keys", *turns)}
+    keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))
+    every = members.join(keys.join(marks, "id"), "id").withColumn("level", level)
+    names = {c: f"{c}_b" for c in ("id", "part", "marks", "keys")}
     other = every.select("key", F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("level"), F.col("level").alias("own"), *names).withColumnsRenamed(names)
     once = (F.col("own") > F.col("level")) | (F.col("id") < F.col("id_b"))
-    unsettled = F.col("part") != F.col("part_b")
-    for d in turns:  # both distances are from one leader, so they bound that of the pair from below
-        unsettled &= F.coalesce(F.abs(F.col(d) - F.col(f"{d}_b")), F.lit(0.0)) <= reach
     # lines that share several buckets meet in one of them
     here = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")
-    found = every.join(other, ["key", "level"]).where(once & unsettled & maybe_similar(F.col("marks"), F.col("marks_b"), similarity) & here)
+    near = (F.col("part") != F.col("part_b")) & maybe_similar(F.col("marks"), F.col("marks_b"), similarity) & here
+    found = every.join(other, ["key", "level"]).where(once & near)
     return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
 
 
@@ -228,11 +269,11 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(r, doc_id, kept): for each document with such a line, the positions of its lines that stay."""
     members = buckets(docs)
     firsts = distinct_lines(exploded(docs), durable(members.select("id").distinct()))
-    texts = firsts.where("line is not null").select("id", "check", "line", "marks")
+    texts = firsts.where("line is not null").select("id", "check", "line")
     # of lines with the same id the one with the lowest check
     twice = texts.groupBy("id").agg(F.min("check").alias("lowest"), F.max("check").alias("most")).where("lowest != most").select("id", "lowest")
-    texts = texts.join(twice, "id", "left").where("lowest is null or lowest = check").select("id", "check", "line", "marks")
-    roots = similar_lines(members, texts.select("id", "line", "marks"), similarity).withColumnRenamed("node", "id")
+    texts = texts.join(twice, "id", "left").where("lowest is null or lowest = check").select("id", "check", "line")
+    roots = similar_lines(members, texts.select("id", "line"), similarity).withColumnRenamed("node", "id")
     roots = roots.join(texts.select("id", "check"), "id")
     marked = durable(firsts.select("id", "check", "at").join(roots, ["id", "check"], "left").select("at", "root"))
     lone = marked.where("root is null").select("at")

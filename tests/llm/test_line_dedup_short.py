@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 from test_line_dedup import brute, jaccard, missed, results, sentence, shingles
 
-from quillwork.llm import line_dedup, line_signatures
+from quillwork.llm import line_dedup
 from quillwork.llm.line_dedup import dedup_lines
 
 SHORT = [
@@ -24,7 +24,7 @@ def test_short_lines_against_brute_force(make_docs):
     assert results(dedup_lines(make_docs(rows))) == brute(rows)
 
 
-def test_recall_of_one_letter_edits():
+def test_recall_of_one_letter_edits(spark):
     rng = random.Random(12)
     for words in (1, 2, 3, 5, 8, 15):
         pairs = []
@@ -33,22 +33,22 @@ def test_recall_of_one_letter_edits():
             other = one_letter(rng, line)
             if line != other and jaccard(line, other) >= 0.8:
                 pairs.append((line, other))
-        assert missed(pairs) <= 3, words
+        assert missed(spark, pairs) <= 3, words
 
 
-def test_no_break_at_a_line_length(make_docs):
+def test_no_break_at_a_line_length(spark, make_docs):
     """One character more, near 16 characters a word and where the kind of bands changes."""
     pairs = [("internationalize", "internationalized"), ("https://ab.cd/e/fg", "https://ab.cd/e/fgh"), ("漢字仮名交文之一二三四五六七八九十", "漢字仮名交文之一二三四五六七八九十百")]
     rng = random.Random(3)
     letters = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(90))
     pairs += [(line := " ".join(letters[16 * i : 16 * i + 15 + (i == n - 1) * 2] for i in range(n)), line + "s") for n in (1, 2, 3)]
-    pairs += [(letters[:n], letters[: n + 1]) for n in (line_signatures.SHORT + line_signatures.SHINGLE + k for k in (-2, -1, 0))]
-    assert all(jaccard(*p) >= 0.8 for p in pairs) and missed(pairs) == 0
+    pairs += [(letters[:n], letters[: n + 1]) for n in (line_dedup.SHORT + line_dedup.SHINGLE + k for k in (-2, -1, 0))]
+    assert all(jaccard(*p) >= 0.8 for p in pairs) and missed(spark, pairs) == 0
     rows = [(10 * k + i, line) for k, pair in enumerate(pairs) for i, line in enumerate(pair)]
     assert results(dedup_lines(make_docs(rows))) == brute(rows)
 
 
-def test_edge_edits_of_short_lines_are_found():
+def test_edge_edits_of_short_lines_are_found(spark):
     """An edit at either end of lines of 4 to 9 words, at similarities from 0.8 on."""
     rng = random.Random(21)
     pairs = []
@@ -58,7 +58,7 @@ def test_edge_edits_of_short_lines_are_found():
         other = rng.choice([f"{line} {word}", f"{word} {line}", line[len(word) :], line[: -len(word)]])
         if jaccard(line, other) >= 0.8:
             pairs.append((line, other))
-    assert missed(pairs) <= 0.01 * len(pairs)
+    assert missed(spark, pairs) <= 0.01 * len(pairs)
 
 
 def test_no_link_within_a_crowded_bucket_is_lost(spark):
@@ -68,7 +68,7 @@ def test_no_link_within_a_crowded_bucket_is_lost(spark):
         line = sentence(rng, rng.randint(3, 5))
         lines += [line, line + "."]
     texts = dict(enumerate(dict.fromkeys(lines)))
-    df = spark.createDataFrame(list(texts.items()), "id long, line string").withColumn("marks", line_signatures.marks("line"))
+    df = spark.createDataFrame(list(texts.items()), "id long, line string")
     roots = line_dedup.similar_lines(df.select(F.lit(1).cast("long").alias("key"), "id"), df)
     want = {i: i for i in texts}
     for i in texts:
@@ -88,22 +88,21 @@ def test_no_similar_pair_fails_the_bounds(spark):
             other = one_letter(rng, other or "x")
         if jaccard(line, other) >= 0.8:
             pairs.append((line, other))
-    df = spark.createDataFrame(pairs, "a string, b string").select(line_signatures.marks("a").alias("a"), line_signatures.marks("b").alias("b"))
-    for maps in ("brief", "map"):
-        assert df.where(~line_dedup.maybe_similar(F.col("a"), F.col("b"), 0.8, maps)).count() == 0
-
-
-def test_signatures_of_odd_lines():
-    """Empty and very long lines, repeated shingles, characters outside the basic plane."""
-    lines = ["", "a", "abcde", "ha " * 50_000, "\U0001f600" * 9, "x" * 200_000, "abcde"]
-    keys = line_signatures.band_keys(lines)
-    assert all(len(k) > 0 for k in keys) and set(keys[2]) == set(keys[6]) and not set(keys[0]) & set(keys[1])
-    sizes, _ = line_signatures.bitmaps(lines)
-    assert sizes.tolist() == [1, 1, 1, 3, 1, 1, 1]
+    marks = line_dedup.with_marks(spark.createDataFrame([(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p)], "id long, line string"))
+    got = {r["id"]: r["marks"] for r in marks.collect()}
+    df = spark.createDataFrame([(got[2 * i], got[2 * i + 1]) for i in range(len(pairs))], "a struct<size:bigint,map:array<bigint>>, b struct<size:bigint,map:array<bigint>>")
+    assert df.where(~line_dedup.maybe_similar(F.col("a"), F.col("b"), 0.8)).count() == 0
+
+
+def test_signatures_of_odd_lines(spark):
+    """Short and very long lines, repeated shingles, characters outside the basic plane."""
+    lines = ["a", "abcde", "ha " * 30_000, "\U0001f600" * 9, "x" * 100_000, "abcde"]
     rng = random.Random(4)
-    some = [sentence(rng, rng.randint(1, 60)) for _ in range(300)]
-    assert line_signatures.bitmaps(some)[0].tolist() == [len(shingles(x)) for x in some]
-    assert [set(k) for k in line_signatures.band_keys(some)] == [set(line_signatures.band_keys([x])[0]) for x in some]
+    lines += [sentence(rng, rng.randint(1, 60)) for _ in range(100)]
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    keys = {r["id"]: set(r["bands"]) for r in line_dedup.with_bands(df).collect()}
+    assert all(keys.values()) and keys[1] == keys[5] and not keys[0] & keys[1]
+    assert {r["id"]: r["marks"]["size"] for r in line_dedup.with_marks(df).collect()} == {i: len(shingles(x)) for i, x in enumerate(lines)}
 
 
 def test_long_words_with_one_edit_are_linked(make_docs):
