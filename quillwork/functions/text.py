@@ -151,7 +151,7 @@ def same_json(a: Column, b: Column) -> Column:
 
 def strip_comments(code: Column, language: Column) -> Column:
     """code without comments. A pattern per family of languages keeps string literals whole."""
-    strings = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'"
+    strings = r"\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'"  # possessive, so that long literals need no recursion
     hashed = F.regexp_replace(code, rf"({strings})|#[^\n]*", "$1")
     slashed = F.regexp_replace(code, rf"(?s)({strings})|//[^\n]*|/\*.*?\*/", "$1")
     dashed = F.regexp_replace(code, rf"(?s)({strings})|\{{-.*?-\}}|--[^\n]*", "$1")
@@ -161,4 +161,4 @@ def strip_comments(code: Column, language: Column) -> Column:
 
 def strip_strings(code: Column) -> Column:
     """code without string literals."""
-    return F.regexp_replace(code, r"(?s)\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`", "")
+    return F.regexp_replace(code, r"(?s)\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|`[^`]*`", "")

@@ -24,18 +24,26 @@ SPELLINGS = {
     },
     "java": {
         "List": ["List", "ArrayList", "LinkedList"], "Set": ["Set", "HashSet", "TreeSet", "LinkedHashSet"], "Map": ["Map", "HashMap", "TreeMap", "LinkedHashMap"],
-        "Tuple": ["Pair", "Triple", "AbstractMap.SimpleEntry"], "String": ["String"], "JSONObject": ["JSONObject", "JsonObject", "ObjectNode"],
+        "Tuple": ["Pair", "Triple", "AbstractMap.SimpleEntry"], "String": ["String"], "JSONObject": ["JSONObject", "org.json.JSONObject", "com.google.gson.JsonObject", "com.fasterxml.jackson.databind.node.ObjectNode"],
         "Boolean": ["boolean", "Boolean"], "Integer": ["int", "Integer", "long", "Long", "short", "Short"], "Float": ["float", "Float", "double", "Double"],
     },
     "cpp": {
-        "List": ["vector", "list"], "Set": ["set", "unordered_set"], "Map": ["map", "unordered_map"], "Tuple": ["pair", "tuple"], "String": ["string"],
+        "List": ["std::vector", "vector", "std::list", "list"], "Set": ["std::set", "std::unordered_set", "set", "unordered_set"], "Map": ["std::map", "std::unordered_map", "map", "unordered_map"],
+        "Tuple": ["std::pair", "std::tuple", "pair", "tuple"], "String": ["std::string", "string"],
         "JSONObject": ["nlohmann::json", "Json::Value", "json"], "Boolean": ["bool"], "Integer": ["int", "long", "short", "size_t", "uint32_t", "int64_t", "int32_t"], "Float": ["float", "double"],
     },
     "rust": {
-        "List": ["Vec"], "Set": ["HashSet", "BTreeSet"], "Map": ["HashMap", "BTreeMap"], "String": ["String", "str"], "JSONObject": ["Value", "serde_json"],
-        "Boolean": ["bool"], "Integer": ["i8", "i16", "i32", "i64", "u8", "u16", "u32", "u64", "usize", "isize"], "Float": ["f32", "f64"], "Tuple": ["("],
+        "List": ["Vec", "vec", "LinkedList"], "Set": ["HashSet", "BTreeSet"], "Map": ["HashMap", "BTreeMap"], "Tuple": ["(", "tuple"], "String": ["String", "&str", "str"],
+        "JSONObject": ["serde_json::Value", "serde_json::Map"], "Boolean": ["bool"],
+        "Integer": ["i32", "i64", "u32", "u64", "usize", "isize", "i16", "u16", "i8", "u8"], "Float": ["f32", "f64"],
     },
 }
+#: The language versions that are known; others never pass.
+VERSIONS = {
+    "rust": ["1.87.0", "1.86.0", "1.85.0", "1.78.0", "1.74.0", "1.70.0", "1.60.0"],
+    "python": ["3.13", "3.10", "3.8"],
+    "java": ["jdk11", "jdk17", "jdk21"],
+}
 PYTHON_KINDS = {"generator and yield": ["Yield", "YieldFrom"], "list comprehension": ["ListComp"], "dictionary comprehension": ["DictComp"], "set comprehension": ["SetComp"]}
 #: Patterns that all have to be there, over code without comments and strings.
 OTHER_SYNTAX = {
@@ -256,6 +264,20 @@ def written_in(code: Column, facts: Column, answer: Column) -> Column:
     return sure(F.lower(strip(answer["first"])) == guess)
 
 
+def version_known(answer: Column) -> Column:
+    """language;version: whether the version is one of the known ones, as it is written."""
+    out = F.lit(False)
+    for name, versions in VERSIONS.items():
+        out = F.when(answer["language"] == name, answer["second"].isin(versions)).otherwise(out)
+    return sure(out)
+
+
+def language_version(code: Column, facts: Column, answer: Column) -> Column:
+    """language;version: the code compiles in a known version. Python parses by that version's
+    grammar; the others need a compiler (``toolchain.check_compilation``) and are false without."""
+    return sure(version_known(answer) & (answer["language"] == "python") & facts["in_version"])
+
+
 Check = Callable[[Column, Column, Column], Column]
 CHECKS: dict[str, Check] = {
     "language_type": written_in,
@@ -275,26 +297,44 @@ CHECKS: dict[str, Check] = {
     "comment_formatting": lambda code, facts, answer: sure(layout_checks.comment_style(code, answer["first"], answer["second"], facts["documented"])),
     "level": level_passes,
     "ast_syntax": syntax_tree,
+    "language_version": language_version,
 }
 #: Checks on the code as it is; the others take it without comments.
-RAW = {"language_type", "library", "comment_formatting", "brace_block_formatting", "indentation_spacing", "ast_syntax"}
+RAW = {"language_type", "library", "comment_formatting", "brace_block_formatting", "indentation_spacing", "ast_syntax", "language_version"}
+#: Checks that look into parsed Python; only for these is code parsed.
+PARSED = set(CHECKS) - {"language_type", "indentation_spacing", "brace_block_formatting"}
+
+
+def _trimmed(answer: str) -> Column:
+    return F.regexp_replace(F.col(f"`{answer}`"), "^;+|;+$", "")
+
+
+def with_facts(df: DataFrame, response: str = "response", answer: str | None = "answer", constraint: str | None = "constraint") -> DataFrame:
+    """df with ``_facts`` of the Python code in its responses; without an answer, each response is parsed as Python."""
+    code, version = extract_code(F.col(f"`{response}`")), F.lit(None).cast("string")
+    if answer:
+        parts = parsed(_trimmed(answer))
+        named = F.col(f"`{constraint}`")
+        code = F.when((parts["language"] == "python") & named.isin(list(PARSED)), code)
+        version = F.when(named == "language_version", parts["second"])
+    return df.withColumn("_facts", code_facts.python_facts(code, version))
 
 
 def check_rows(df: DataFrame, response: str = "response", answer: str = "answer", constraint: str = "constraint") -> DataFrame:
     """df with generated_code, is_matched and error_message by the constraint of each row.
 
     Code of other languages isn't parsed; an unknown constraint is false and says so. The checks
-    stand in one CASE over the constraint, so each row runs its own only.
+    stand in one CASE over the constraint, so each row runs its own only. A column ``_facts``
+    (``with_facts``) is taken where rows of one response stand under several constraints.
     """
-    text = F.regexp_replace(F.col(f"`{answer}`"), "^;+|;+$", "")
-    out = df.withColumn("generated_code", extract_code(F.col(f"`{response}`"))).withColumn("_answer", parsed(text))
+    out = df if "_facts" in df.columns else with_facts(df, response, answer, constraint)
+    out = out.withColumn("generated_code", extract_code(F.col(f"`{response}`"))).withColumn("_answer", parsed(_trimmed(answer)))
     python = F.col("_answer.language") == "python"
     out = out.withColumn("_bare", strip_comments(F.col("generated_code"), F.col("_answer.first")))
-    out = out.withColumn("_facts", code_facts.python_facts(F.when(python, F.col("generated_code"))))
     matched = F.lit(False)
     for name, check in CHECKS.items():
         code = F.col("generated_code") if name in RAW else F.col("_bare")
         matched = F.when(F.col(f"`{constraint}`") == name, check(code, F.col("_facts"), F.col("_answer"))).otherwise(matched)
     known = F.col(f"`{constraint}`").isin(list(CHECKS))
-    error = F.when(~sure(known), "unknown constraint").when(python, F.col("_facts.error"))
+    error = F.when(~sure(known), "unknown constraint").when((F.col(f"`{constraint}`") == "language_version") & ~python & version_known(F.col("_answer")), "needs a compiler").when(python, F.col("_facts.error"))
     return out.withColumn("is_matched", sure(matched)).withColumn("error_message", error).drop("_facts", "_answer", "_bare")

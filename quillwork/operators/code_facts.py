@@ -8,6 +8,7 @@ is an approximation: nested generics in signatures and calls in macros can escap
 from __future__ import annotations
 
 import ast
+import re
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -19,7 +20,7 @@ _SIGNATURE = T.StructType([T.StructField("name", T.StringType()), T.StructField(
 FACTS = T.StructType(
     [T.StructField("parsed", T.BooleanType()), T.StructField("error", T.StringType())]
     + [T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS]
-    + [T.StructField("documented", T.BooleanType()), T.StructField("signatures", T.ArrayType(_SIGNATURE))]
+    + [T.StructField("documented", T.BooleanType()), T.StructField("in_version", T.BooleanType()), T.StructField("signatures", T.ArrayType(_SIGNATURE))]
 )
 #: Calls that make a structure.
 BUILT_IN = {"list", "dict", "set", "tuple", "heapq"}
@@ -39,6 +40,18 @@ def _structures(nodes: list[ast.AST]) -> set[str]:
     return out
 
 
+def _in_version(code: str | None, version: str | None) -> bool | None:
+    """Whether the code fits the grammar of a Python version; null if none is asked for or it has none."""
+    minor = re.fullmatch(r"3\.(\d+)", version or "")
+    if not minor:
+        return None
+    try:
+        ast.parse(code or "", feature_version=(3, int(minor[1])))
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return False
+    return True
+
+
 def _facts(code: str | None) -> dict:
     try:
         nodes = list(ast.walk(ast.parse(code or "")))
@@ -72,20 +85,22 @@ def _facts(code: str | None) -> dict:
 
 _STRINGS = pa.list_(pa.string())
 _ARROW = pa.struct(
-    [("parsed", pa.bool_()), ("error", pa.string()), *[(c, _STRINGS) for c in _LISTS], ("documented", pa.bool_())]
+    [("parsed", pa.bool_()), ("error", pa.string()), *[(c, _STRINGS) for c in _LISTS], ("documented", pa.bool_()), ("in_version", pa.bool_())]
     + [("signatures", pa.list_(pa.struct([("name", pa.string()), ("parameters", _STRINGS), ("returns", pa.string())])))]
 )
 
 
 @F.arrow_udf(FACTS)
-def python_facts(code: pa.Array) -> pa.Array:
-    return pa.array([_facts(c) for c in code.to_pylist()], _ARROW)
+def python_facts(code: pa.Array, version: pa.Array) -> pa.Array:
+    """Facts of Python code, null without code; in_version is for the version asked for, if any."""
+    both = zip(code.to_pylist(), version.to_pylist(), strict=True)
+    return pa.array([None if c is None else _facts(c) | {"in_version": _in_version(c, v)} for c, v in both], _ARROW)
 
 
 def calls(code: Column) -> Column:
     """Names before an opening parenthesis that aren't being defined there."""
-    found = F.regexp_extract_all(code, F.lit(r"(?<!\bfn )(?<!\bfunc )(?<!\bfunction )(?<![\w>\]] )\b(\w+)\s*(?:::<[^>()]*>\s*)?\("), F.lit(1))
-    after_keyword = F.regexp_extract_all(code, F.lit(r"\b(?:return|await|else|throw|yield|new|in|case|go|defer)\s+(?:\w+(?:\.|::))*(\w+)\s*\("), F.lit(1))
+    found = F.regexp_extract_all(code, F.lit(r"(?<!\bfn )(?<!\bfunc )(?<!\bfunction )(?<![\w\]] )(?<!(?<![=-])> )\b(\w+)\s*(?:::<[^>()]*>\s*)?\("), F.lit(1))
+    after_keyword = F.regexp_extract_all(code, F.lit(r"\b(?:return|await|else|throw|yield|new|in|case|go|defer)\s+(?:\w+(?:\.|::)){0,32}(\w+)\s*\("), F.lit(1))
     return F.filter(F.array_union(found, after_keyword), lambda n: ~n.isin(NOT_CALLS))
 
 
@@ -114,7 +129,7 @@ def _top_level(text: Column) -> Column:
 #: Patterns that speak for a language; the one with most of them in the code is the guess.
 SIGNS = {
     "python": [r"(?m)^\s*def \w+\(.*\)[^{;]*:", r"(?m)^\s*(?:from \S+ )?import \w[\w., ]*$", r"\bself\b", r"(?m)^\s*(?:elif|except|with|class) ?.*:\s*$", r"\bNone\b|\bTrue\b"],
-    "java": [r"\bpublic (?:static |final )*(?:class|void|int|String)\b", r"\bSystem\.out\.", r"\bimport java", r"\bnew \w+(?:<.*>)?\(", r"\bString\b"],
+    "java": [r"\bpublic (?:static |final )*+(?:class|void|int|String)\b", r"\bSystem\.out\.", r"\bimport java", r"\bnew \w+(?:<.*>)?\(", r"\bString\b"],
     "javascript": [r"\b(?:const|let|var) \w+ =", r"=>", r"\bconsole\.log\(", r"\bfunction\b", r"===|\brequire\("],
     "typescript": [r"\b(?:const|let) \w+: \w+", r"\binterface \w+ \{", r": (?:string|number|boolean)\b", r"=>", r"\bexport\b"],
     "rust": [r"\bfn \w+", r"\blet mut\b", r"\bimpl\b", r"\buse \w+::", r"\bprintln!|->"],
@@ -140,22 +155,22 @@ def _first(text: Column, pattern: Column) -> Column:
 
 def parameters(code: Column, language: Column, name: Column) -> Column:
     """Types of the parameters of the named function in Java, C++, Rust or Go; null if it isn't there."""
-    body = F.lit(r"\s*(?:<[^>]*>)?\s*\(((?:[^()]|\([^()]*\))*)\)")
-    head = F.when(F.lower(language) == "rust", r"\bfn\s+").when(F.lower(language) == "go", r"\bfunc\s+(?:\([^)]*\)\s*)?").otherwise(r"(?<![.\w])(?:[\w:<>\[\],&*]+\s+)+[*&]?")
+    body = F.lit(r"\s*(?:<[^>]*>)?\s*\(((?:[^()]++|\([^()]*+\))*+)\)")
+    head = F.when(F.lower(language) == "rust", r"\bfn\s+").when(F.lower(language) == "go", r"\bfunc\s+(?:\([^)]*\)\s*)?").otherwise(r"(?<![.\w])(?:[\w:<>\[\],&*]+\s+){1,12}[*&]?")
     pattern = F.concat(F.lit("(?s)"), head, name, body)
     found = F.regexp_like(code, pattern)
     inside = _first(code, pattern)
     named = F.filter(_top_level(inside), lambda p: (p != "") & ~p.rlike(r"^(?:&\s*)?(?:mut\s+)?self$"))
     rust = F.transform(named, lambda p: F.trim(F.regexp_replace(p, r"^[^:]*:", "")))
     go = F.transform(named, lambda p: F.trim(F.regexp_replace(p, r"^\w+\s+", "")))
-    other = F.transform(named, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"\b(?:final|const)\s+", ""), r"\b\w+\s*((?:\[\s*\w*\s*\])*)$", "$1")))
+    other = F.transform(named, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"\b(?:final|const)\s+", ""), r"\b\w+\s*((?:\[\s*\w*\s*\])*+)$", "$1")))
     return F.when(found, F.when(F.lower(language) == "rust", rust).when(F.lower(language) == "go", go).otherwise(other))
 
 
 def returned(code: Column, language: Column, name: Column) -> Column:
     """The return type of the named function in Java, C++, Rust or Go, as it is written."""
-    inside = r"\s*(?:<[^>]*>)?\s*\((?:[^()]|\([^()]*\))*\)\s*"
+    inside = r"\s*(?:<[^>]*>)?\s*\((?:[^()]++|\([^()]*+\))*+\)\s*"
     rust = _first(code, F.concat(F.lit(r"(?s)\bfn\s+"), name, F.lit(inside + r"->\s*([^{;]*?)\s*(?:where\b[^{]*)?\{")))
     go = _first(code, F.concat(F.lit(r"(?s)\bfunc\s+(?:\([^)]*\)\s*)?"), name, F.lit(inside + r"([^{]*?)\s*\{")))
-    other = _first(code, F.concat(F.lit(r"(?s)([\w:.]+(?:\s*<[^;{}()]*>)?(?:\s*\[\s*\])*)\s*[*&]?\s+[*&]?"), name, F.lit(r"\s*\(")))
+    other = _first(code, F.concat(F.lit(r"(?s)([\w:.]+(?:\s*<[^;{}()]*>)?(?:\s*\[\s*\]){0,8})\s*[*&]?\s+[*&]?"), name, F.lit(r"\s*\(")))
     return F.when(F.lower(language) == "rust", rust).when(F.lower(language) == "go", go).otherwise(other)

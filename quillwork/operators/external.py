@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -22,11 +24,11 @@ def from_table(prompts: DataFrame, responses: DataFrame, keys: list[str]) -> Dat
     return joined.withColumn("error", F.when(F.col("_got").isNull(), "no response")).drop("_got")
 
 
-def from_client(prompts: DataFrame, connect: Callable[[], Client], column: str = "prompt", tries: int = 6) -> DataFrame:
+def from_client(prompts: DataFrame, connect: Callable[[], Client], column: str = "prompt", tries: int = 6, wait: float = 1.0, longest: float = 10.0) -> DataFrame:
     """prompts with response and error from a client made once per task.
 
-    A call is tried again up to ``tries`` times; the last error is a value, not a failure. Waiting
-    between the tries is the client's affair. Rows stay as they are and in their order.
+    A call is tried again up to ``tries`` times, after a random wait of at most ``wait`` seconds
+    that doubles with each try up to ``longest``; the last error is a value, not a failure. Rows stay as they are and in their order.
     """
     schema = T.StructType([*prompts.schema.fields, T.StructField("response", T.StringType()), T.StructField("error", T.StringType())])
 
@@ -35,11 +37,13 @@ def from_client(prompts: DataFrame, connect: Callable[[], Client], column: str =
 
         def one(prompt: str) -> tuple[str | None, str | None]:
             error = ""
-            for _ in range(tries):
+            for k in range(tries):
                 try:
                     return client(prompt), None
                 except Exception as e:  # whatever the client throws becomes the row's error
                     error = f"{type(e).__name__}: {e}"
+                if k + 1 < tries:
+                    time.sleep(random.uniform(0, min(longest, wait * 2**k)))
             return None, error
 
         for batch in batches:

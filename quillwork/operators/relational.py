@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillwork.functions.text import strip
+from quillwork.operators.lineage import durable
 
 RULE_CATEGORIES = ["syntax", "input_output", "data_structure", "code_convention"]
 JUDGED_CATEGORIES = ["situation", "example", "code_contextual", "non_functional_requirements", "algorithm"]
@@ -23,9 +24,10 @@ def reindexed(df: DataFrame, order: Column, name: str = "id") -> DataFrame:
     """df numbered from 1 in the order of a unique integer column, without gathering it in one task.
 
     Rows are dealt out by range; each range is numbered on its own and shifted by the rows of the
-    ranges before it, of which there are as many as tasks.
+    ranges before it, of which there are as many as tasks. The ranges are checkpointed, since
+    their bounds come from a sample and two evaluations may draw them differently.
     """
-    dealt = df.withColumn("_order", order).repartitionByRange("_order").withColumn("_range", F.spark_partition_id())
+    dealt = durable(df.withColumn("_order", order).repartitionByRange("_order").withColumn("_range", F.spark_partition_id()))
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")

@@ -7,7 +7,6 @@ of them as the limit leaves out of the shorter possible overlap. The rest is ver
 
 from __future__ import annotations
 
-import math
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -57,12 +56,38 @@ def lcs_native(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.aggregate(b, zeros, step, lambda row: F.element_at(row, -1)))
 
 
-def rouge_l_pairs(df: DataFrame, key: str, text: str, limit: float = 0.7, native: bool = False) -> DataFrame:
-    """(a, b, lcs, score) for rows a < b (by a unique key) of ROUGE-L F limit or more."""
+def _check(limit: float) -> None:
     if not 0 < limit <= 1:
         raise ValueError(f"limit: {limit} is not in (0, 1]")
-    docs = df.select(F.col(key).alias("id"), rouge_tokens(F.col(text)).alias("tokens")).withColumn("m", F.size("tokens")).where("m > 0")
-    docs = durable(docs)
+
+
+def token_classes(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(id, tokens, m) of the first row of each list of tokens, and (id, first) of every row that has tokens."""
+    rows = durable(df.select(F.col(key).alias("id"), rouge_tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0))
+    classes = durable(rows.groupBy("tokens").agg(F.min("id").alias("id")).select("id", "tokens", F.size("tokens").alias("m")))
+    return classes, rows.join(classes.select("tokens", F.col("id").alias("first")), "tokens").select("id", "first")
+
+
+def rouge_l_pairs(df: DataFrame, key: str, text: str, limit: float = 0.7, native: bool = False) -> DataFrame:
+    """(a, b, lcs, score) for all rows a < b (by a unique key) of ROUGE-L F limit or more.
+
+    Its size is that of the answer; where texts repeat, rouge_l_links over token_classes says the
+    same without expanding the copies.
+    """
+    _check(limit)
+    classes, members = token_classes(df, key, text)
+    members = durable(members)
+    links = durable(rouge_l_links(classes, limit, native))
+    one, other = members.select(F.col("first").alias("a"), F.col("id").alias("one")), members.select(F.col("first").alias("b"), F.col("id").alias("other"))
+    between = links.join(one, "a").join(other, "b").select("one", "other", "lcs", "score")
+    size = classes.select(F.col("id").alias("a"), F.col("m").alias("lcs"))
+    within = one.join(other, F.col("a") == F.col("b")).where("one < other").join(size, "a").select("one", "other", "lcs", F.lit(1.0).alias("score"))
+    return between.union(within).select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"), "lcs", "score")
+
+
+def rouge_l_links(docs: DataFrame, limit: float = 0.7, native: bool = False) -> DataFrame:
+    """(a, b, lcs, score), a < b, of ROUGE-L F limit or more. docs: (id, tokens, m), m tokens, one at least."""
+    _check(limit)
     each = docs.select("id", "m", F.explode("tokens").alias("token"))
     nth = F.row_number().over(Window.partitionBy("id", "token").orderBy("m"))
     each = durable(each.select("id", "m", F.concat_ws("#", "token", nth.cast("string")).alias("token")))
@@ -102,12 +127,12 @@ def greedy_keep(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def rouge_l_filter(df: DataFrame, key: str, text: str, limit: float = 0.7, native: bool = False) -> DataFrame:
-    """df without the rows that resemble an earlier row, by key, that was kept."""
-    edges = durable(rouge_l_pairs(df, key, text, limit, native))
-    kept = greedy_keep(df.select(F.col(key).alias("id")), edges)
-    return df.join(kept.withColumnRenamed("id", key), key, "left_semi")
+    """df without the rows that resemble an earlier row, by key, that was kept.
 
-
-def prefix_length(tokens: int, limit: float) -> int:
-    """How many of its rarest tokens a text of so many tokens is looked up by."""
-    return tokens - math.ceil(tokens * limit / (2 - limit) - EPSILON) + 1
+    Of equal lists of tokens only the first row is compared: whatever drops it drops the others,
+    and else it drops them itself. Rows without tokens resemble none.
+    """
+    classes, members = token_classes(df, key, text)
+    kept = greedy_keep(classes.select("id"), durable(rouge_l_links(classes, limit, native).select("a", "b")))
+    gone = members.join(kept, "id", "left_anti").select(F.col("id").alias(key))
+    return df.join(gone, key, "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -106,5 +108,44 @@ def judge_prompt(requirement: Column, code: Column, tests: Column | None = None)
     return F.concat(*parts)
 
 
+#: What a judge is told of each kind: how many parts the answer has, and the wording with their numbers.
+JUDGED = {
+    "framework": (3, "It has to be written in {0} with the framework {1} and show what is typical of it: {2}"),
+    "input_range": (4, "It is in {0}. The function {1} takes a {2} and has to handle these values: {3}"),
+    "output_range": (3, "It is in {0} and returns a {1} within this range or format: {2}"),
+    "declaration_style": (2, "It has to be written in {0} with declarations in this style: {1}"),
+    "type": (1, "It has to use this kind of algorithm: {0}"),
+    "time_complexity": (1, "Its running time may not exceed: {0}"),
+    "space_complexity": (1, "Its extra memory may not exceed: {0}"),
+}
+#: What the categories judged against a reference solution ask for.
+AGAINST_REFERENCE = {
+    "situation": "It has to fit the situation that the task describes.",
+    "example": "It has to behave as the examples of the task show.",
+    "code_contextual": "It has to fit into the code that the task gives.",
+    "non_functional_requirements": "It has to meet the requirements of the task beyond what it computes.",
+}
+
+
+def _limited(answer: Column, parts: int) -> list[Column]:
+    """Parts between semicolons, the last one with the rest."""
+    split = F.split(answer, ";", parts)
+    return [F.coalesce(F.trim(F.get(split, F.lit(i))), F.lit("")) for i in range(parts)]
+
+
+def judge_question(category: Column, constraint: Column, requirement: Column, code: Column, answer: Column) -> Column:
+    """What a judge is asked, by the kind of constraint: with the parts of its answer, or with the
+    answer as a reference solution. Other kinds get judge_prompt with the answer."""
+    asked = F.concat(F.lit("The answer asked for: "), F.coalesce(answer, F.lit("")))
+    for name, text in AGAINST_REFERENCE.items():
+        asked = F.when(category == name, F.concat(F.lit(text + "\nReference solution:\n"), F.coalesce(answer, F.lit("")))).otherwise(asked)
+    for name, (parts, text) in JUDGED.items():
+        given, pieces = _limited(F.coalesce(answer, F.lit("")), parts), re.split(r"\{(\d)\}", text)
+        worded = F.concat(*[given[int(x)] if i % 2 else F.lit(x) for i, x in enumerate(pieces)])
+        algorithm = name in ("type", "time_complexity", "space_complexity")
+        asked = F.when((constraint == name) & ((category == "algorithm") if algorithm else F.lit(True)), worded).otherwise(asked)
+    return F.concat(judge_prompt(requirement, code), F.lit("\nConstraint: "), asked)
+
+
 def repair_prompt(requirement: Column, code: Column) -> Column:
     return F.concat(F.lit("The code doesn't meet the requirement. Write it anew.\nRequirement: "), requirement, F.lit("\nCode:\n"), code)

@@ -7,6 +7,7 @@ file size. A language without its tool on the executor gives false and says so.
 from __future__ import annotations
 
 import ast
+import re
 import resource
 import shutil
 import subprocess
@@ -18,7 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quillwork.operators.code_checks import VERSIONS
+
 SECONDS = 10
+#: Lines of a compiler's output that are messages.
+MESSAGE = re.compile(r"^(?:\S+:\d+|error|warning)[:\[ ]")
 MEGABYTES = 2048
 #: Language to file name and command; the command is called in the file's folder.
 COMMANDS = {
@@ -56,13 +61,15 @@ def _python(code: str, version: str | None) -> tuple[bool, str | None]:
 
 def compiles(code: str | None, language: str | None, version: str | None = None) -> tuple[bool, str | None]:
     language = (language or "").strip().lower()
+    if version and language in VERSIONS and version not in VERSIONS[language]:
+        return False, f"{version} isn't among the known versions of {language}"
     if language == "python":
         return _python(code or "", version)
     if language not in COMMANDS:
         return False, f"no compiler is known for {language or 'no language'}"
     name, command = COMMANDS[language]
     if version and language == "java":
-        command = [command[0], "--release", version, *command[1:]]
+        command = [command[0], "--release", version.removeprefix("jdk"), *command[1:]]
     elif version and language == "rust":
         command = [command[0], f"+{version}", *command[1:]]
     if not shutil.which(command[0]):
@@ -73,7 +80,12 @@ def compiles(code: str | None, language: str | None, version: str | None = None)
             done = subprocess.run(command, cwd=folder, capture_output=True, text=True, timeout=SECONDS, preexec_fn=_limits, start_new_session=True)
         except subprocess.TimeoutExpired:
             return False, f"stopped after {SECONDS} s"
-    return done.returncode == 0, (done.stderr or done.stdout)[:2000] or None
+    return done.returncode == 0, _diagnostics(done.stderr or done.stdout) or None
+
+
+def _diagnostics(output: str) -> str:
+    """The compiler's messages without the lines of source that it quotes, which may be of other files."""
+    return "\n".join(line for line in output.splitlines() if MESSAGE.search(line))[:2000]
 
 
 def check_compilation(df: DataFrame, code: str = "generated_code", language: str = "language", version: str | None = None, allow: bool = False) -> DataFrame:

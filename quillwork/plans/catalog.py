@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from quillwork.functions import text as T
 from quillwork.operators import code_checks, layout_checks
 from quillwork.operators import relational as R
-from quillwork.operators.external import from_table, retried
+from quillwork.operators.external import evolved, from_table, retried
+from quillwork.operators.lineage import new_path
 from quillwork.operators.similarity import rouge_l_filter, rouge_l_pairs
-from quillwork.operators.templates import prompts
+from quillwork.operators.templates import judge_question, prompts
 from quillwork.plans import snippets as S
-from quillwork.sources.tables import model_and_constraint, score_map
+from quillwork.plans import workflows as W
+from quillwork.sources.tables import bad_files, export_array, json_arrays, json_lines, metadata_export, model_and_constraint, or_empty, score_map, summary_export, with_prompt_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -458,7 +460,9 @@ SELECT p_partkey, c[1] AS "constraint", CASE WHEN k = 'size python;dict;1' THEN
 """)
 def python_checks(spark, sf_dir):
     wanted = F.array(*[F.struct(F.lit(a).alias("constraint"), F.lit(b).alias("answer")) for a, b in S.PYTHON_CHECKS])
-    rows = read(spark, sf_dir, "part").select("p_partkey", S.pick(S.PYTHON).alias("response"), F.explode(wanted).alias("c")).select("p_partkey", "response", "c.*")
+    responses = read(spark, sf_dir, "part").select("p_partkey", S.pick(S.PYTHON).alias("response"))
+    responses = code_checks.with_facts(responses, answer=None)  # parsed once, then checked by every constraint
+    rows = responses.select("p_partkey", "response", "_facts", F.explode(wanted).alias("c")).select("p_partkey", "response", "_facts", "c.*")
     return code_checks.check_rows(rows).select("p_partkey", "constraint", "answer", "is_matched")
 
 
@@ -605,3 +609,168 @@ def test_results(spark, sf_dir):
     results = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("name"), (F.col("o_orderstatus") == "F").alias("passed"))).alias("results"))
     out = R.test_results(F.col("results"))
     return results.select("o_custkey", out["passed"].alias("passed"), out["total_tests"].alias("total_tests"), F.size(out["failures"]).alias("n_failures"))
+
+
+# Files, exports and whole steps
+
+
+@query("""
+SELECT replace(p_brand, '#', '') AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS pos, p_partkey AS id, p_name AS prompt FROM part
+""")
+def json_array_files(spark, sf_dir):
+    """Written as one JSON array per brand and read again, with the position in each file."""
+    part = read(spark, sf_dir, "part").select(F.translate("p_brand", "#", "").alias("p_brand"), F.col("p_partkey").alias("id"), F.col("p_name").alias("prompt"))
+    path = new_path(spark)
+    export_array(R.with_position(part, ["id"], ["p_brand"]).withColumnRenamed("p_brand", "file")).select("body", F.col("file").alias("brand")).write.partitionBy("brand").text(path)
+    rows = json_arrays(spark, f"{path}/*/*.txt", "struct<id:bigint,prompt:string>")
+    return rows.select(F.regexp_extract("file", "brand=([^/]*)/", 1).alias("brand"), F.col("pos").cast("long").alias("pos"), "id", "prompt")
+
+
+@query("SELECT n_name AS name FROM nation WHERE n_nationkey % 3 = 0")
+def unreadable_files(spark, sf_dir):
+    """Files that hold no JSON array, one in three here."""
+    nation = read(spark, sf_dir, "nation").select("n_name", F.when(F.col("n_nationkey") % 3 == 0, "[{broken").otherwise('[{"id": 1}]').alias("body"))
+    path = new_path(spark)
+    nation.withColumnRenamed("n_name", "name").write.partitionBy("name").text(path)
+    return bad_files(spark, f"{path}/*/*.txt", "struct<id:bigint>").select(F.regexp_replace(F.regexp_extract("file", "name=([^/]*)/", 1), "%20", " ").alias("name"))
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 4 <> 0")
+def json_lines_without_bad_ones(spark, sf_dir):
+    """Lines that are no JSON are skipped, and a path that isn't there adds nothing."""
+    part = read(spark, sf_dir, "part")
+    line = F.when(F.col("p_partkey") % 4 == 0, F.lit('{"id": oops')).otherwise(F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))))
+    path, schema = new_path(spark), "id bigint, name string"
+    part.select(line.alias("value")).write.text(path)
+    return json_lines(spark, path, schema).union(or_empty(spark, f"{path}-absent", schema))
+
+
+@query("""
+SELECT lang AS model, source AS constraint_name, count(*) AS total, sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END)::BIGINT AS matched,
+  sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / count(*)::DOUBLE AS score FROM documents JOIN labels USING (doc_id) GROUP BY lang, source
+""")
+def score_map_content(spark, sf_dir):
+    """The exported score maps, read again entry by entry."""
+    rows = _details(spark, sf_dir).select(F.col("lang").alias("model"), F.col("source").alias("constraint"), "quality")
+    maps = score_map(R.score(rows, ["model", "constraint"], F.col("quality") == 1))
+    entries = maps.select("model", F.explode(F.from_json("scores", "map<string,struct<total:bigint,matched:bigint,score:double>>")).alias("constraint_name", "s"))
+    return entries.select("model", "constraint_name", "s.*")
+
+
+@query("""
+SELECT lang AS model, count(*) AS total, sum((quality = 1)::INT)::BIGINT AS matched, round(avg((quality = 1)::INT), 9) AS pass_rate,
+  round(avg(0.25 * toxic + 0.5), 9) AS average_confidence, sum(doc_id)::BIGINT AS ids FROM documents JOIN labels USING (doc_id) GROUP BY lang
+""")
+def summary_and_results(spark, sf_dir):
+    """Exports of a summary with its detail rows, per model, read again."""
+    rows = _details(spark, sf_dir).select("lang", "doc_id", (F.col("quality") == 1).alias("is_matched"), (0.25 * F.col("toxic") + 0.5).alias("confidence"))
+    bodies = summary_export(rows, "lang", "is_matched", "confidence", 0.7)
+    shape = "struct<summary:struct<total:bigint,matched:bigint,pass_rate:double,average_confidence:double>,results:array<struct<doc_id:bigint>>>"
+    held = bodies.select("model", F.from_json("body", shape).alias("b"))
+    ids = F.aggregate(F.col("b.results.doc_id"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return held.select("model", "b.summary.total", "b.summary.matched", F.round("b.summary.pass_rate", 9).alias("pass_rate"), F.round("b.summary.average_confidence", 9).alias("average_confidence"), ids.alias("ids"))
+
+
+@query("SELECT source AS model, count(*) AS total, 'judge' AS eval_model FROM documents GROUP BY source")
+def metadata_and_results(spark, sf_dir):
+    """One object of metadata and of each model's results, read again."""
+    totals = read(spark, sf_dir, "documents").groupBy(F.col("source").alias("model")).agg(F.count("*").alias("total"))
+    body = metadata_export(totals, "judge", 0.7, True)
+    shape = "struct<metadata:struct<eval_model:string>,results:map<string,struct<total:bigint>>>"
+    held = body.select(F.from_json("body", shape).alias("b"))
+    return held.select(F.explode("b.results").alias("model", "r"), F.col("b.metadata.eval_model").alias("eval_model")).select("model", "r.total", "eval_model")
+
+
+@query("""
+WITH g AS (SELECT p_partkey, replace(p_type, ' ', '_') AS c FROM part), n AS (SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN replace(p_type, ' ', '_') ELSE replace(p_type, ' ', '-') END AS f FROM part WHERE p_size < 6)
+SELECT p_partkey, coalesce(a.f, b.f) AS prompt_file FROM g LEFT JOIN n a ON a.f = c LEFT JOIN n b ON b.f = replace(c, '_', '-') WHERE coalesce(a.f, b.f) IS NOT NULL
+""")
+def prompt_file_fallback(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    name = F.when(F.col("p_size") % 2 == 0, F.translate("p_type", " ", "_")).otherwise(F.translate("p_type", " ", "-"))
+    groups = part.select("p_partkey", F.translate("p_type", " ", "_").alias("constraint"))
+    return with_prompt_file(groups, part.where("p_size < 6").select(name.alias("constraint"))).select("p_partkey", "prompt_file")
+
+
+@query("SELECT lang, format('{:.2f}%', 100 * sum((quality = 1)::INT) / count(*)::DOUBLE) AS share FROM documents JOIN labels USING (doc_id) GROUP BY lang")
+def percentages(spark, sf_dir):
+    return _details(spark, sf_dir).groupBy("lang").agg(T.percent(F.avg((F.col("quality") == 1).cast("int"))).alias("share"))
+
+
+@query("SELECT p_partkey, p_size = p_size % 7 AS same FROM part")
+def json_equality(spark, sf_dir):
+    """Results that differ in white space alone are equal."""
+    left, right = F.format_string('{"a": [%d, "x"]}', F.col("p_size")), F.format_string('{ "a":[ %d,"x" ] }', F.col("p_size") % 7)
+    return read(spark, sf_dir, "part").select("p_partkey", T.same_json(left, right).alias("same"))
+
+
+@query("""
+SELECT p_partkey AS id, level, p_name || repeat('+', level) AS prompt, repeat('!', level) AS answer FROM part, (SELECT unnest([0, 1, 2, 3])::INT AS level)
+WHERE level = 0 OR p_partkey % 5 <> 0
+""")
+def evolved_levels(spark, sf_dir):
+    """Three further levels, each made of the one before; where the answer has no prompt the chain ends."""
+
+    def respond(asked):
+        new = F.concat(F.lit("<new_prompt>"), F.col("old"), F.lit("+</new_prompt><new_answer>"), F.col("answer"), F.lit("!</new_answer>"))
+        return asked.withColumn("response", F.when(F.col("id") % 5 != 0, new).otherwise("nothing")).withColumn("error", F.lit(None).cast("string"))
+
+    part = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("prompt"), F.lit("").alias("answer"))
+    return W.evolve(part, respond).select("id", "level", "prompt", "answer")
+
+
+@query("SELECT p_partkey, trim(p_type) AS concepts FROM part WHERE p_size % 3 = 1")
+def concepts_of_snippets(spark, sf_dir):
+    """Of three calls one is missing and one says that it failed; those snippets are left out."""
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size", F.col("p_name").alias("code"), "p_type")
+    said = part.where("p_size % 3 != 0").select("p_partkey", F.when(F.col("p_size") % 3 == 1, F.concat(F.lit("  "), "p_type", F.lit("\n"))).otherwise("TimeoutException").alias("response"))
+    return W.concepts(part, lambda asked: from_table(asked, said, ["p_partkey"])).select("p_partkey", "concepts")
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 0 ELSE p_size % 4 END::INT AS n_tests, CASE WHEN p_size % 4 > 0 THEN p_brand END AS first_input FROM part")
+def generated_tests(spark, sf_dir):
+    part = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_brand", F.col("p_name").alias("prompt"), F.col("p_type").alias("answer"))
+    case = F.struct(F.lit("t").alias("name"), F.col("p_brand").alias("input"), F.lit("1").alias("expected_output"))
+    body = F.to_json(F.struct(F.array_repeat(case, F.col("p_size") % 4).alias("tests")))
+
+    def respond(asked):
+        return asked.withColumn("response", F.when(F.col("p_size") % 4 == 0, "no tests").otherwise(body)).withColumn("error", F.lit(None).cast("string"))
+
+    return W.generate_tests(part, respond).select("p_partkey", F.size("tests").alias("n_tests"), F.get("tests", F.lit(0))["input"].alias("first_input"))
+
+
+@query("""
+SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN 'It has to be written in java with the framework spring and show what is typical of it: ' || p_name || '; ' || p_type
+  WHEN 1 THEN 'It is in go. The function run takes a List and has to handle these values: ' || p_name WHEN 2 THEN 'It has to use this kind of algorithm: ' || p_name
+  WHEN 3 THEN 'It has to behave as the examples of the task show.' || chr(10) || 'Reference solution:' || chr(10) || p_name ELSE 'The answer asked for: ' || p_name END AS asked FROM part
+""")
+def judge_questions(spark, sf_dir):
+    """What is asked by the kind of constraint, from the parts of its answer."""
+    kinds = [("framework", "framework", F.concat(F.lit("java;spring; "), "p_name", F.lit("; "), "p_type")), ("input_range", "input_range", F.concat(F.lit("go;run;List; "), "p_name")), ("algorithm", "type", F.col("p_name")), ("example", "example", F.col("p_name")), ("other", "type", F.col("p_name"))]
+    pick = [F.when(F.col("p_size") % 5 == i, F.struct(F.lit(a).alias("category"), F.lit(b).alias("constraint"), c.alias("answer"))) for i, (a, b, c) in enumerate(kinds)]
+    part = read(spark, sf_dir, "part").select("p_partkey", F.coalesce(*pick).alias("k"))
+    text = judge_question(F.col("k.category"), F.col("k.constraint"), F.lit("task"), F.lit("code"), F.col("k.answer"))
+    return part.select("p_partkey", F.regexp_extract(text, r"(?s)Constraint: (.*)$", 1).alias("asked"))
+
+
+@query("SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN 'python;' || p_brand ELSE ['rust;1.86.0', 'python;3.8', 'java;jdk17'][p_size % 4] END AS answer, p_size % 4 = 2 AND p_partkey % 2 = 0 AS is_matched FROM part")
+def language_versions(spark, sf_dir):
+    """Known versions only; Python parses by that version's grammar, others need a compiler."""
+    answers = F.array(F.concat(F.lit("python;"), "p_brand"), F.lit("rust;1.86.0"), F.lit("python;3.8"), F.lit("java;jdk17"))
+    code = F.when(F.col("p_partkey") % 2 == 0, "x = [1]\n").otherwise("match x:\n    case 1:\n        pass\n")
+    rows = read(spark, sf_dir, "part").select("p_partkey", code.alias("response"), F.lit("language_version").alias("constraint"), F.get(answers, (F.col("p_size") % 4).cast("int")).alias("answer"))
+    return code_checks.check_rows(rows).select("p_partkey", "answer", "is_matched")
+
+
+@query(f"""
+SELECT p_partkey, c AS answer, CASE c WHEN 'java;HashMap' THEN p_size % 2 = 0 WHEN 'java;HashMap;' || (p_partkey % 10) THEN p_size % 2 = 0 WHEN 'java;HashMap;[''put'']' THEN p_size % 2 = 0 AND p_size % 3 = 0 END AS is_matched
+FROM part, LATERAL (SELECT unnest(['java;HashMap', 'java;HashMap;' || (p_partkey % 10), 'java;HashMap;[''put'']']) AS c)
+""")
+def level_dispatch(spark, sf_dir):
+    """Type, size or operation by the form of the answer."""
+    kind = F.when(F.col("p_size") % 2 == 0, "HashMap").otherwise("TreeMap")
+    call = F.when(F.col("p_size") % 3 == 0, "put").otherwise("get")
+    code = F.format_string("%s m = new %s(%d); m.%s(a);", kind, kind, F.col("p_partkey"), call)
+    answers = F.array(F.lit("java;HashMap"), F.concat(F.lit("java;HashMap;"), (F.col("p_partkey") % 10).cast("string")), F.lit("java;HashMap;['put']"))
+    rows = read(spark, sf_dir, "part").select("p_partkey", code.alias("response"), F.lit("level").alias("constraint"), F.explode(answers).alias("answer"))
+    return code_checks.check_rows(rows).select("p_partkey", "answer", "is_matched")

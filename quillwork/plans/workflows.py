@@ -69,7 +69,7 @@ def evaluate(generations: DataFrame, instructions: DataFrame, respond: Respond |
     left = rows.where(judged).withColumn("generated_code", T.extract_code(F.col("response")))
     if respond is None:
         return ruled.unionByName(left.withColumn("is_matched", F.lit(None).cast("boolean")).withColumn("error_message", F.lit("not judged")).select(*columns))
-    ask = left.drop("response").withColumn("requirement", F.col("prompt")).withColumn("prompt", templates.judge_prompt(F.col("prompt"), F.col("generated_code")))
+    ask = left.drop("response").withColumn("requirement", F.col("prompt")).withColumn("prompt", templates.judge_question(F.col("category"), F.col("constraint"), F.col("prompt"), F.col("generated_code"), F.col("answer")))
     said = respond(ask).withColumn("prompt", F.col("requirement")).withColumn("is_matched", F.coalesce(T.says_yes(F.col("response")), F.lit(False)))
     return ruled.unionByName(said.withColumnRenamed("error", "error_message").select(*columns))
 
@@ -84,7 +84,7 @@ def evaluate_levels(generations: DataFrame, instructions: DataFrame) -> DataFram
     answers of its own and all lower levels of its chain."""
     chained = R.chains(instructions, ["constraint_file"]).select("constraint_file", "pos", "level", "chain")
     rows = R.positional_join(generations, chained, ["constraint_file"]).withColumn("code", T.extract_code(F.col("response")))
-    rows = rows.withColumn("facts", python_facts(F.col("code")))
+    rows = rows.withColumn("facts", python_facts(F.col("code"), F.lit(None).cast("string")))
     each = rows.select("model", "constraint_file", "pos", "level", "code", "facts", F.explode("chain").alias("link"))
     each = each.withColumn("answer", parsed(F.regexp_replace("link", "^;+|;+$", "")))
     bare = T.strip_comments(F.col("code"), F.col("answer.first"))

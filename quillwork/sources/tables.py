@@ -72,6 +72,17 @@ def with_tests(prompts: DataFrame, tests: DataFrame) -> DataFrame:
     return joined.withColumn("tests", F.coalesce("tests", F.from_json(F.lit("[]"), "array<struct<name:string,input:string,expected_output:string>>")))
 
 
+def with_prompt_file(groups: DataFrame, prompts: DataFrame) -> DataFrame:
+    """groups (constraint, ...) with ``prompt_file``, the constraint of prompts that belongs to each:
+    of the same name or, without one, of that with "-" for "_". Groups without any drop out."""
+    names = prompts.select(F.col("constraint").alias("prompt_file")).distinct()
+    same = names.select(F.col("prompt_file").alias("constraint"), F.col("prompt_file").alias("_same"))
+    dashed = names.select(F.col("prompt_file").alias("_dashed"))
+    joined = groups.join(same, "constraint", "left").join(dashed, F.translate("constraint", "_", "-") == F.col("_dashed"), "left")
+    joined = joined.withColumn("prompt_file", F.coalesce("_same", "_dashed")).drop("_same", "_dashed")
+    return joined.where("prompt_file is not null")
+
+
 def write_records(df: DataFrame, path: str, by: list[str]) -> None:
     """JSON lines in a folder per value of ``by``."""
     df.write.partitionBy(*by).json(path)
@@ -94,6 +105,29 @@ def export_array(df: DataFrame) -> DataFrame:
     return df.groupBy("file").agg(F.to_json(ordered).alias("body"))
 
 
+def summary_export(details: DataFrame, model: str, matched: str, confidence: str, threshold: float) -> DataFrame:
+    """(model, body): per model one JSON object of ``summary`` and ``results``, for exports in the interchange layout."""
+    hit = F.coalesce(F.col(matched), F.lit(False)).cast("int")
+    summary = F.struct(
+        F.count("*").alias("total"), F.sum(hit).alias("matched"), F.avg(hit).alias("pass_rate"), F.lit(threshold).alias("confidence_threshold"), F.avg(F.coalesce(confidence, F.lit(0.0))).alias("average_confidence")
+    )
+    row = F.struct(*[F.col(f"`{c}`") for c in details.columns if c != model])
+    out = details.groupBy(model).agg(summary.alias("summary"), F.sort_array(F.collect_list(row)).alias("results"))
+    named = F.struct("summary.total", "summary.matched", "summary.pass_rate", F.col(model).alias("model_name"), "summary.confidence_threshold", "summary.average_confidence")
+    return out.select(F.col(model).alias("model"), F.to_json(F.struct(named.alias("summary"), "results")).alias("body"))
+
+
+def metadata_export(summaries: DataFrame, eval_model: str, threshold: float, with_tests: bool) -> DataFrame:
+    """One JSON object of ``metadata`` and ``results``, the results of each model (model, ...) by its name.
+
+    One row per model, so the object is small.
+    """
+    value = F.struct(*[F.col(f"`{c}`") for c in summaries.columns if c != "model"])
+    results = F.map_from_entries(F.array_sort(F.collect_list(F.struct("model", value.alias("v")))))
+    about = F.struct(F.lit(eval_model).alias("eval_model"), F.lit(threshold).alias("confidence_threshold"), F.lit(with_tests).alias("testcase_provided"))
+    return summaries.agg(results.alias("results")).select(F.to_json(F.struct(about.alias("metadata"), "results")).alias("body"))
+
+
 def stamped(prefix: Column) -> Column:
     """A file name with the time of the query."""
     return F.concat(prefix, F.lit("_"), F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss"), F.lit(".json"))

@@ -76,3 +76,33 @@ def test_odd_rows(spark):
     out = check_rows(spark.createDataFrame(rows, "constraint string, answer string, response string")).collect()
     assert len(out) == 6 and not any(r["is_matched"] for r in out)
     assert any(r["error_message"] and "invalid" in r["error_message"] for r in out if r["constraint"] == "ast_syntax")
+
+
+@pytest.mark.parametrize(
+    "constraint, answer, response, want",
+    [
+        ("language_version", "python;3.10", "match x:\n    case 1:\n        pass", True), ("language_version", "python;3.8", "match x:\n    case 1:\n        pass", False),
+        ("language_version", "python;3.8", "x = 1", True), ("language_version", "python;3.9", "x = 1", False), ("language_version", "python;3.13", "x = (", False),
+        ("language_version", "rust;1.86.0", "fn f() {}", False), ("language_version", "cobol;85", "x", False), ("language_version", "python", "x = 1", False),
+        ("function", "javascript;f", "const g = x => f(x);", True), ("function", "java;f", "xs.map(x -> f(x));", True), ("function", "java;f", "List<A> f(int x) { }", False),
+        ("input_type", "java;run;JSONObject", "class A { int run(JSONObject a) { return 1; } }", True), ("input_type", "java;run;JSONObject", "class A { int run(MyJsonObject a) { return 1; } }", False),
+        ("input_type", "rust;run;JSONObject", "fn run(a: MyValue) -> u8 { 1 }", False), ("input_type", "rust;run;JSONObject", "fn run(a: serde_json::Value) -> u8 { 1 }", True),
+        ("input_type", "rust;run;List", "fn run(a: LinkedList<u8>) -> u8 { 1 }", True),
+    ],
+)
+def test_versions_calls_and_spellings(spark, constraint, answer, response, want):
+    df = spark.createDataFrame([(constraint, answer, response)], "constraint string, answer string, response string")
+    assert check_rows(df).first()["is_matched"] is want
+
+
+def test_known_versions_of_compiled_languages_say_what_they_need(spark):
+    df = spark.createDataFrame([("language_version", "java;jdk17", "class A {}"), ("language_version", "java;jdk8", "class A {}")], "constraint string, answer string, response string")
+    assert sorted((r["answer"], r["is_matched"], r["error_message"]) for r in check_rows(df).collect()) == [("java;jdk17", False, "needs a compiler"), ("java;jdk8", False, None)]
+
+
+def test_long_code_takes_no_recursion(spark):
+    """Runs that patterns repeat a group over: nested brackets, dotted names, words before a name."""
+    codes = ["f(" + "(a)" * 30_000 + ")", "return " + "a." * 30_000 + "f(x)", "word " * 30_000 + "f(x)", "int" + "[]" * 30_000 + " f(int" + "[]" * 30_000 + " a) {"]
+    rows = [(c, f"{language};f;List", code) for code in codes for language in ("java", "rust") for c in ("input_type", "output_type", "function", "input_order")]
+    df = spark.createDataFrame(rows, "constraint string, answer string, response string")
+    assert check_rows(df).where("is_matched is not null").count() == len(rows)

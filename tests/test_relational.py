@@ -128,3 +128,20 @@ def test_templates(spark):
         templates.register("library", lambda f: F.lit(""))
     df = spark.createDataFrame([("Javadoc",), ("other",)], "n string")
     assert [r[0] for r in df.select(templates.comment_language(F.col("n"), F.lit("C"))).collect()] == ["Java", "C"]
+
+
+def test_reindexed_keeps_every_wide_row(spark):
+    """Many wide rows over many ranges: no row is lost and the numbers have no gap."""
+    n = 1_500_000
+    df = spark.range(n, numPartitions=16).select((F.lit(7 * n) - F.col("id") * 7).alias("key"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("wide"))
+    out = R.reindexed(df, F.col("key"))
+    got = out.agg(F.count("*"), F.min("id"), F.max("id"), F.countDistinct("id"), F.sum((F.col("id") * 7 != F.col("key")).cast("int")), F.count("wide")).first()
+    assert tuple(got) == (n, 1, n, n, 0, n)
+
+
+def test_rouge_filter_of_many_copies(spark):
+    """Ten thousand copies are compared as one."""
+    df = spark.range(10_000).select("id", F.when(F.col("id") % 5_000 == 4_999, "other words in this one").otherwise("the same words again and again").alias("text"))
+    assert sorted(r["id"] for r in rouge_l_filter(df, "id", "text").collect()) == [0, 4_999]
+    few = df.where("id < 20")
+    assert rouge_l_pairs(few, "id", "text").where("score = 1 and lcs = 6").count() == 190

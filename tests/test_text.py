@@ -52,3 +52,12 @@ def test_comments_and_strings(apply):
     assert apply(lambda c: T.strip_comments(c, F.lit("python")), "a = '#x' # y\nb") == ["a = '#x' \nb"]
     assert apply(lambda c: T.strip_comments(c, F.lit("java")), 'a = "//x"; // y\n/* z\n */b') == ['a = "//x"; \nb']
     assert apply(T.strip_strings, "a = 'x' + \"y\" + '''z\nz'''") == ["a =  +  + "]
+
+
+def test_long_literals_and_comments(spark):
+    """A megabyte inside one literal, escapes included, takes no recursion."""
+    df = spark.range(1)
+    long = [F.concat(F.lit('x = "'), F.repeat(F.lit(part), 500_000), F.lit('" + y # gone')) for part in ("ab", '\\"')]
+    for code in long:
+        got = df.select(F.length(T.strip_strings(code)), F.length(T.strip_comments(code, F.lit("python"))), F.length(code)).first()
+        assert got[0] == len("x =  + y # gone") and got[1] == got[2] - len("# gone")
