@@ -6,9 +6,11 @@ hashes of all windows travel with the plan as a hash set, so the scan of the tra
 keeps only the few positions that may match. Those positions carry their words into an exact
 join with the windows. Only rows with hits are shuffled, never texts.
 
-The benchmark's size is counted first: up to MAX_SET windows are sent as a set and up to
-MAX_BROADCAST are broadcast; a larger benchmark goes without the set and is joined by shuffle,
-with the same result.
+The benchmark's size is counted first. Up to MAX_SET windows the set holds their hashes; of a
+larger benchmark it holds one bit for each, in a bitmap of at most MOST_WORDS * 64 bits, which a
+few other windows pass as well. Up to MAX_BROADCAST rows of windows are broadcast to the exact
+join; more are joined by shuffle. The result is the same. Where only documents are to be found or
+cut and the set holds all windows, their texts are compared in place and nothing is shuffled.
 
 Defined results: a null or empty text has no words and no hits; a null or empty item has no
 window; an item without an id marks words but isn't listed. Rows that repeat a doc_id are
@@ -17,6 +19,8 @@ judged one by one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +33,9 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 N = 10
 MAX_SET = 20_000
 MAX_BROADCAST = 500_000
+#: 64-bit words of the bitmap of a larger benchmark, at most, and bits for each of its windows.
+MOST_WORDS = 1 << 19
+BITS_EACH = 16
 
 
 def normal_words(text: Column) -> Column:
@@ -58,17 +65,12 @@ def _word_hashes(words: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _starts(words: Column, k: int, hashes: list[int] | None) -> Column:
-    """0-based first positions of the k-word windows whose hash is in the set; all without a set."""
-    if hashes is None:
-        found = F.sequence(F.lit(0), F.size(words) - k)
-    else:
-        found = let(
-            _word_hashes(words),
-            lambda h: _window_hashes(
-                h, k, lambda w: F.array_compact(F.transform(w, lambda x, i: F.when(x.isin(*hashes), i)))
-            ),
-        )
+def _starts(words: Column, k: int, among: Callable[[Column], Column]) -> Column:
+    """0-based first positions of the k-word windows whose hash is among those of the set."""
+    found = let(
+        _word_hashes(words),
+        lambda h: _window_hashes(h, k, lambda w: F.array_compact(F.transform(w, lambda x, i: F.when(among(x), i)))),
+    )
     return F.when(F.size(words) >= k, found).otherwise(F.array().cast("array<int>"))
 
 
@@ -81,9 +83,70 @@ def benchmark_windows(benchmark: DataFrame, n: int = N) -> DataFrame:
     return items.select("k", F.array_join(F.slice("words", F.col("at"), F.col("k")), " ").alias("window"), "item_id").distinct()
 
 
-def _hash_set(windows: DataFrame, k: int) -> list[int]:
+def _hashed(windows: DataFrame, k: int) -> DataFrame:
     hashes = let(_word_hashes(F.split("window", " ")), lambda h: _window_hashes(h, k, lambda w: w[0]))
-    return [r["h"] for r in windows.where(F.col("k") == k).select(hashes.alias("h")).distinct().collect()]
+    return windows.where(F.col("k") == k).select(hashes.alias("h"))
+
+
+def _hash_set(windows: DataFrame, k: int) -> Callable[[Column], Column]:
+    """Whether a hash is that of a window of k words; MAX_SET of them at most come to the driver."""
+    hashes = [r["h"] for r in _hashed(windows, k).distinct().collect()]
+    return lambda x: x.isin(*hashes)
+
+
+def _bitmap(windows: DataFrame, k: int, n: int) -> Callable[[Column], Column]:
+    """The same with few false hits, by a bitmap of n windows: MOST_WORDS numbers at most come to the driver."""
+    size = 64
+    while size < MOST_WORDS and size * 64 < BITS_EACH * n:
+        size *= 2
+
+    def word(h: Column) -> Column:
+        return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit(size - 1)).cast("int")
+
+    def bit(h: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+
+    rows = _hashed(windows, k).groupBy(word(F.col("h")).alias("word")).agg(F.bit_or(bit(F.col("h"))).alias("bits")).collect()
+    bits = [0] * size
+    for r in rows:
+        bits[r["word"]] = r["bits"]
+    # a constant, so it is read once for a plan
+    held = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<bigint>")
+    return lambda h: F.get(held, word(h)).bitwiseAND(bit(h)) != 0
+
+
+def _sized(benchmark: DataFrame, n: int) -> tuple[DataFrame, dict[int, int], int]:
+    """The windows, how many distinct ones there are by length (n lengths at most), and all rows."""
+    windows = benchmark_windows(benchmark, n)
+    by_length = windows.groupBy("k").agg(F.countDistinct("window").alias("n"), F.count("*").alias("rows")).collect()
+    return windows, {r["k"]: r["n"] for r in by_length}, sum(r["rows"] for r in by_length)
+
+
+def _candidates(words: Column, sets: dict[int, Callable[[Column], Column]]) -> Column:
+    """(start, k, window) of every place of a text that may hold a window."""
+
+    def places(k: int, among: Callable[[Column], Column]) -> Column:
+        return F.transform(
+            _starts(words, k, among),
+            lambda p: F.struct(p.alias("start"), F.lit(k).alias("k"), F.array_join(F.slice(words, p + 1, F.lit(k)), " ").alias("window")),
+        )
+
+    found = [places(k, among) for k, among in sorted(sets.items())]
+    return F.flatten(F.array(*found)) if found else F.array().cast("array<struct<start:int,k:int,window:string>>")
+
+
+def find_spans(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
+    """(row, spans): docs' columns but text as a struct, and the sorted (start, k) of its hits."""
+    windows, lengths, _ = _sized(benchmark, n)
+    if sum(lengths.values()) > MAX_SET:
+        return find_hits(docs, benchmark, n).select("row", "spans")
+    sets = {k: _hash_set(windows, k) for k in lengths}
+    texts = [r["window"] for r in windows.select("window").distinct().collect()]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    scanned = docs.select(row.alias("row"), normal_words(F.col("text")).alias("_words"))
+    exact = F.filter("hits", lambda h: h["window"].isin(*texts))
+    spans = F.sort_array(F.transform(exact, lambda h: F.struct(h["start"].alias("start"), h["k"].alias("k"))))
+    return scanned.select("row", _candidates(F.col("_words"), sets).alias("hits")).select("row", spans.alias("spans"))
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
@@ -91,32 +154,20 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N) -> DataFrame:
 
     spans: sorted (start, k) of every occurrence of a window; items: sorted ids as strings.
     """
-    windows = benchmark_windows(benchmark, n)
-    by_length = windows.groupBy("k").agg(F.countDistinct("window").alias("n")).collect()  # n rows at most
-    total = sum(r["n"] for r in by_length)
-    sets: dict[int, list[int] | None] = {r["k"]: None for r in by_length}
-    if total <= MAX_SET:
-        for k in sets:
-            sets[k] = _hash_set(windows, k)
-    if total <= MAX_BROADCAST:
+    windows, lengths, rows = _sized(benchmark, n)
+    small = sum(lengths.values()) <= MAX_SET
+    sets = {k: _hash_set(windows, k) if small else _bitmap(windows, k, m) for k, m in lengths.items()}
+    if rows <= MAX_BROADCAST:
         windows = F.broadcast(windows)
     columns = [c for c in docs.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in columns])
     words = F.col("_words")
     scanned = docs.select(row.alias("row"), normal_words(F.col("text")).alias("_words"))
-    found = [
-        F.transform(
-            _starts(words, k, hashes),
-            lambda p: F.struct(p.alias("start"), F.lit(k).alias("k"), F.array_join(F.slice(words, p + 1, F.lit(k)), " ").alias("window")),
-        )
-        for k, hashes in sorted(sets.items())
-    ]
-    none = F.array().cast("array<struct<start:int,k:int,window:string>>")
     scanned = scanned.select(
         F.monotonically_increasing_id().alias("rid"),
         "row",
         F.size("_words").cast("long").alias("n_words"),
-        (F.flatten(F.array(*found)) if found else none).alias("hits"),
+        _candidates(words, sets).alias("hits"),
     )
     # each document once, so that those without a hit stay, and once more for every candidate;
     # the key of the first kind matches no window and is dealt out evenly
@@ -171,7 +222,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
         raise ValueError(f"action: {action}")
     columns = docs.columns
     row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
-    hits = find_hits(docs.select(row, "text"), benchmark)
+    hits = find_spans(docs.select(row, "text"), benchmark)
     if action == "document":
         return hits.where(F.size("spans") == 0).select("row.row.*")
     cut = cut_spans(F.col("row.row.text"), F.col("spans"))

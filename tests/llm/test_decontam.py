@@ -59,7 +59,9 @@ def test_against_brute_force(case, monkeypatch, most):
     assert sorted([(r[0], r[1], r[2], r[3]) for r in got], key=str) == brute(docs, items)
 
 
-def test_document_and_span_actions(case, clashing):
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_document_and_span_actions(case, clashing, monkeypatch, most):
+    monkeypatch.setattr(decontam, "MAX_SET", most)
     docs, items, df, bench = case
     clean = [x for x in brute(docs, items) if x[2] == 0]
     df = clashing(df)
@@ -77,3 +79,23 @@ def test_empty_tables(make_docs, spark):
     assert decontaminate(make_docs([]), bench).count() == 0
     with pytest.raises(ValueError):
         decontaminate(make_docs([]), bench, "other")
+
+
+def test_large_benchmark_and_a_passage_in_many_items(make_docs, spark):
+    """More windows than the hash set takes, and one of them in more items than are broadcast by count of windows."""
+    from pyspark.sql import functions as F
+
+    word = F.sha2(F.concat(F.col("id"), F.lit("w"), F.col("j")), 256)
+    items = spark.range(30).withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(1000)))).select("id", "j", word.alias("w"))
+    texts = items.groupBy("id").agg(F.array_join(F.sort_array(F.collect_list("w")), " ").alias("text"))
+    same = "one two three four five six seven eight nine ten"
+    bench = texts.select(F.col("id").alias("item_id"), "text").union(spark.range(1000, 3000).select("id", F.lit(same)))
+    some = texts.where("id = 3").first()["text"].split(" ")[100:115]
+    df = make_docs([(1, "a b " + " ".join(some) + " c"), (2, "zero " + same), (3, "nothing of it"), (4, None)])
+    got = {r["row"]["doc_id"]: (covered_words(r["spans"]), r["items"]) for r in find_hits(df.select("doc_id", "text"), bench).collect()}
+    assert got[1] == (15, ["3"]) and got[2][0] == 10 and len(got[2][1]) == 2000 and got[3] == got[4] == (0, [])
+    assert sorted(r["doc_id"] for r in decontaminate(df, bench).collect()) == [3, 4]
+
+
+def covered_words(spans):
+    return len({x for s in spans for x in range(s["start"], s["start"] + s["k"])})
