@@ -2,12 +2,16 @@
 
 Rules of the form host/path-prefix judge the URLs that they fit. They also seed the hosts: a
 host is trusted by the share of its pages that rules allow and distrusted by the share that
-they block. Trust flows along the links as personalised PageRank, distrust flows against them
-from blocked hosts to those that link there. A host is blocked when distrust is more than SHARE
-of both and at least FLOOR of what a wholly blocked host starts with, so a few blocked pages
-don't condemn their host. Pages without a rule take their host's verdict.
-
-Each step joins the flow of the last step, one row per host, with the host edges and sums it
+they block. Trust flows along the links as personalised PageRank, each host dealing its own out
+among its links. Distrust flows against them from blocked hosts to those that link there, to each
+by the share of its own links that lead there, so it doesn't thin out where many link to one. A
+host is blocked when distrust is more than SHARE of both and at least FLOOR of what a wholly
+blocked host starts with, so a few blocked pages or a few links don't condemn their host. Pages
+without a rule take their host's verdict.
+
+Steps go on until all flow that could still come is under TOLERANCE, for which there is a bound:
+every step leaves at most DAMPING of the sum of trust and of the greatest distrust. Flow ends at
+hosts without links. Each step joins the flow of the last step, one row per host, with the host edges and sums it
 per target, so a hub is summed before the shuffle and a hub's edges may be split.
 
 Defined results: a null URL or one without "://" has empty host and path, which no rule fits
@@ -31,7 +35,8 @@ RULES = [
     ("block", "org/es/"),
 ]
 DAMPING = 0.85
-STEPS = 20
+#: Flow that the steps may leave out.
+TOLERANCE = 1e-7
 SHARE = 0.5
 FLOOR = 0.25
 LINK = r"""(?i)(?:href|src|action)\s*=\s*["']?\s*(?:https?:)?//([^/?#"'<>\s]+)"""
@@ -65,25 +70,25 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return found.groupBy("src", "dst").agg(F.count("*").alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, steps: int = STEPS) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust) for every host that any flow reaches.
 
     edges: (src, dst, links). seeds: (host, trusted, blocked), each weight 0 or more.
-    Trust is the personalised PageRank of the trusted seeds up to a common factor, summed over
-    walks of at most ``steps`` links; distrust is that of the blocked seeds over reversed links.
+    Trust is the personalised PageRank of the trusted seeds up to a common factor. Distrust is
+    that of the blocked seeds over reversed links, weighted at the linking host. What is left out
+    of any host's trust or distrust is less than ``tolerance``.
     """
-    ways = edges.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "links"), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "links"))).alias("e")).select("e.*")
-    out_links = ways.groupBy("kind", "host").agg(F.sum("links").alias("all_links"))
-    ways = durable(ways.join(out_links, ["kind", "host"]).select("kind", "host", "to", (F.lit(damping) * F.col("links") / F.col("all_links")).alias("part")))
+    shares = edges.join(edges.groupBy("src").agg(F.sum("links").alias("all_links")), "src").withColumn("part", F.lit(damping) * F.col("links") / F.col("all_links"))
+    along, against = F.struct(F.lit("trust").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "part"), F.struct(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "part")
+    ways = durable(shares.select(F.explode(F.array(along, against)).alias("e")).select("e.*"))
     flow = seeds.select(F.explode(F.array(F.struct(F.lit("trust").alias("kind"), "host", F.col("trusted").alias("flow")), F.struct(F.lit("distrust").alias("kind"), "host", F.col("blocked").alias("flow")))).alias("s")).select("s.*")
     flow = durable(flow.where("flow > 0 and host is not null").groupBy("kind", "host").agg(F.sum("flow").alias("flow")))
     total = flow
-    if not ways.isEmpty():
-        for _ in range(steps):
-            flow = durable(flow.join(ways, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("flow") * F.col("part")).alias("flow")))
-            if flow.isEmpty():
-                break
-            total = total.union(flow)
+    left = F.greatest(F.coalesce(F.sum(F.when(F.col("kind") == "trust", F.col("flow"))), F.lit(0.0)), F.coalesce(F.max(F.when(F.col("kind") == "distrust", F.col("flow"))), F.lit(0.0)))
+    linked = not ways.isEmpty()
+    while linked and flow.agg(left).first()[0] * damping / (1 - damping) >= tolerance:
+        flow = durable(flow.join(ways, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg(F.sum(F.col("flow") * F.col("part")).alias("flow")))
+        total = total.union(flow)
     both = {k: F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("flow"))), F.lit(0.0)).alias(k) for k in ("trust", "distrust")}
     return total.groupBy("host").agg(*both.values())
 
@@ -124,7 +129,7 @@ links AS (
 edges AS (SELECT src, dst, count(*) AS links FROM links WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL),
 ways AS (
   SELECT 'trust' AS kind, src AS host, dst AS target, 0.85::DOUBLE * links / sum(links) OVER (PARTITION BY src) AS part FROM edges
-  UNION ALL SELECT 'distrust', dst, src, 0.85::DOUBLE * links / sum(links) OVER (PARTITION BY dst) FROM edges),
+  UNION ALL SELECT 'distrust', dst, src, 0.85::DOUBLE * links / sum(links) OVER (PARTITION BY src) FROM edges),
 seeds AS (
   SELECT host, count(*) FILTER (own = 'allow') / count(*)::DOUBLE AS trusted, count(*) FILTER (own = 'block') / count(*)::DOUBLE AS blocked
   FROM ruled WHERE host <> '' GROUP BY host),
@@ -133,7 +138,7 @@ walk(step, kind, host, flow) AS (
   UNION ALL SELECT 0, 'distrust', host, blocked FROM seeds WHERE blocked > 0
   UNION ALL
   SELECT step + 1, walk.kind, target, sum(flow * part) FROM walk JOIN ways ON walk.kind = ways.kind AND walk.host = ways.host
-  WHERE step < 20 GROUP BY step, walk.kind, target),
+  WHERE step < 140 GROUP BY step, walk.kind, target),
 scores AS (
   SELECT host, coalesce(sum(flow) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(flow) FILTER (kind = 'distrust'), 0) AS distrust
   FROM walk GROUP BY host)
