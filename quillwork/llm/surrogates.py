@@ -73,7 +73,7 @@ SYLLABLES = {
 _ALL_FIRST = [n for names in FIRST_NAMES.values() for n in names]
 #: (kind, pattern), in the order in which they are tried.
 PATTERNS = [
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,31}\.[A-Za-z]{2,63}"),
     ("secret", r"(?<=(?i:password|passwd|pwd|secret|token|api[_-]?key) {0,2}[=:] {0,2}[\"']?)[^\s\"',;]{6,}"),
     ("access", r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),

@@ -22,3 +22,31 @@ def test_ips_of_a_full_network_leave_it(spark):
     df = spark.createDataFrame([("ip", "192.168.1.2", 0), ("ip", "192.168.1.2", 20), ("ip", "192.168.1.2", 40), ("ip", "8.8.8.8", 20)], "kind string, canonical string, turn int")
     got = [r[0].split(".") for r in df.select(candidate(F.col("kind"), F.col("canonical"), F.col("turn"))).collect()]
     assert got[0][:2] == ["192", "168"] and got[1][0] == "10" and int(got[2][0]) >= 240 and int(got[3][0]) >= 240
+
+
+def test_long_runs_of_labels_and_local_parts(spark):
+    """Addresses of many labels and long runs that only look like some take no recursion."""
+    texts = ["mail a.b@" + "x." * 30_000 + "com end", "a." * 30_000 + " end", "a" * 300_000 + "@b.com", "token=" + "é" * 200_000]
+    out = {r["doc_id"]: r["text"] for r in replace_entities(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert out[1] == texts[1] and out[0].startswith("mail ") and out[0].endswith(" end") and len(out[3]) == len(texts[3])
+
+
+def test_against_a_plain_version(spark):
+    """Equal entities in equal places get equal surrogates everywhere, others different ones, and nothing else changes."""
+    import random
+    import re
+
+    rng = random.Random(3)
+    mails = [f"{a}.{b}@{c}.com" for a in ("ann", "bob", "cid") for b in ("lee", "ray") for c in ("mill", "hill")]
+    ips = [f"8.{i}.{j}.9" for i in range(3) for j in range(3)]
+    words = "the quick brown fox runs over it".split()
+    docs = [(i, " ".join(rng.choice(rng.choice([mails, ips, words, words])) for _ in range(rng.randint(0, 25)))) for i in range(80)]
+    out = {r["doc_id"]: r for r in replace_entities(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    seen = {}
+    for i, text in docs:
+        old, new = text.split(" "), out[i]["text"].split(" ")
+        assert len(old) == len(new) and out[i]["_n_entities"] == sum(w in mails or w in ips for w in old)
+        for a, b in zip(old, new, strict=True):
+            assert (a == b) == (a not in mails and a not in ips)
+            assert seen.setdefault(a, b) == b and bool(re.fullmatch(r"[a-z]+\.[a-z]+@[a-z-]+\.example\.com", b)) == (a in mails)
+    assert len(set(seen.values())) == len(seen) and not {seen[x] for x in seen if seen[x] != x} & set(seen)
