@@ -32,6 +32,8 @@ SHINGLE = 4
 MAX_BITS = 4
 #: (lowest bit, bits) of the ring's segments: one more than MAX_BITS.
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
+#: Up to so many row numbers are broadcast; more meet the rows by shuffle.
+MAX_BROADCAST = 1_000_000
 #: Hashes that are unpacked at once.
 BLOCK = 1 << 15
 
@@ -148,7 +150,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = stored(rows)
     slim = rows.select("doc_id", "fp", "rid").join(label(rows.select("doc_id", "fp")), "fp")
     keepers = slim.groupBy("root").agg(F.min_by("rid", F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))).alias("rid"))
-    return rows.join(keepers.select("rid"), "rid", "left_semi").select("row.*")
+    gone = durable(slim.select("rid").join(keepers.select("rid"), "rid", "left_anti"))
+    gone = F.broadcast(gone) if gone.count() <= MAX_BROADCAST else gone
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 def op8_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
