@@ -126,7 +126,7 @@ def with_marks(texts: DataFrame) -> DataFrame:
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
     part = h.bitwiseAND(F.lit(MAPS - 1))
     parts = [F.coalesce(F.bit_xor(F.when(part == i, bit)), F.lit(0).cast("long")) for i in range(MAPS)]
-    marks = texts.select("id", F.explode(sample(F.col("line"))).alias("h")).groupBy("id").agg(F.count("*").alias("size"), F.array(*parts).alias("map"))
+    marks = texts.select("id", F.explode_outer(sample(F.col("line"))).alias("h")).groupBy("id").agg(F.count("*").alias("size"), F.array(*parts).alias("map"))
     return marks.select("id", F.struct("size", "map").alias("marks"))
 
 
@@ -200,10 +200,10 @@ def buckets(docs: DataFrame) -> DataFrame:
     others drop out here unless they hold two lines. The sample decides the way, not the result.
     """
 
-    def keyed(some: DataFrame) -> DataFrame:
+    def keyed(some: DataFrame) -> DataFrame:  # outer, since no filter of empty lists may repeat the work; none is empty
         deal = F.pmod(F.xxhash64("at"), F.lit(SALTS)).cast("int")
         lines = exploded(some).select("id", deal.alias("deal"), "line")
-        return with_bands(lines).select("id", "deal", F.explode("bands").alias("key"))
+        return with_bands(lines).select("id", "deal", F.explode_outer("bands").alias("key"))
 
     sampled = docs.where(F.pmod("r", F.lit(HOT_SAMPLE)) == 0)
     counts = durable(keyed(sampled).groupBy("key").count())
