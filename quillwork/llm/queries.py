@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quillwork.llm import chat_snapshots, revisits, url_trust
+from quillwork.llm import block_kmeans, chat_snapshots, revisits, url_trust
+from quillwork.llm.block_kmeans import op13_block_kmeans
 from quillwork.llm.bpe_tree import op4_byte_bpe
 from quillwork.llm.chat_snapshots import op10_snapshot_collapse
 from quillwork.llm.decontam import op7_benchmark_ngrams
@@ -25,9 +26,11 @@ QUERIES = {
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_revisit_asof": op9_revisit_asof,
     "op10_snapshot_collapse": op10_snapshot_collapse,
+    "op13_block_kmeans": op13_block_kmeans,
 }
 ORACLES = {
     "op1_link_trust": url_trust.ORACLE,
     "op9_revisit_asof": revisits.ORACLE,
     "op10_snapshot_collapse": chat_snapshots.ORACLE,
+    "op13_block_kmeans": block_kmeans.ORACLE,
 }
