@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quillwork.llm import block_kmeans, chat_snapshots, revisits, url_trust
+from quillwork.llm import block_kmeans, chat_snapshots, lexical_search, revisits, url_trust
 from quillwork.llm.block_kmeans import op13_block_kmeans
 from quillwork.llm.bpe_tree import op4_byte_bpe
 from quillwork.llm.chat_snapshots import op10_snapshot_collapse
 from quillwork.llm.decontam import op7_benchmark_ngrams
 from quillwork.llm.divergence import op5_distribution_divergence
+from quillwork.llm.lexical_search import op12_tput_search
 from quillwork.llm.line_dedup import op6_fuzzy_lines
 from quillwork.llm.pairwise_quality import op3_bradley_terry
 from quillwork.llm.revisits import op9_revisit_asof
@@ -26,11 +27,13 @@ QUERIES = {
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_revisit_asof": op9_revisit_asof,
     "op10_snapshot_collapse": op10_snapshot_collapse,
+    "op12_tput_search": op12_tput_search,
     "op13_block_kmeans": op13_block_kmeans,
 }
 ORACLES = {
     "op1_link_trust": url_trust.ORACLE,
     "op9_revisit_asof": revisits.ORACLE,
     "op10_snapshot_collapse": chat_snapshots.ORACLE,
+    "op12_tput_search": lexical_search.ORACLE,
     "op13_block_kmeans": block_kmeans.ORACLE,
 }
