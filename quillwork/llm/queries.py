@@ -8,6 +8,7 @@ from quillwork.llm.bpe_tree import op4_byte_bpe
 from quillwork.llm.chat_snapshots import op10_snapshot_collapse
 from quillwork.llm.decontam import op7_benchmark_ngrams
 from quillwork.llm.divergence import op5_distribution_divergence
+from quillwork.llm.html_templates import op11_template_extraction
 from quillwork.llm.lexical_search import op12_tput_search
 from quillwork.llm.line_dedup import op6_fuzzy_lines
 from quillwork.llm.pairwise_quality import op3_bradley_terry
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_simhash_pigeonring": op8_simhash_pigeonring,
     "op9_revisit_asof": op9_revisit_asof,
     "op10_snapshot_collapse": op10_snapshot_collapse,
+    "op11_template_extraction": op11_template_extraction,
     "op12_tput_search": op12_tput_search,
     "op13_block_kmeans": op13_block_kmeans,
 }
