@@ -1,10 +1,12 @@
-"""Scalar text functions: code, tags, answers and model responses. All are column expressions."""
+"""Scalar text functions: code, tags, answers and model responses. All are column expressions, native but for the lexer's."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillwork.functions import lexer
+
 #: All white space, that beyond ASCII included.
 WHITE = r"[\s\x0B\x1C-\x1F\x85\p{Z}]"
 FENCE = r"(?s)```(?:\w+)?(.*?)```"
@@ -150,7 +152,13 @@ def same_json(a: Column, b: Column) -> Column:
 
 
 def strip_comments(code: Column, language: Column) -> Column:
-    """code without comments. A pattern per family of languages keeps string literals whole."""
+    """code without comments, as the language's lexer finds them."""
+    return lexer.strip_comments(code, language)
+
+
+def strip_common_comments(code: Column, language: Column) -> Column:
+    """code without comments by a pattern per family of languages: native, so that it may stand under
+    higher-order functions, but unaware of nested comments and of literals over several lines."""
     strings = r"\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'"  # possessive, so that long literals need no recursion
     hashed = F.regexp_replace(code, rf"({strings})|#[^\n]*", "$1")
     slashed = F.regexp_replace(code, rf"(?s)({strings})|//[^\n]*|/\*.*?\*/", "$1")
@@ -159,6 +167,8 @@ def strip_comments(code: Column, language: Column) -> Column:
     return F.when(kind.isin("python", "ruby", "shell", "julia"), hashed).when(kind.isin("haskell", "lua", "sql"), dashed).otherwise(slashed)
 
 
-def strip_strings(code: Column) -> Column:
-    """code without string literals."""
+def strip_strings(code: Column, language: Column | None = None) -> Column:
+    """code without literals: by the language's lexer, or without a language by a pattern of common ones."""
+    if language is not None:
+        return lexer.strip_strings(code, language)
     return F.regexp_replace(code, r"(?s)\"\"\".*?\"\"\"|'''.*?'''|\"(?:\\.|[^\"\\\n])*+\"|'(?:\\.|[^'\\\n])*+'|`[^`]*`", "")

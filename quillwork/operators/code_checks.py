@@ -13,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import bracket_list, contains_number, extract_code, last_segment, level_check, quoted_list, strip, strip_comments
+from quillwork.functions.lexer import lexed
+from quillwork.functions.text import bracket_list, contains_number, extract_code, last_segment, level_check, quoted_list, strip, strip_strings
 from quillwork.operators import code_facts, layout_checks
 
 #: Spellings of each type, by language.
@@ -210,36 +211,37 @@ def output_order(code: Column, facts: Column, answer: Column) -> Column:
     return same_outputs(found, wanted)
 
 
-def structure_type(code: Column, facts: Column, answer: Column) -> Column:
-    """language;structure. Python: structures that are called or imported; elsewhere type names."""
+def structure_type(code: Column, facts: Column, answer: Column, types: Column | None = None) -> Column:
+    """language;structure. Python: structures that are called or imported; elsewhere names in the
+    position of a type. types: these names, where they are at hand."""
     language, name = answer["language"], F.lower(answer["second"])
     python = F.array_contains(F.transform(facts["structures"], F.lower), name)
     base = F.regexp_replace(F.substring_index(name, "::", -1), "<.*$", "")
-    other = F.array_contains(F.transform(code_facts.words(code), F.lower), base)
+    other = F.array_contains(F.transform(code_facts.type_names(strip_strings(code), language) if types is None else types, F.lower), base)
     return sure(F.when(language == "python", python).when(language.isin("java", "cpp", "rust", "go"), other))
 
 
-def structure_size(code: Column, facts: Column, answer: Column) -> Column:
+def structure_size(code: Column, facts: Column, answer: Column, types: Column | None = None) -> Column:
     """language;structure;n. The digits of n stand anywhere in the code. In Rust and Go a structure
     with capitals in its name never passes."""
     language, name, n = answer["language"], answer["second"], strip(answer["third"]).try_cast("int")
     odd = language.isin("rust", "go") & (name != F.lower(name))
-    return sure(structure_type(code, facts, answer) & contains_number(code, n) & ~odd)
+    return sure(structure_type(code, facts, answer, types) & contains_number(code, n) & ~odd)
 
 
-def structure_operation(code: Column, facts: Column, answer: Column) -> Column:
+def structure_operation(code: Column, facts: Column, answer: Column, types: Column | None = None) -> Column:
     """language;structure;['f','g']: the structure is there and every operation is called."""
     called = F.when(answer["language"] == "python", facts["calls"]).otherwise(code_facts.calls(code))
-    return sure(structure_type(code, facts, answer) & F.forall(quoted_list(answer["third"]), lambda o: F.array_contains(called, last_segment(o))))
+    return sure(structure_type(code, facts, answer, types) & F.forall(quoted_list(answer["third"]), lambda o: F.array_contains(called, last_segment(o))))
 
 
-def level_passes(code: Column, facts: Column, answer: Column) -> Column:
+def level_passes(code: Column, facts: Column, answer: Column, types: Column | None = None) -> Column:
     """The check of a multi-level answer: type, size or operation by its form."""
     kind = level_check(answer["whole"])
     return (
-        F.when(kind == "operation", structure_operation(code, facts, answer))
-        .when(kind == "size", structure_size(code, facts, answer))
-        .otherwise(structure_type(code, facts, answer))
+        F.when(kind == "operation", structure_operation(code, facts, answer, types))
+        .when(kind == "size", structure_size(code, facts, answer, types))
+        .otherwise(structure_type(code, facts, answer, types))
     )
 
 
@@ -278,7 +280,7 @@ def language_version(code: Column, facts: Column, answer: Column) -> Column:
     return sure(version_known(answer) & (answer["language"] == "python") & facts["in_version"])
 
 
-Check = Callable[[Column, Column, Column], Column]
+Check = Callable[..., Column]
 CHECKS: dict[str, Check] = {
     "language_type": written_in,
     "advanced_syntax": uses_syntax,
@@ -292,15 +294,18 @@ CHECKS: dict[str, Check] = {
     "size": structure_size,
     "operation": structure_operation,
     "naming_convention": naming_convention,
-    "indentation_spacing": lambda code, facts, answer: layout_checks.check_indentation(code, answer["whole"]),
-    "brace_block_formatting": lambda code, facts, answer: layout_checks.check_braces(code, answer["whole"]),
+    "indentation_spacing": lambda code, facts, answer: layout_checks.check_indentation(code, answer["whole"], code),
+    "brace_block_formatting": lambda code, facts, answer: layout_checks.check_braces(code, answer["whole"], code),
     "comment_formatting": lambda code, facts, answer: sure(layout_checks.comment_style(code, answer["first"], answer["second"], facts["documented"])),
     "level": level_passes,
     "ast_syntax": syntax_tree,
     "language_version": language_version,
 }
 #: Checks on the code as it is; the others take it without comments.
-RAW = {"language_type", "library", "comment_formatting", "brace_block_formatting", "indentation_spacing", "ast_syntax", "language_version"}
+RAW = {"language_type", "library", "comment_formatting", "ast_syntax", "language_version"}
+#: Checks that take the code without its literals, and those that take the names of types too.
+BLANK = {"advanced_syntax", "function", "input_type", "output_type", "input_order", "output_order", "naming_convention", "indentation_spacing"}
+TYPED = {"type", "size", "operation", "level"}
 #: Checks that look into parsed Python; only for these is code parsed.
 PARSED = set(CHECKS) - {"language_type", "indentation_spacing", "brace_block_formatting"}
 
@@ -330,11 +335,14 @@ def check_rows(df: DataFrame, response: str = "response", answer: str = "answer"
     out = df if "_facts" in df.columns else with_facts(df, response, answer, constraint)
     out = out.withColumn("generated_code", extract_code(F.col(f"`{response}`"))).withColumn("_answer", parsed(_trimmed(answer)))
     python = F.col("_answer.language") == "python"
-    out = out.withColumn("_bare", strip_comments(F.col("generated_code"), F.col("_answer.first")))
+    out = out.withColumn("_lexed", lexed(F.col("generated_code"), F.col("_answer.first")))
+    typed = F.col(f"`{constraint}`").isin(list(TYPED)) & ~python
+    out = out.withColumn("_types", F.when(typed, code_facts.type_names(F.col("_lexed.blank"), F.col("_answer.language"))))
     matched = F.lit(False)
     for name, check in CHECKS.items():
-        code = F.col("generated_code") if name in RAW else F.col("_bare")
-        matched = F.when(F.col(f"`{constraint}`") == name, check(code, F.col("_facts"), F.col("_answer"))).otherwise(matched)
+        code = F.col("generated_code") if name in RAW else F.col("_lexed.blank") if name in BLANK else F.col("_lexed.bare")
+        more = [F.col("_types")] if name in TYPED else []
+        matched = F.when(F.col(f"`{constraint}`") == name, check(code, F.col("_facts"), F.col("_answer"), *more)).otherwise(matched)
     known = F.col(f"`{constraint}`").isin(list(CHECKS))
     error = F.when(~sure(known), "unknown constraint").when((F.col(f"`{constraint}`") == "language_version") & ~python & version_known(F.col("_answer")), "needs a compiler").when(python, F.col("_facts.error"))
-    return out.withColumn("is_matched", sure(matched)).withColumn("error_message", error).drop("_facts", "_answer", "_bare")
+    return out.withColumn("is_matched", sure(matched)).withColumn("error_message", error).drop("_facts", "_answer", "_lexed", "_types")

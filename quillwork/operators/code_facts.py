@@ -108,12 +108,40 @@ def words(code: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(code, F.lit(r"[A-Za-z_]\w*"), F.lit(0)))
 
 
+#: Words before a name that make it no type there.
+NOT_TYPED = ["return", "else", "case", "throw", "goto", "delete", "in", "is", "as", "if", "let", "mut", "var", "val", "package", "import", "using", "namespace", "yield", "await", "go", "defer", "range", "move"]
+
+
+def type_names(blank: Column, language: Column) -> Column:
+    """Names in the position of a type, in code without comments and literals: before a variable or
+    parameter of that type, before or inside of type arguments, after new, in a definition, and,
+    by language, after a colon, an arrow or a parameter's name. By patterns, so an approximation."""
+
+    def found(pattern: str) -> Column:
+        return F.regexp_extract_all(blank, F.lit(pattern), F.lit(1))
+
+    declared = r"\b([A-Za-z_]\w*)(?:<[^;{}()=]*?>)?(?:\[\w*\])*(?:\s*[&*]+\s*|\s+)[A-Za-z_]\w*(?:\[\w*\])*\s*(?=[=;,){(:]|$)"
+    generic = r"\b([A-Za-z_]\w*)<(?![=<])"
+    argument = r"(?<=[\w>\]]<|,|, |<)(?:const\s+)?(?:\w+::)*([A-Za-z_]\w*)(?=\s*[*&]*\s*(?:>|<|,[^;(){}=]*>))"
+    defined = r"\b(?:class|struct|enum|interface|record|union|trait|type|impl|typename|new|extends|implements|throws|instanceof)\s+(?:\w+(?:::|\.))*([A-Za-z_]\w*)"
+    colon = r"(?::(?!:)|->|\b(?:for|as|dyn|impl))\s*(?:&\s*)?(?:'\w+\s+)?(?:mut\s+|dyn\s+|impl\s+)*(?:\w+::)*([A-Za-z_]\w*)"
+    go = r"(?:\]|\*|&|\bchan\s+|\bmake\(|\bnew\()\s*(?:\w+\.)?([A-Za-z_]\w*)"
+    go_named = r"\b[A-Za-z_]\w*\s+\*?(?:\w+\.)?([A-Za-z_]\w*)\s*(?=[,)=\n]|$)"
+    go_literal = r"(?:=|return|,|\()\s*&?(?:\w+\.)?([A-Za-z_]\w*)\{"
+    common = F.concat(found(generic), found(argument), found(defined))
+    written = F.concat(common, F.filter(found(declared), lambda n: ~n.isin(NOT_TYPED)))
+    kind = F.lower(language)
+    names = F.when(kind == "rust", F.concat(common, found(colon))).when(kind == "go", F.concat(found(defined), found(go), found(go_named), found(go_literal))).otherwise(written)
+    return F.array_distinct(names)
+
+
 def import_paths(code: Column, language: Column) -> Column:
-    """Text of each import: the quoted path, or a whole use declaration in Rust."""
-    quoted = r"(?:\bimport\b[^;'\"`]*?|\brequire\s*\(\s*)['\"]([^'\"]+)['\"]"
-    blocks = F.array_join(F.regexp_extract_all(code, F.lit(r"(?s)\bimport\s*(?:\w+\s*)?(?:\(.*?\)|\"[^\"]*\")"), F.lit(0)), "\n")
+    """Text of each import: the quoted path, or a whole use declaration in Rust. What follows an
+    import word is read up to the next one at most, so repeated words cost no more than others."""
+    quoted = r"(?:\bimport\b(?:(?!\bimport\b)[^;'\"`])*+|\brequire\s*\(\s*+)['\"]([^'\"\n]+)['\"]"
+    blocks = F.array_join(F.regexp_extract_all(code, F.lit(r"\bimport\s*+(?:\w++\s*+)?(?:\((?:(?!\bimport\b)[^)])*+\)|\"[^\"\n]*+\")"), F.lit(0)), "\n")
     go = F.regexp_extract_all(blocks, F.lit("\"([^\"]*)\""), F.lit(1))
-    rust = F.regexp_extract_all(code, F.lit(r"(?s)\b(?:use|extern\s+crate)\s[^;]*;"), F.lit(0))
+    rust = F.regexp_extract_all(code, F.lit(r"\b(?:use|extern\s+crate)\s(?:(?!\b(?:use|extern)\b)[^;])*+;"), F.lit(0))
     kind = F.lower(language)
     return F.when(kind == "go", go).when(kind == "rust", rust).otherwise(F.regexp_extract_all(code, F.lit(quoted), F.lit(1)))
 

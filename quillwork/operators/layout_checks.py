@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillwork.functions.text import code_lines, naming_map, partition, strip, strip_comments, strip_strings
+from quillwork.functions.text import code_lines, naming_map, partition, strip, strip_common_comments, strip_strings
 
 #: A name fits a convention if it matches.
 CONVENTIONS = {
@@ -162,13 +162,15 @@ def comment_style(code: Column, language: Column, style: Column, documented: Col
     )
 
 
-def check_braces(code: Column, answer: Column) -> Column:
-    """answer: language;style."""
+def check_braces(code: Column, answer: Column, bare: Column | None = None) -> Column:
+    """answer: language;style. bare: the code without comments, where the lexer has found it."""
     parts = F.split(answer, ";")
-    return F.coalesce(brace_style(strip_comments(code, parts[0]), F.try_element_at(parts, F.lit(2))), F.lit(False))
+    bare = strip_common_comments(code, parts[0]) if bare is None else bare
+    return F.coalesce(brace_style(bare, F.try_element_at(parts, F.lit(2))), F.lit(False))
 
 
-def check_indentation(code: Column, answer: Column) -> Column:
-    """answer: language;spaces:n or tabs;spacing."""
+def check_indentation(code: Column, answer: Column, blank: Column | None = None) -> Column:
+    """answer: language;spaces:n or tabs;spacing. blank: the code without comments and literals, where the lexer has found it."""
     parts = F.split(answer, ";")
-    return F.coalesce(indentation(strip_strings(strip_comments(code, parts[0])), F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3))), F.lit(False))
+    blank = strip_strings(strip_common_comments(code, parts[0])) if blank is None else blank
+    return F.coalesce(indentation(blank, F.try_element_at(parts, F.lit(2)), F.try_element_at(parts, F.lit(3))), F.lit(False))

@@ -23,7 +23,7 @@ from quillwork.operators.code_checks import VERSIONS
 
 SECONDS = 10
 #: Lines of a compiler's output that are messages.
-MESSAGE = re.compile(r"^(?:\S+:\d+|error|warning)[:\[ ]")
+MESSAGE = re.compile(r"^(?:\S+:\d+|(?:[\w+.-]+: )?(?:fatal |internal compiler )?(?:error|warning))(?:[:\[ ]|$)", re.I)
 MEGABYTES = 2048
 #: Language to file name and command; the command is called in the file's folder.
 COMMANDS = {
@@ -75,12 +75,19 @@ def compiles(code: str | None, language: str | None, version: str | None = None)
     if not shutil.which(command[0]):
         return False, f"{command[0]} isn't installed"
     with tempfile.TemporaryDirectory() as folder:
-        Path(folder, name).write_text(code or "")
+        Path(folder, name).write_text(code or "", encoding="utf-8", errors="replace")
         try:
-            done = subprocess.run(command, cwd=folder, capture_output=True, text=True, timeout=SECONDS, preexec_fn=_limits, start_new_session=True)
+            done = subprocess.run(command, cwd=folder, capture_output=True, encoding="utf-8", errors="replace", timeout=SECONDS, preexec_fn=_limits, start_new_session=True)
         except subprocess.TimeoutExpired:
             return False, f"stopped after {SECONDS} s"
-    return done.returncode == 0, _diagnostics(done.stderr or done.stdout) or None
+        except (OSError, subprocess.SubprocessError) as error:
+            return False, f"{command[0]} can't be run: {error}"
+    reason = _diagnostics(done.stderr) or _diagnostics(done.stdout) or None
+    return done.returncode == 0, reason if done.returncode == 0 else reason or _ended(done.returncode)
+
+
+def _ended(status: int) -> str:
+    return f"exit status {status}" if status > 0 else f"ended by signal {-status}"
 
 
 def _diagnostics(output: str) -> str:

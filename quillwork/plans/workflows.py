@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillwork.functions import text as T
+from quillwork.functions.lexer import lexed
 from quillwork.operators import relational as R
 from quillwork.operators import templates
 from quillwork.operators.code_checks import check_rows, level_passes, parsed
-from quillwork.operators.code_facts import python_facts
+from quillwork.operators.code_facts import python_facts, type_names
 from quillwork.operators.external import evolved, failed
 from quillwork.operators.lineage import durable
 from quillwork.operators.similarity import rouge_l_filter
@@ -87,8 +88,9 @@ def evaluate_levels(generations: DataFrame, instructions: DataFrame) -> DataFram
     rows = rows.withColumn("facts", python_facts(F.col("code"), F.lit(None).cast("string")))
     each = rows.select("model", "constraint_file", "pos", "level", "code", "facts", F.explode("chain").alias("link"))
     each = each.withColumn("answer", parsed(F.regexp_replace("link", "^;+|;+$", "")))
-    bare = T.strip_comments(F.col("code"), F.col("answer.first"))
-    passed = each.select("model", "constraint_file", "pos", "level", level_passes(bare, F.col("facts"), F.col("answer")).alias("ok"))
+    each = each.withColumn("lexed", lexed(F.col("code"), F.col("answer.first")))
+    each = each.withColumn("types", type_names(F.col("lexed.blank"), F.col("answer.language")))
+    passed = each.select("model", "constraint_file", "pos", "level", level_passes(F.col("lexed.bare"), F.col("facts"), F.col("answer"), F.col("types")).alias("ok"))
     checks = passed.groupBy("model", "constraint_file", "pos", "level").agg(F.collect_list("ok").alias("checks"))
     return R.level_scores(checks, ["model", "constraint_file"])
 

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,31 @@ def test_long_code_takes_no_recursion(spark):
     rows = [(c, f"{language};f;List", code) for code in codes for language in ("java", "rust") for c in ("input_type", "output_type", "function", "input_order")]
     df = spark.createDataFrame(rows, "constraint string, answer string, response string")
     assert check_rows(df).where("is_matched is not null").count() == len(rows)
+
+
+LITERALS = [
+    ("type", "java;HashMap", 'String s = "HashMap";', False), ("type", "java;HashMap", "int HashMap = 1;", False), ("type", "java;String", "String s = x;", True),
+    ("type", "java;ArrayList", "List<String> a = new ArrayList<>();", True), ("type", "java;List", "void f(final List<Map<String, Integer>> a) {}", True), ("type", "java;Integer", "Map<String, Integer> m;", True),
+    ("type", "java;HashMap", "HashMap.of(1);", False), ("type", "java;String", "String[] a = b;", True), ("type", "java;List", "// List<String> a;\nint b;", False),
+    ("type", "cpp;vector", "const std::vector<int>& a = b;", True), ("type", "cpp;vector", "vector = 1; f(vector);", False), ("type", "cpp;map", 'auto s = R"(std::map<int, int> m;)";', False),
+    ("type", "rust;HashMap", "let m: HashMap<u8, u8> = f();", True), ("type", "rust;Vec", "fn f<'a>(x: &'a mut Vec<u8>) -> u8 { 1 }", True), ("type", "rust;Vec", "let vec = 'v'; /* a /* : Vec<u8> */ : Vec<u8> */", False),
+    ("type", "rust;Node", "struct Node { a: u8 }", True), ("type", "go;Stack", "type Stack struct { a []int }", True), ("type", "go;Stack", "s := Stack{}", True), ("type", "go;Stack", "x := `type Stack struct {}`", False), ("type", "go;Item", "func f(a []Item, b *Node) {}", True),
+    ("operation", "java;List;['add']", 'String s = "List.add(";', False), ("operation", "java;List;['add']", "List<A> a = b; a.add(1);", True), ("size", "java;List;5", 'List<A> a = f("5");', True),
+    ("advanced_syntax", "javascript;arrow functions", 'const s = "a => b";', False), ("advanced_syntax", "javascript;arrow functions", "const s = `${xs.map(a => b)}`;", True), ("advanced_syntax", "javascript;spread operator", "f(/.../, 'a...')", False),
+    ("function", "java;f", 'String s = "f(x)";', False), ("naming_convention", "java;class:PascalCase", 'class Box { String s = "class small_box {"; }', True),
+    ("library", "javascript;react", "import { a,\n b } from 'react';", True), ("library", "javascript;react", "import a from 'x'; const b = 'react';", False), ("library", "go;gin", 'import "github.com/gin"', True), ("library", "rust;serde", "use serde::{A, B};\nuse x;", True),
+]
+
+
+def test_literals_and_positions(spark):
+    df = spark.createDataFrame(LITERALS, "constraint string, answer string, response string, want boolean")
+    assert [tuple(r) for r in check_rows(df).where("is_matched != want").collect()] == []
+
+
+def test_repeated_keywords_are_linear(spark):
+    rows = [("library", f"{language};x", word * 60_000) for language in ("javascript", "go", "rust") for word in ("import ", "import (", "use ", "extern crate ", "require(", 'import "', "import x ")]
+    rows += [("type", f"{language};x", word * 60_000) for language in ("java", "cpp", "rust", "go") for word in ("a<", "a, ", "new ", "a ", "a::", "[a]", "(a*", "const ")]
+    df = spark.createDataFrame(rows, "constraint string, answer string, response string")
+    begun = time.monotonic()
+    assert check_rows(df).where("is_matched is not null").count() == len(rows)
+    assert time.monotonic() - begun < 120

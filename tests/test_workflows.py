@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillwork.operators import toolchain
 from quillwork.operators.toolchain import check_compilation
 from quillwork.plans import workflows as W
 
@@ -69,3 +70,21 @@ def test_compilation(spark):
     assert got[3][0] or got[3][1]  # as the compiler at hand says
     old = check_compilation(df.withColumn("v", F.lit("3.8")), version="v", allow=True).collect()
     assert old[0]["is_matched"] and not old[4]["is_matched"]
+
+
+def test_no_failure_without_a_reason(monkeypatch, tmp_path):
+    """Compilers that say nothing, say it on the other stream, in a form of their own, or can't be run."""
+    monkeypatch.setenv("PATH", str(tmp_path))
+    tool = tmp_path / "gcc"
+    cases = {
+        "exit 3": "exit status 3", "kill -9 $$": "ended by signal 9", "echo 'gcc: fatal error: no such thing' >&2; exit 1": "gcc: fatal error: no such thing",
+        "echo 'main.c:1:2: error: odd'; exit 1": "main.c:1:2: error: odd", "printf '  quoted secret\\n' >&2; exit 1": "exit status 1",
+    }
+    for script, want in cases.items():
+        tool.write_text(f"#!/bin/sh\n{script}\n")
+        tool.chmod(0o755)
+        assert toolchain.compiles("int a;", "c") == (False, want)
+    tool.write_text("no program")
+    assert not toolchain.compiles("int a;", "c")[0] and toolchain.compiles("int a;", "c")[1].startswith("gcc can't be run")
+    tool.write_text("#!/bin/sh\nexit 0\n")
+    assert toolchain.compiles("int a;", "c") == (True, None)
