@@ -7,7 +7,8 @@ whole differs in at most 4 bits, some segment starts a chain of consecutive segm
 cumulative differences stay within its share of the budget (0 bits in one segment, 1 in two, 2
 in three, 3 in four, 4 in all five). The first two links of that chain are the join key: the
 first segment is equal and the second differs in one bit at most, which one side spells out.
-The rest of the chain is checked as the join's condition, before the full Hamming check.
+The rest of the chain is checked as the join's condition, before the full Hamming check. Only
+links that connect parts are kept, so dense clusters give no quadratic number of pairs.
 Components of the links come from distributed star contraction.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other. Rows
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,12 +124,36 @@ def _asked(fp: Column) -> Column:
 
 
 def links(fingerprints: DataFrame) -> DataFrame:
-    """(a, b) with a < b for every two of the distinct values ``fp`` within MAX_BITS bits."""
-    held = fingerprints.select(F.col("fp").alias("a"), F.explode(_held(F.col("fp"))).alias("k")).select("a", "k.*")
-    asked = fingerprints.select(F.col("fp").alias("b"), F.explode(_asked(F.col("fp"))).alias("k")).select("b", "k.key")
-    x = held["a"].bitwiseXOR(asked["b"])
-    near = (held["a"] < asked["b"]) & _within_ring(x, held["i"]) & (F.bit_count(x) <= MAX_BITS)
-    return held.join(asked, (held["key"] == asked["key"]) & near).select("a", "b").distinct()
+    """Pairs (a, b), a < b, of the distinct values ``fp`` within MAX_BITS bits that connect what all such pairs connect.
+
+    First every value is held against the smallest and the largest of those with the same key, which
+    is linear. Where a key then still joins several parts, the values outside its largest part are held
+    against all others, and one pair is kept of each two parts. So a dense cluster of n values gives
+    some n pairs instead of n * n, and no two parts that have a link stay apart.
+    """
+    x = F.col("a").bitwiseXOR(F.col("b"))
+    held = fingerprints.select("fp", F.explode(_held(F.col("fp"))).alias("k")).select("fp", "k.*")
+    ends = held.groupBy("key").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low != high")
+    stars = held.join(ends, "key").select("fp", F.explode(F.array("low", "high")).alias("lead")).where("fp != lead")
+    stars = stars.select(F.least("fp", "lead").alias("a"), F.greatest("fp", "lead").alias("b"))
+    stars = durable(stars.where(F.bit_count(x) <= MAX_BITS).distinct())
+    parts = connected_components(stars).withColumnRenamed("node", "fp")
+    placed = durable(fingerprints.select("fp").join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("part")))
+    own = placed.select("fp", "part", F.lit(True).alias("held"), F.explode(_held(F.col("fp"))).alias("k"))
+    asked = placed.select("fp", "part", F.lit(False).alias("held"), F.explode(_asked(F.col("fp"))).alias("k"))
+    group = Window.partitionBy("key")
+    every = own.union(asked).select("fp", "part", "held", "k.*")
+    several = F.min("part").over(group) != F.max("part").over(group)
+    every = durable(every.withColumn("_open", several).where("_open").drop("_open"))
+    sizes = every.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
+    every = every.join(sizes, "key").withColumn("aside", F.col("part") != F.col("main"))
+    left = every.where("held").select("key", "i", F.col("fp").alias("a"), F.col("part").alias("part_a"), F.col("aside").alias("aside_a"))
+    right = every.where("not held").select("key", F.col("fp").alias("b"), F.col("part").alias("part_b"), F.col("aside").alias("aside_b"))
+    near = _within_ring(x, F.col("i")) & (F.bit_count(x) <= MAX_BITS) & (F.col("part_a") != F.col("part_b"))
+    met = left.where("aside_a").join(right, "key").union(left.where("not aside_a").join(right.where("aside_b"), "key")).where(near)
+    pair = F.struct(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    bridges = met.groupBy(F.least("part_a", "part_b").alias("p"), F.greatest("part_a", "part_b").alias("q")).agg(F.min(pair).alias("l"))
+    return stars.union(bridges.select("l.a", "l.b"))
 
 
 def label(marked: DataFrame) -> DataFrame:

@@ -54,11 +54,49 @@ def near(rng, n):
     return out
 
 
-def test_every_link_is_found(spark):
+def test_links_connect_what_all_links_connect(spark):
     values = list(set(near(random.Random(4), 400)))
     df = spark.createDataFrame([(signed(v),) for v in values], "fp long").repartition(4)
-    want = {tuple(sorted((signed(x), signed(y)))) for x in values for y in values if x < y and (x ^ y).bit_count() <= 4}
-    assert {(r["a"], r["b"]) for r in links(df).collect()} == want
+    got = {(r["a"], r["b"]) for r in links(df).collect()}
+    assert got <= {tuple(sorted((signed(x), signed(y)))) for x in values for y in values if x < y and (x ^ y).bit_count() <= 4}
+    assert joined(got, map(signed, values)) == joined([(signed(x), signed(y)) for x in values for y in values if (x ^ y).bit_count() <= 4], map(signed, values))
+
+
+def joined(pairs, values):
+    root = {v: v for v in values}
+
+    def find(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for a, b in pairs:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return {v: find(v) for v in root}
+
+
+def test_dense_cluster_gives_few_links(spark):
+    """All within two bits of one value, so each is linked with each; some strangers share its keys."""
+    rng = random.Random(6)
+    centre = rng.getrandbits(64)
+    values = {centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(i)}
+    values = rng.sample(sorted(values), 1800) + [centre ^ (0xFFF << 26), centre ^ (0xFFF << 44)]
+    df = spark.createDataFrame([(signed(v),) for v in values], "fp long").repartition(4)
+    found = [(r["a"], r["b"]) for r in links(df).collect()]
+    assert len(found) <= 20 * len(values)
+    want = joined([(signed(values[0]), signed(v)) for v in values[:1800]], map(signed, values))
+    assert joined(found, map(signed, values)) == want
+
+
+def test_chain_of_links(spark):
+    """Each within four bits of the next only."""
+    value, values = random.Random(7).getrandbits(64), []
+    for i in range(16):
+        values.append(value)
+        value ^= 0xF << (4 * i)
+    df = spark.createDataFrame([(i, signed(v)) for i, v in enumerate(values)], "doc_id long, fp long")
+    assert {r["component_id"] for r in label(df).collect()} == {0}
+    assert label(df.limit(0)).count() == 0
 
 
 def test_components(spark):
