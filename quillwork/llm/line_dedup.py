@@ -12,9 +12,10 @@ forms are one line from the start, known by a 128-bit hash. Then:
    several parts of it unlinked, with the last, where the sizes of their shingle sets and a bitmap
    of each allow the similarity; no pair that has it fails these bounds. The cost is linear.
 3. The rest. Other lines that these links leave in different parts of a bucket are held against
-   each other by the bounds, and only pairs within them are verified. Buckets of all sizes take
-   the same way, and no link between lines that share a bucket is lost unless they are in one
-   component already.
+   each other by the bounds, and only pairs within them are verified. Lines of crowded buckets meet
+   by the rarest of their shingles instead, of which similar lines share at least one: a prefix
+   filter, which is lossless too. So no link between lines that share a bucket is lost, whatever
+   its size, unless they are in one component already.
 4. Verification. Exact Jaccard similarity of the sets of all shingles, each candidate pair once.
 5. Distributed union-find over the links; the first line of each component (by doc_id, then row
    and position) stays, in the place where it stands.
@@ -56,6 +57,8 @@ HOT_LEAST = 32
 SALTS = 256
 #: Which lines of a bucket all its others are compared with.
 LEADERS = (F.min, F.max)
+#: Buckets with more open lines than this are split by rare shingles; both ways find all links.
+CROWD = 64
 #: Bits of the candidates' bitmap for each of them, and at most; a part holds 32,768 bits.
 BITS_EACH = 16
 MOST_PARTS = 8192
@@ -234,7 +237,7 @@ def similar_lines(members: DataFrame, texts: DataFrame, similarity: float = SIMI
         # the leader has been compared with all others
         parts = durable(led.where("id != lead.id").select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("part")))
     several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
-    rest = open_pairs(parts.join(several, "key"), marks, similarity)
+    rest = open_pairs(durable(parts.join(several, "key")), marks, texts, similarity)
     return connected_components(links.union(durable(verified(rest, texts, similarity))))
 
 
@@ -245,24 +248,50 @@ def alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(maybe_similar(F.col("marks_a"), F.col("marks_b"), similarity)).select("a", "b")
 
 
-def open_pairs(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+def open_pairs(members: DataFrame, marks: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b), a < b: the pairs within a bucket that may be links between two of its parts.
 
-    Lines are held against those of their own class of size and the next, which are all that a
-    link can reach, so a crowded bucket is also split by size.
+    A bucket of CROWD lines or fewer gives its pairs as they are, which is linear in the number of
+    buckets. Pairs of lines in crowded ones come from crowded_pairs.
     """
-    # a little wider than a link's ratio of sizes, so that rounding skips no class
-    level = F.floor(F.log("marks.size") / F.log(F.lit(1.001 / similarity))).cast("int")
-    keys = members.groupBy("id").agg(F.collect_set("key").alias("keys"))
-    every = members.join(keys.join(marks, "id"), "id").withColumn("level", level)
-    names = {c: f"{c}_b" for c in ("id", "part", "marks", "keys")}
-    other = every.select("key", F.explode(F.array(F.col("level") - 1, F.col("level"))).alias("level"), F.col("level").alias("own"), *names).withColumnsRenamed(names)
-    once = (F.col("own") > F.col("level")) | (F.col("id") < F.col("id_b"))
-    # lines that share several buckets meet in one of them
-    here = F.array_min(F.array_intersect("keys", "keys_b")) == F.col("key")
-    near = (F.col("part") != F.col("part_b")) & maybe_similar(F.col("marks"), F.col("marks_b"), similarity) & here
-    found = every.join(other, ["key", "level"]).where(once & near)
-    return found.select(F.least("id", "id_b").alias("a"), F.greatest("id", "id_b").alias("b"))
+    crowded = durable(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
+    few = members.join(crowded, "key", "left_anti")
+    many = durable(members.join(crowded, "key").select("id", "part").distinct())
+    found = few_pairs(few, marks, similarity)
+    return found.union(alike(crowded_pairs(many, texts, similarity), marks, similarity)).distinct()
+
+
+def few_pairs(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of the same bucket and of different parts whose marks allow the similarity."""
+    names = {c: f"{c}_b" for c in ("id", "part", "marks")}
+    every = members.join(marks, "id")
+    near = (F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & maybe_similar(F.col("marks"), F.col("marks_b"), similarity)
+    met = every.join(every.select("key", *names).withColumnsRenamed(names), "key").where(near)
+    return met.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+
+
+def crowded_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of members (id, part) of different parts that share a rare shingle.
+
+    Two sets of similarity s share one of the n - ceil(s * n) + 1 first of each one's n shingles,
+    in any order that is the same for all; here the rarest among the members come first. The first
+    one that they share leaves enough behind it to reach the overlap that s asks for.
+    """
+    hashes = members.join(texts, "id").select("id", "part", F.explode(sample(F.col("line"))).alias("h"))
+    counts = hashes.groupBy("h").agg(F.count("*").alias("n"))
+    ranked = hashes.join(counts, "h").groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
+    size = F.size("all")
+    first = F.slice("all", F.lit(1), size - F.ceil(F.lit(similarity - EPSILON) * size).cast("int") + 1)
+    # a shingle of one line only meets no other
+    heads = ranked.select("id", "part", size.alias("size"), F.posexplode(first).alias("pos", "s")).where("s.n > 1")
+    heads = heads.select("id", "part", "size", "pos", F.col("s.h").alias("h"))
+    names = {c: f"{c}_b" for c in ("id", "part", "size", "pos")}
+    other = heads.withColumnsRenamed(names)
+    reach = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
+    enough = reach >= F.lit(similarity / (1 + similarity) - EPSILON) * (F.col("size") + F.col("size_b"))
+    ratio = F.least("size", "size_b") >= F.lit(similarity - EPSILON) * F.greatest("size", "size_b")
+    met = heads.join(other, "h").where((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & ratio & enough)
+    return met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

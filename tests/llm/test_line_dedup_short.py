@@ -110,3 +110,21 @@ def test_long_words_with_one_edit_are_linked(make_docs):
     rows = [(1, "internationalization standardization characterization misinterpretation counterrevolutionary"), (2, "internationalization standardixation characterization misinterpretation counterrevolutionary")]
     assert jaccard(rows[0][1], rows[1][1]) >= 0.8
     assert results(dedup_lines(make_docs(rows))) == brute(rows)
+
+
+def test_crowded_bucket_is_split_without_loss(spark):
+    """Lines that share half their words, in different parts; among them pairs just beyond the limit."""
+    rng = random.Random(12)
+    half, lines = sentence(rng, 20), []
+    for _ in range(150):
+        line = (half + " " + sentence(rng, 20)).split()
+        near = list(line)
+        for _ in range(rng.randint(1, 5)):
+            near[rng.randrange(len(near))] = sentence(rng, 1)
+        lines += [" ".join(line), " ".join(near)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    members = texts.select(F.lit(1).cast("long").alias("key"), "id", F.col("id").alias("part"))
+    pairs = line_dedup.open_pairs(members, line_dedup.with_marks(texts), texts, 0.8)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    want = {(i, j) for j in range(len(lines)) for i in range(j) if jaccard(lines[i], lines[j]) >= 0.8}
+    assert want and want <= got and len(got) < 2 * len(lines)
