@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions.text import strip
 from quillwork.operators.lineage import durable
+from quillwork.operators.segments import look_back
 
 RULE_CATEGORIES = ["syntax", "input_output", "data_structure", "code_convention"]
 JUDGED_CATEGORIES = ["situation", "example", "code_contextual", "non_functional_requirements", "algorithm"]
@@ -15,7 +16,10 @@ MAX_ITEMS = 10_000
 
 
 def with_position(df: DataFrame, order: list[str], by: list[str], name: str = "pos") -> DataFrame:
-    """df with a 0-based position inside each group of ``by``."""
+    """df with a 0-based position inside each group of ``by``, one task per group.
+
+    segments.positions gives the same where groups are larger than a task should hold.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
     return df.withColumn(name, F.row_number().over(w) - 1)
 
@@ -95,14 +99,18 @@ def score_dimensions(df: DataFrame, by: list[str], dimensions: dict[str, Column]
     return df.groupBy(*by).agg(*aggs)
 
 
-def chains(df: DataFrame, by: list[str], value: str = "answer", most: int = LEVELS - 1) -> DataFrame:
+def chains(df: DataFrame, by: list[str], value: str = "answer", most: int = LEVELS - 1, segmented: bool = False) -> DataFrame:
     """df with ``chain``: the values of the ``level`` rows before each row and its own, oldest first.
 
-    Rows of a level above ``most`` and rows whose position is below their level drop out.
+    Rows of a level above ``most`` and rows whose position is below their level drop out. With
+    ``segmented`` a group is spread over many tasks, for groups that one task shouldn't hold.
     """
-    w = Window.partitionBy(*by).orderBy("pos").rowsBetween(-most, Window.currentRow)
-    n = F.col("level") + 1
-    framed = df.withColumn("_frame", F.collect_list(F.coalesce(F.col(value), F.lit(""))).over(w))
+    n, link = F.col("level") + 1, F.coalesce(F.col(value), F.lit(""))
+    if segmented:
+        framed = look_back(df, ["pos"], by, link, most, "_frame")
+    else:
+        w = Window.partitionBy(*by).orderBy("pos").rowsBetween(-most, Window.currentRow)
+        framed = df.withColumn("_frame", F.collect_list(link).over(w))
     return framed.where((F.col("level") <= most) & (F.col("pos") >= F.col("level"))).withColumn("chain", F.slice("_frame", -n, n)).drop("_frame")
 
 

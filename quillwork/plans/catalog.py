@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 from quillwork.functions import text as T
 from quillwork.operators import code_checks, layout_checks
 from quillwork.operators import relational as R
-from quillwork.operators.external import evolved, from_table, retried
+from quillwork.operators.counters import Counters
+from quillwork.operators.external import evolved, from_client, from_table, logged, retried
 from quillwork.operators.lineage import new_path
+from quillwork.operators.segments import look_back, positions
 from quillwork.operators.similarity import rouge_l_filter, rouge_l_pairs
 from quillwork.operators.templates import judge_question, prompts
 from quillwork.plans import snippets as S
 from quillwork.plans import workflows as W
-from quillwork.sources.tables import bad_files, export_array, json_arrays, json_lines, metadata_export, model_and_constraint, or_empty, score_map, summary_export, with_prompt_file
+from quillwork.sources.tables import bad_files, checked_lines, export_array, json_arrays, json_lines, line_counts, metadata_export, model_and_constraint, or_empty, score_map, summary_export, with_prompt_file
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -774,3 +776,80 @@ def level_dispatch(spark, sf_dir):
     answers = F.array(F.lit("java;HashMap"), F.concat(F.lit("java;HashMap;"), (F.col("p_partkey") % 10).cast("string")), F.lit("java;HashMap;['put']"))
     rows = read(spark, sf_dir, "part").select("p_partkey", code.alias("response"), F.lit("level").alias("constraint"), F.explode(answers).alias("answer"))
     return code_checks.check_rows(rows).select("p_partkey", "answer", "is_matched")
+
+
+# Large groups, counts beside the rows, and logged calls
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber) - 1 AS pos FROM lineitem")
+def segmented_positions(spark, sf_dir):
+    """Positions in three groups that hold all rows, over as many tasks as the table needs."""
+    lines = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber")
+    return positions(lines, ["l_orderkey", "l_linenumber"], ["l_returnflag"]).select("l_orderkey", "l_linenumber", "pos")
+
+
+@query("""
+SELECT o_orderkey, array_to_string(list(o_orderkey) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), '>') AS chain FROM orders
+""")
+def segmented_look_back(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    framed = look_back(orders, ["o_orderkey"], ["o_orderstatus"], F.col("o_orderkey").cast("string"), 5)
+    return framed.select("o_orderkey", F.array_join("frame", ">").alias("chain"))
+
+
+@query(f"WITH {_CHAINS} SELECT conv_id, turn AS pos, array_to_string(frame[-(turn + 1):], '>') AS chain FROM c WHERE turn <= 5")
+def segmented_chains(spark, sf_dir):
+    rows = read(spark, sf_dir, "conversations").select("conv_id", F.col("turn").alias("pos"), F.col("turn").cast("int").alias("level"), F.col("role").alias("answer"))
+    return R.chains(rows, ["conv_id"], segmented=True).select("conv_id", "pos", F.array_join("chain", ">").alias("chain"))
+
+
+def _lines_with_bad_ones(spark: SparkSession, sf_dir: str) -> str:
+    part = read(spark, sf_dir, "part")
+    whole = F.to_json(F.struct(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")))
+    line = F.when(F.col("p_partkey") % 4 == 0, F.lit('{"id": oops')).when(F.col("p_partkey") % 7 == 0, F.lit('{"id": "no number"}')).otherwise(whole)
+    path = new_path(spark)
+    part.select(F.translate("p_brand", "#", "").alias("brand"), line.alias("value")).write.partitionBy("brand").text(path)
+    return path
+
+
+@query("""
+SELECT replace(p_brand, '#', '') AS brand, count(*) FILTER (p_partkey % 4 <> 0 AND p_partkey % 7 <> 0) AS good, count(*) FILTER (p_partkey % 4 = 0 OR p_partkey % 7 = 0) AS bad FROM part GROUP BY ALL
+""")
+def good_and_bad_lines(spark, sf_dir):
+    """Lines of each brand's files that are objects of the schema, and those that aren't."""
+    counts = line_counts(spark, f"{_lines_with_bad_ones(spark, sf_dir)}/*/*.txt", "id bigint, name string")
+    return counts.groupBy(F.regexp_extract("file", "brand=([^/]*)/", 1).alias("brand")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+@query("""
+SELECT 'lines' AS source, unnest(['rows', 'bad']) AS metric, unnest([count(*), count(*) FILTER (p_partkey % 4 = 0 OR p_partkey % 7 = 0)]) AS value FROM part
+UNION ALL SELECT 'used', unnest(['rows', 'even']), unnest([count(*), count(*) FILTER (p_partkey % 2 = 0)]) FROM part WHERE p_partkey % 4 <> 0 AND p_partkey % 7 <> 0
+""")
+def counts_beside_rows(spark, sf_dir):
+    """Bad lines are counted by the job that writes the good ones."""
+    counters = Counters()
+    every = counters.watch(checked_lines(spark, f"{_lines_with_bad_ones(spark, sf_dir)}/*/*.txt", "id bigint, name string"), "lines", bad=F.col("bad"))
+    used = counters.watch(every.where("not bad").select("item.*"), "used", even=F.col("id") % 2 == 0)
+    used.write.parquet(new_path(spark))
+    return counters.table(spark)
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_size % 5 <> 0 THEN upper(p_type) END AS response, CASE WHEN p_size % 5 = 0 THEN 'ValueError: refused' END AS error FROM part
+""")
+def logged_calls(spark, sf_dir):
+    """Prompts that repeat are asked for once; a second run asks for the failed ones only."""
+
+    def connect():
+        def client(prompt: str) -> str:
+            if prompt.startswith("0"):
+                raise ValueError("refused")
+            return prompt.split(":", 1)[1].upper()
+
+        return client
+
+    part = read(spark, sf_dir, "part").select("p_partkey", F.concat((F.col("p_size") % 5).cast("string"), F.lit(":"), "p_type").alias("prompt"))
+    log = new_path(spark)
+    for _ in range(2):
+        out = logged(part, lambda asked: from_client(asked, connect, tries=1, in_flight=4), log)
+    return out.select("p_partkey", "response", "error")

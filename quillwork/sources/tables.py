@@ -57,6 +57,25 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = False
     return spark.read.schema(schema).json(path, mode="FAILFAST" if strict else "DROPMALFORMED")
 
 
+def checked_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, item, bad) for every line that isn't blank: its object, and whether it is no such object.
+
+    One pass for both: the good lines are ``where("not bad").select("file", "item.*")``, and
+    counters.Counters counts the bad ones while these are used.
+    """
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.col("_metadata.file_path").alias("file"), "value")
+    item = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    parsed = lines.select("file", item.alias("item"))
+    bad = F.col("item").isNull() | F.col("item._bad").isNotNull()
+    return parsed.select("file", F.col("item").dropFields("_bad").alias("item"), bad.alias("bad"))
+
+
+def line_counts(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, good, bad): how many lines of each file are objects of the schema and how many aren't."""
+    each = checked_lines(spark, path, schema)
+    return each.groupBy("file").agg(F.count_if(~F.col("bad")).alias("good"), F.count_if("bad").alias("bad"))
+
+
 def or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """json_lines of a path that need not exist."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
