@@ -5,7 +5,8 @@ payment cards (Luhn-valid only), social security numbers, IBANs, access keys, va
 and token assignments, and persons (a title or a known first name before capitalised names).
 
 Each distinct entity, in a canonical form that leaves out how it is written, gets a surrogate
-drawn from a keyed hash: digits for digits and letters for letters, valid check digits for cards
+drawn from a keyed hash: digits for digits and letters for letters, a phone number's country code
+kept (with the plus sign it is written with, which tells +49 30 123456 from 493-012-3456), valid check digits for cards
 and IBANs, reserved domains for addresses, private networks for private networks, first names of
 the same gender and script by a keyed permutation of the list, family names of the same script
 with their gendered endings. Surrogates that two entities share, that a settled entity has, or
@@ -37,6 +38,8 @@ MAX_ROUNDS = 60
 #: Rounds within an entity's own format, and those after which IPs leave the network 10/8 too.
 WIDE_ROUNDS = 20
 WIDEST_ROUNDS = 40
+#: Country codes of one and of two digits; all others have three.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})"
 MASK = r"^([^\p{L}\p{N}])\1*$"
 #: (class, alphabet) of the characters of secrets that aren't ASCII letters or digits.
 ALPHABETS = [
@@ -149,6 +152,7 @@ def entities_of(mention: Column) -> Column:
             F.when(kind == "email", one(kind, ascii_lower(mention)))
             .when(kind == "person", F.transform(names, lambda t: F.struct(F.lit("name").alias("kind"), F.lower(_stem(t)).alias("canonical"))))
             .when(kind == "card", let(_digits(mention), lambda d: F.when(_luhn_sum(d) % 10 == 0, one(kind, d)).otherwise(none)))
+            .when(kind == "phone", one(kind, F.concat(F.when(F.startswith(mention, F.lit("+")), "+").otherwise(""), _digits(mention))))
             .when(kind.isin(*DIGIT_KINDS), one(kind, _digits(mention)))
             .when(kind == "iban", one(kind, F.replace(mention, F.lit(" "), F.lit(""))))
             .when((kind == "secret") & mention.rlike(MASK), none)
@@ -202,11 +206,11 @@ def candidate(kind: Column, canonical: Column, turn: Column, key: str = KEY) ->
         return F.concat(_scrambled(local, s), longer(s), F.lit("@"), host, F.lit(".example"), F.when(top.isin("com", "net", "org"), F.concat(F.lit("."), top)).otherwise(F.lit("")))
 
     def phone(s: Column) -> Column:
-        country = F.greatest(F.length(canonical) - 10, F.lit(0))
+        fixed = F.length(F.regexp_extract(canonical, COUNTRY, 0))
 
         def digit(c: Column, i: Column) -> Column:
             v, d = _draw(s, i), c.cast("int")
-            return F.when(i < country, c).when(wide, (v % 10).cast("string")).when(d >= 2, (2 + v % 8).cast("string")).otherwise((v % 2).cast("string"))
+            return F.when(i < fixed, c).when(wide, (v % 10).cast("string")).when(d >= 2, (2 + v % 8).cast("string")).otherwise((v % 2).cast("string"))
 
         return F.array_join(F.transform(F.split(canonical, ""), digit), "")
 
@@ -329,7 +333,7 @@ def written(mention: Column, surrogates: Column, key: str = KEY) -> Column:
         new = surrogates[F.concat(kind, F.lit(":"), e["canonical"])]
         return (
             F.when(kind == "email", address(new))
-            .when(kind.isin(*DIGIT_KINDS), refit(new))
+            .when(kind.isin(*DIGIT_KINDS), refit(_digits(new)))
             .when(kind == "iban", spaced(new))
             .otherwise(new)
         )

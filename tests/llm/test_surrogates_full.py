@@ -50,3 +50,15 @@ def test_against_a_plain_version(spark):
             assert (a == b) == (a not in mails and a not in ips)
             assert seen.setdefault(a, b) == b and bool(re.fullmatch(r"[a-z]+\.[a-z]+@[a-z-]+\.example\.com", b)) == (a in mails)
     assert len(set(seen.values())) == len(seen) and not {seen[x] for x in seen if seen[x] != x} & set(seen)
+
+
+def test_phones_keep_their_country(make_docs):
+    numbers = ["+49 30 123456", "+44 20 7946 0958", "+1 (988) 555-2485", "+7 495 123-45-67", "+352 26 12 34 56", "+491711234567", "(988) 555-2485"]
+    docs = make_docs([(i, f"call {n} now") for i, n in enumerate(numbers)] + [(9, "call +49-30-123456 now")])
+    got = {r["doc_id"]: r["text"][5:-4] for r in replace_entities(docs).collect()}
+    for i, code in enumerate(["+49 ", "+44 ", "+1 (", "+7 ", "+352 ", "+49", "("]):
+        new = got[i]
+        assert new.startswith(code) and new != numbers[i]
+        assert [c for c in new if not c.isdigit()] == [c for c in numbers[i] if not c.isdigit()] and len(new) == len(numbers[i])
+    assert got[9].replace("-", "") == got[0].replace(" ", "")
+    assert len({got[i].replace(" ", "") for i in range(7)}) == 7
