@@ -184,7 +184,7 @@ def with_inertia(assigned: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 
 def op13_block_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_inertia(*clustered(table(spark, sf_dir, "embeddings")))
+    return with_inertia(*clustered(table(spark, sf_dir, "embeddings"))).drop("n_exact")
 
 
 def _round(k: int) -> str:

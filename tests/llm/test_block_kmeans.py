@@ -102,3 +102,7 @@ def test_query_against_sql(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from read_parquet('{FOLDER}/embeddings.parquet')")
     assert sorted(map(tuple, got)) == sorted(con.execute(block_kmeans.ORACLE).fetchall())
+
+
+def test_query_has_the_columns_of_its_sql(spark):
+    assert op13_block_kmeans(spark, FOLDER).columns == ["vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"]
