@@ -308,20 +308,33 @@ BLANK = {"advanced_syntax", "function", "input_type", "output_type", "input_orde
 TYPED = {"type", "size", "operation", "level"}
 #: Checks that look into parsed Python; only for these is code parsed.
 PARSED = set(CHECKS) - {"language_type", "indentation_spacing", "brace_block_formatting"}
+#: Tasks for each core when rows are dealt out to be parsed.
+TASKS_EACH = 4
 
 
 def _trimmed(answer: str) -> Column:
     return F.regexp_replace(F.col(f"`{answer}`"), "^;+|;+$", "")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over all cores: to parse a row takes far longer than to read it, and millions of short rows are one small file."""
+    return df.repartition(TASKS_EACH * df.sparkSession.sparkContext.defaultParallelism)
+
+
 def with_facts(df: DataFrame, response: str = "response", answer: str | None = "answer", constraint: str | None = "constraint") -> DataFrame:
-    """df with ``_facts`` of the Python code in its responses; without an answer, each response is parsed as Python."""
+    """df with ``_facts`` of the Python code in its responses.
+
+    Without an answer, each response is parsed as Python, and ``_python`` is that code as the lexer leaves it.
+    """
+    df = spread(df)
     code, version = extract_code(F.col(f"`{response}`")), F.lit(None).cast("string")
     if answer:
         parts = parsed(_trimmed(answer))
         named = F.col(f"`{constraint}`")
         code = F.when((parts["language"] == "python") & named.isin(list(PARSED)), code)
         version = F.when(named == "language_version", parts["second"])
+    else:
+        df = df.withColumn("_python", lexed(code, F.lit("python")))
     return df.withColumn("_facts", code_facts.python_facts(code, version))
 
 
@@ -329,13 +342,17 @@ def check_rows(df: DataFrame, response: str = "response", answer: str = "answer"
     """df with generated_code, is_matched and error_message by the constraint of each row.
 
     Code of other languages isn't parsed; an unknown constraint is false and says so. The checks
-    stand in one CASE over the constraint, so each row runs its own only. A column ``_facts``
-    (``with_facts``) is taken where rows of one response stand under several constraints.
+    stand in one CASE over the constraint, so each row runs its own only. The columns ``_facts`` and
+    ``_python`` (``with_facts``) are taken where rows of one response stand under several constraints.
     """
     out = df if "_facts" in df.columns else with_facts(df, response, answer, constraint)
     out = out.withColumn("generated_code", extract_code(F.col(f"`{response}`"))).withColumn("_answer", parsed(_trimmed(answer)))
     python = F.col("_answer.language") == "python"
-    out = out.withColumn("_lexed", lexed(F.col("generated_code"), F.col("_answer.first")))
+    if "_python" in df.columns:
+        other = lexed(F.when(python, F.lit(None)).otherwise(F.col("generated_code")), F.col("_answer.first"))
+        out = out.withColumn("_lexed", F.when(python, F.col("_python")).otherwise(other))
+    else:
+        out = out.withColumn("_lexed", lexed(F.col("generated_code"), F.col("_answer.first")))
     typed = F.col(f"`{constraint}`").isin(list(TYPED)) & ~python
     out = out.withColumn("_types", F.when(typed, code_facts.type_names(F.col("_lexed.blank"), F.col("_answer.language"))))
     matched = F.lit(False)
@@ -345,4 +362,4 @@ def check_rows(df: DataFrame, response: str = "response", answer: str = "answer"
         matched = F.when(F.col(f"`{constraint}`") == name, check(code, F.col("_facts"), F.col("_answer"), *more)).otherwise(matched)
     known = F.col(f"`{constraint}`").isin(list(CHECKS))
     error = F.when(~sure(known), "unknown constraint").when((F.col(f"`{constraint}`") == "language_version") & ~python & version_known(F.col("_answer")), "needs a compiler").when(python, F.col("_facts.error"))
-    return out.withColumn("is_matched", sure(matched)).withColumn("error_message", error).drop("_facts", "_answer", "_lexed", "_types")
+    return out.withColumn("is_matched", sure(matched)).withColumn("error_message", error).drop("_facts", "_python", "_answer", "_lexed", "_types")

@@ -464,7 +464,7 @@ def python_checks(spark, sf_dir):
     wanted = F.array(*[F.struct(F.lit(a).alias("constraint"), F.lit(b).alias("answer")) for a, b in S.PYTHON_CHECKS])
     responses = read(spark, sf_dir, "part").select("p_partkey", S.pick(S.PYTHON).alias("response"))
     responses = code_checks.with_facts(responses, answer=None)  # parsed once, then checked by every constraint
-    rows = responses.select("p_partkey", "response", "_facts", F.explode(wanted).alias("c")).select("p_partkey", "response", "_facts", "c.*")
+    rows = responses.select("p_partkey", "response", "_facts", "_python", F.explode(wanted).alias("c")).select("p_partkey", "response", "_facts", "_python", "c.*")
     return code_checks.check_rows(rows).select("p_partkey", "constraint", "answer", "is_matched")
 
 

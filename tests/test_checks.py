@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillwork.operators import layout_checks as L
-from quillwork.operators.code_checks import check_rows
+from quillwork.operators.code_checks import check_rows, with_facts
 
 KR = "class A {\n  int f() {\n    return 1;\n  }\n}"
 ALLMAN = "class A\n{\n  int f()\n  {\n    return 1;\n  }\n}"
@@ -136,3 +136,14 @@ def test_repeated_keywords_are_linear(spark):
     begun = time.monotonic()
     assert check_rows(df).where("is_matched is not null").count() == len(rows)
     assert time.monotonic() - begun < 120
+
+
+def test_rows_of_one_file_are_parsed_on_all_cores(spark):
+    rows = [("function", a, f"x = 1  # f({i})\ny = f({i})\n") for i, a in enumerate(["python;f", "python;g", "java;f", None] * 10)]
+    df = spark.createDataFrame(rows, "constraint string, answer string, response string").coalesce(1)
+    out = check_rows(df)
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    shared = check_rows(with_facts(df, answer=None))  # lexed as Python once; other languages on their own
+    assert shared.columns == out.columns
+    key = lambda r: (r["response"], r["is_matched"])
+    assert sorted(map(key, shared.collect())) == sorted(map(key, out.collect()))
