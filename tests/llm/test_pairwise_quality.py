@@ -4,7 +4,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from quillwork.llm.pairwise_quality import FEATURES, THRESHOLD, features, fit, held_out, sample, score
+from quillwork.llm import pairwise_quality
+from quillwork.llm.pairwise_quality import FEATURES, THRESHOLD, features, fit, fit_all, held_out, labelled, op3_bradley_terry, order_statistic, quantile, sample, score, scored
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -65,3 +66,48 @@ def test_without_labels(make_docs, spark):
         w, threshold = fit(*sample(df, spark.createDataFrame(labels, LABELS)))
         got = {r["score"] for r in score(df, w, threshold).collect()}
         assert got <= {0.0, 1.0} and len(got) == 1, (labels, got, want)
+
+
+def featured(df):
+    return df.select("doc_id", features(F.col("text")).alias("x"))
+
+
+def test_all_labels_are_learned(make_docs, spark, tmp_path, monkeypatch):
+    docs, labels = corpus(300)
+    df, known = make_docs(docs), spark.createDataFrame(labels + labels[:50], LABELS)
+    held = {r["doc_id"] for r in df.where(held_out(F.col("doc_id"))).collect()}
+    rows = labelled(featured(df), known).collect()
+    assert {r["doc_id"] for r in rows} == set(range(300)) - held and sum(r["n"] for r in rows) == sum(i not in held for i, *_ in labels + labels[:50])
+    for q in (0, 1):
+        mine = sorted(r["i"] for r in rows if r["quality"] == q)
+        assert mine == list(range(len(mine)))
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    known.write.parquet(f"{tmp_path}/labels.parquet")
+    monkeypatch.setattr(pairwise_quality, "MAX_LABELLED", 1)  # no sample decides what is learned
+    out = op3_bradley_terry(spark, str(tmp_path)).collect()
+    truth = {i: q for i, q, _ in labels}
+    assert len(out) == 300 and sum(r["predicted"] == truth[r["doc_id"]] for r in out if r["held_out"]) >= 0.95 * len(held)
+
+
+def test_fit_of_all_rows_is_close_to_the_local_one(make_docs, spark):
+    docs, labels = corpus(300)
+    df, known = make_docs(docs), spark.createDataFrame(labels, LABELS)
+    one, other = score(df, *fit(*sample(df, known))), scored(featured(df), *fit_all(featured(df), known))
+    both = one.select("doc_id", "score").join(other.select("doc_id", F.col("score").alias("s")), "doc_id").collect()
+    assert np.corrcoef([r["score"] for r in both], [r["s"] for r in both])[0, 1] > 0.97
+
+
+def test_order_statistics_are_exact(spark):
+    rng = random.Random(5)
+    values = [rng.choice([0.0, -1.5, 1e-12, rng.random(), 1e9 * rng.random()]) for _ in range(300)]
+    counts = spark.createDataFrame([(v,) for v in values], "v double").groupBy("v").agg(F.count("*").alias("n"))
+    for rank in (0, 60, 299):
+        assert order_statistic(counts, rank) == sorted(values)[rank]
+    assert quantile(counts, 300, 0.617) == np.quantile(values, 0.617)
+
+
+def test_all_rows_without_labels(make_docs, spark):
+    rows = featured(make_docs([(1, "x"), (2, None)]))
+    for labels, want in (([], 1.0), ([(1, 1, 0)], 1.0), ([(1, 0, 0)], 0.0), ([(1, None, 0), (None, 1, 0), (1, 7, 0)], 1.0)):
+        got = {r["score"] for r in scored(rows, *fit_all(rows, spark.createDataFrame(labels, LABELS))).collect()}
+        assert got == {want}
