@@ -2,7 +2,9 @@
 
 F = 2 LCS / (m + n) over lower-cased tokens. Candidates come from filters that lose no pair:
 lengths must be near enough, and two texts must share one of the rarest tokens of each, as many
-of them as the limit leaves out of the shorter possible overlap. The rest is verified by LCS.
+of them as the limit leaves out of the shorter possible overlap. The first one that they share has
+to have enough tokens behind it in both, and the words that only one of them has must not be too
+many. The rest is verified by LCS.
 """
 
 from __future__ import annotations
@@ -94,13 +96,19 @@ def rouge_l_links(docs: DataFrame, limit: float = 0.7, native: bool = False) ->
     rarity = each.groupBy("token").agg(F.count("*").alias("n"))
     least = F.ceil(F.col("m") * (limit / (2 - limit)) - EPSILON)
     ranked = each.join(rarity, "token").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("n", "token")))
-    first = durable(ranked.where(F.col("rank") <= F.col("m") - least + 1).select("id", "m", "token"))
-    other = first.select(F.col("id").alias("b"), F.col("m").alias("n"), "token")
+    first = durable(ranked.where(F.col("rank") <= F.col("m") - least + 1).select("id", "m", "token", "rank"))
+    other = first.select(F.col("id").alias("b"), F.col("m").alias("n"), "token", F.col("rank").alias("rank_b"))
     near = F.least("m", "n") >= F.greatest("m", "n") * (limit / (2 - limit)) - EPSILON
-    pairs = first.select(F.col("id").alias("a"), "m", "token").join(other, "token").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
+    # the rarest token that two texts share leaves enough behind it in both
+    needed = (F.col("m") + F.col("n")) * (limit / 2) - EPSILON
+    reach = 1 + F.least(F.col("m") - F.col("rank"), F.col("n") - F.col("rank_b")) >= needed
+    pairs = first.select(F.col("id").alias("a"), "m", "token", "rank").join(other, "token").where((F.col("a") < F.col("b")) & near & reach).select("a", "b").distinct()
     left = docs.select(F.col("id").alias("a"), F.col("tokens").alias("x"), "m")
     right = docs.select(F.col("id").alias("b"), F.col("tokens").alias("y"), F.col("m").alias("n"))
-    both = pairs.join(left, "a").join(right, "b").where(F.size(F.array_intersect("x", "y")) > 0)
+    both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    # each word that only one text has is a token that no common subsequence has
+    alone = [F.col(size) - F.size(F.array_distinct(c)) + F.col("shared") for c, size in (("x", "m"), ("y", "n"))]
+    both = both.where((F.col("shared") > 0) & (F.least(*alone) >= needed))
     lcs = lcs_native(F.col("x"), F.col("y")) if native else lcs_length("x", "y")
     scored = both.select("a", "b", "m", "n", lcs.alias("lcs")).withColumn("score", 2 * F.col("lcs") / (F.col("m") + F.col("n")))
     return scored.where(F.col("score") >= limit - EPSILON).select("a", "b", "lcs", "score")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quillwork.operators import external, templates
 from quillwork.operators import relational as R
-from quillwork.operators.similarity import greedy_keep, lcs_length, lcs_native, rouge_l_filter, rouge_l_pairs
+from quillwork.operators import similarity
+from quillwork.operators.similarity import greedy_keep, lcs_length, lcs_native, rouge_l_filter, rouge_l_links, rouge_l_pairs, token_classes
 
 
 def plain_lcs(a, b):
@@ -145,3 +146,11 @@ def test_rouge_filter_of_many_copies(spark):
     assert sorted(r["id"] for r in rouge_l_filter(df, "id", "text").collect()) == [0, 4_999]
     few = df.where("id < 20")
     assert rouge_l_pairs(few, "id", "text").where("score = 1 and lcs = 6").count() == 190
+
+
+def test_common_words_alone_make_no_candidates(spark, monkeypatch):
+    """Six common words of ten can't reach 0.7: such pairs get no LCS."""
+    monkeypatch.setattr(similarity, "lcs_length", lambda x, y: F.least(F.size(x), F.size(y)))  # passes whatever is verified
+    texts = [(i, f"p{i} q{i} r{i} s{i} the of and to in is") for i in range(20)] + [(20, "p0 q0 r0 s0 the of and to in on")]
+    links = rouge_l_links(token_classes(spark.createDataFrame(texts, "id long, text string"), "id", "text")[0])
+    assert [(r["a"], r["b"]) for r in links.collect()] == [(0, 20)]
