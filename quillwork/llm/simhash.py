@@ -7,8 +7,9 @@ whole differs in at most 4 bits, some segment starts a chain of consecutive segm
 cumulative differences stay within its share of the budget (0 bits in one segment, 1 in two, 2
 in three, 3 in four, 4 in all five). The first two links of that chain are the join key: the
 first segment is equal and the second differs in one bit at most, which one side spells out.
-The rest of the chain is checked as the join's condition, before the full Hamming check. Only
-links that connect parts are kept, so dense clusters give no quadratic number of pairs.
+Where many meet at a key, its third link, two bits in all, joins the key: each side spells out some
+of the bits. The rest of the chain is checked as the join's condition, before the full Hamming
+check. Only links that connect parts are kept, so dense clusters give no quadratic number of pairs.
 Components of the links come from distributed star contraction.
 
 Defined results: a null or empty text has fingerprint zero and is linked like any other. Rows
@@ -35,6 +36,8 @@ MAX_BITS = 4
 SEGMENTS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 #: Up to so many row numbers are broadcast; more meet the rows by shuffle.
 MAX_BROADCAST = 1_000_000
+#: Keys with more rows than this go on by the chain's third segment; both ways find all links.
+CROWD = 256
 #: Hashes that are unpacked at once.
 BLOCK = 1 << 15
 
@@ -119,15 +122,37 @@ def _asked(fp: Column) -> Column:
     for i in range(m):
         flips = [0, *[1 << b for b in range(SEGMENTS[(i + 1) % m][1])]]
         key = _key(i, _segment(fp, i), _segment(fp, (i + 1) % m))
-        out += [F.struct(F.lit(i).alias("i"), key.bitwiseXOR(F.lit(f)).alias("key")) for f in flips]
+        out += [F.struct(F.lit(i).alias("i"), key.bitwiseXOR(F.lit(f)).alias("key"), F.lit(f == 0).alias("same")) for f in flips]
     return F.array(*out)
 
 
+def _shared(rows: DataFrame) -> DataFrame:
+    """The rows of keys that some value holds and that join several parts, with ``n``, the key's number of rows."""
+    group = Window.partitionBy("key")
+    several = F.min("part").over(group) != F.max("part").over(group)
+    out = rows.withColumn("n", F.count("*").over(group)).withColumn("_open", several & F.max("held").over(group))
+    return out.where("_open").drop("_open")
+
+
+def _longer(rows: DataFrame) -> DataFrame:
+    """rows by longer keys: two rows within the chain's first three budgets still share one.
+
+    With the third segment one side or both change a bit of it where two are left of the budget,
+    and only the holder where the asking side has changed a bit of the second.
+    """
+    m = len(SEGMENTS)
+    third = F.get(F.array(*[_segment(F.col("fp"), (i + 2) % m) for i in range(m)]), F.col("i"))
+    flips = F.array(*[F.lit(f).cast("long") for f in (0, *[1 << b for b in range(13)])])
+    spelled = rows.withColumn("flip", F.explode(F.when(F.col("held") | F.col("same"), flips).otherwise(F.slice(flips, 1, 1))))
+    key = F.shiftleft(F.col("key").cast("long"), 13).bitwiseOR(third.bitwiseXOR(F.col("flip"))).bitwiseOR(F.lit(1 << 45))
+    return spelled.withColumn("key", key).drop("flip")
+
+
 def links(fingerprints: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct values ``fp`` within MAX_BITS bits that connect what all such pairs connect.
 
     First every value is held against the smallest and the largest of those with the same key, which
-    is linear. Where a key then still joins several parts, the values outside its largest part are held
+    is linear. Where a key that some value holds then still joins several parts, the values outside its largest part are held
     against all others, and one pair is kept of each two parts. So a dense cluster of n values gives
     some n pairs instead of n * n, and no two parts that have a link stay apart.
     """
@@ -139,12 +164,10 @@ def links(fingerprints: DataFrame) -> DataFrame:
     stars = durable(stars.where(F.bit_count(x) <= MAX_BITS).distinct())
     parts = connected_components(stars).withColumnRenamed("node", "fp")
     placed = durable(fingerprints.select("fp").join(parts, "fp", "left").select("fp", F.coalesce("root", "fp").alias("part")))
-    own = placed.select("fp", "part", F.lit(True).alias("held"), F.explode(_held(F.col("fp"))).alias("k"))
-    asked = placed.select("fp", "part", F.lit(False).alias("held"), F.explode(_asked(F.col("fp"))).alias("k"))
-    group = Window.partitionBy("key")
-    every = own.union(asked).select("fp", "part", "held", "k.*")
-    several = F.min("part").over(group) != F.max("part").over(group)
-    every = durable(every.withColumn("_open", several).where("_open").drop("_open"))
+    own = placed.select("fp", "part", F.lit(True).alias("held"), F.explode(_held(F.col("fp"))).alias("k")).select("fp", "part", "held", "k.*", F.lit(True).alias("same"))
+    asked = placed.select("fp", "part", F.lit(False).alias("held"), F.explode(_asked(F.col("fp"))).alias("k")).select("fp", "part", "held", "k.*")
+    every = durable(_shared(own.union(asked)))
+    every = durable(every.where(F.col("n") <= CROWD).union(_shared(_longer(every.where(F.col("n") > CROWD).drop("n")))))
     sizes = every.groupBy("key", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
     every = every.join(sizes, "key").withColumn("aside", F.col("part") != F.col("main"))
     left = every.where("held").select("key", "i", F.col("fp").alias("a"), F.col("part").alias("part_a"), F.col("aside").alias("aside_a"))

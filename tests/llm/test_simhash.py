@@ -1,11 +1,13 @@
 import random
 import re
 
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillwork.llm import simhash
 from quillwork.llm.simhash import fingerprint, keep_one, label, links
 
 
@@ -75,6 +77,29 @@ def joined(pairs, values):
     return {v: find(v) for v in root}
 
 
+@pytest.mark.parametrize("crowd", [0, 256])
+def test_links_of_values_with_equal_segments(spark, monkeypatch, crowd):
+    """Two segments are the same in all, so every value meets every other; three differ, some by four bits or fewer."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(5)
+    low = rng.getrandbits(26)
+    values = list({low | (v >> 26) << 26 for v in near(rng, 400)})
+    df = spark.createDataFrame([(signed(v),) for v in values], "fp long").repartition(4)
+    want = [(signed(x), signed(y)) for x in values for y in values if x < y and (x ^ y).bit_count() <= 4]
+    got = {(r["a"], r["b"]) for r in links(df).collect()}
+    assert got <= {tuple(sorted(p)) for p in want}
+    assert joined(got, map(signed, values)) == joined(want, map(signed, values))
+
+
+def test_keys_that_nobody_holds_drop_out(spark):
+    """Two values that change a bit each to the same key, far apart otherwise, and no third one there."""
+    value = random.Random(3).getrandbits(64)
+    other = value ^ 0b11 << 13 ^ 0xFFFF << 30
+    rows = [(signed(v), signed(v), held, key, True) for v in (value, other) for held, key in ((True, v >> 13 & 0x1FFF), (False, value >> 13 & 0x1FFF ^ 1))]
+    df = spark.createDataFrame(rows, "fp long, part long, held boolean, key long, same boolean")
+    assert simhash._shared(df).count() == 0
+
+
 def test_dense_cluster_gives_few_links(spark):
     """All within two bits of one value, so each is linked with each; some strangers share its keys."""
     rng = random.Random(6)
