@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -64,6 +65,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Let go of the shuffle files of steps that df no longer needs, since it is durable or stored.
+
+    Spark deletes them once the driver's JVM has collected what refers to them, and a driver with
+    memory to spare does so late, when several steps' files have piled up on the disks.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of the edges, root being the smallest node of its component.
 

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillwork.llm.common import connected_components, durable, let, stored, table
+from quillwork.llm.common import connected_components, durable, let, release, stored, table
 
 SIMILARITY = 0.8
 SHINGLE = 5
@@ -226,19 +226,25 @@ def similar_lines(members: DataFrame, texts: DataFrame, similarity: float = SIMI
     members: (key, id), each once. texts: (id, line), one row per line.
     """
     marks = durable(with_marks(texts))
+    release(marks)
     parts, links = members.withColumn("part", F.col("id")), None
     for pick in LEADERS:
         lead = parts.groupBy("key").agg(pick(F.struct("id", "part")).alias("lead"), F.min("part").alias("least"), F.max("part").alias("most"))
         led = parts.join(lead.where("least != most").select("key", "lead"), "key")
         stars = led.where("part != lead.part").select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
         found = durable(verified(alike(stars, marks, similarity), texts, similarity))
+        del stars
+        release(found)
         links = found if links is None else links.union(found)
         roots = connected_components(links, rounds=EARLY_ROUNDS).withColumnRenamed("node", "id")
         # the leader has been compared with all others
         parts = durable(led.where("id != lead.id").select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("part")))
     several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
     rest = open_pairs(durable(parts.join(several, "key")), marks, texts, similarity)
-    return connected_components(links.union(durable(verified(rest, texts, similarity))))
+    found = durable(verified(rest, texts, similarity))
+    del rest
+    release(found)
+    return connected_components(links.union(found))
 
 
 def alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -297,7 +303,9 @@ def crowded_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> Da
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(r, doc_id, kept): for each document with such a line, the positions of its lines that stay."""
     members = buckets(docs)
+    release(members)
     firsts = distinct_lines(exploded(docs), durable(members.select("id").distinct()))
+    release(firsts)
     texts = firsts.where("line is not null").select("id", "check", "line")
     # of lines with the same id the one with the lowest check
     twice = texts.groupBy("id").agg(F.min("check").alias("lowest"), F.max("check").alias("most")).where("lowest != most").select("id", "lowest")
@@ -317,11 +325,13 @@ def dedup_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     base = identified(docs.select(row.alias("row"), "doc_id", "text"))
-    kept = kept_lines(base.select("doc_id", "text", "r"), similarity).withColumnsRenamed({"r": "r_kept", "doc_id": "id_kept"})
+    kept = kept_lines(base.select("doc_id", "text", "r"), similarity)
+    # dealt by r for the join and for the window, so the texts are shuffled once
+    by_r = kept.groupBy("r").agg(F.collect_list(F.struct("doc_id", "kept")).alias("found"))
     same = Window.partitionBy("r", "doc_id").orderBy(F.xxhash64("row"))
-    numbered = base.select("row", "r", "doc_id", F.row_number().over(same).alias("nth"))
-    own = (F.col("r") == F.col("r_kept")) & F.col("doc_id").eqNullSafe(F.col("id_kept"))
-    joined = numbered.join(kept, own, "left").withColumn("kept", F.when(F.col("nth") == 1, F.col("kept")))
+    joined = base.select("row", "r", "doc_id").join(by_r, "r", "left").withColumn("nth", F.row_number().over(same))
+    own = F.get(F.filter("found", lambda x: x["doc_id"].eqNullSafe(F.col("doc_id"))), F.lit(0))["kept"]
+    joined = joined.withColumn("kept", F.when(F.col("nth") == 1, own))
     text = F.col("row.text")
     none = F.array().cast("array<int>")
 

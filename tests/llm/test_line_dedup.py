@@ -121,3 +121,19 @@ def test_documents_that_lose_all_lines_go(make_docs):
 
 def test_empty_table(make_docs):
     assert dedup_lines(make_docs([])).count() == 0
+
+
+def test_texts_are_shuffled_once(spark, make_docs):
+    """The join with the lines that stay and the numbering of equal rows share one exchange."""
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "-1")
+    try:
+        out = dedup_lines(spark.createDataFrame([(1, "one line"), (1, "one line"), (None, "two"), (None, "three")], "doc_id long, text string"))
+        kept = sorted((r["doc_id"] or 0, r["text"], r["_line_counts"]["n_kept"]) for r in out.collect())
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(setting, before)
+    assert kept == [(0, "three", 1), (0, "two", 1), (1, "", 0), (1, "one line", 1)]
+    final = plan.split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Exchange hashpartitioning\(r#", final)) == 2  # the texts, the lines that stay
