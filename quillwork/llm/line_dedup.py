@@ -12,10 +12,11 @@ forms are one line from the start, known by a 128-bit hash. Then:
    several parts of it unlinked, with the last, where the sizes of their shingle sets and a bitmap
    of each allow the similarity; no pair that has it fails these bounds. The cost is linear.
 3. The rest. Other lines that these links leave in different parts of a bucket are held against
-   each other by the bounds, and only pairs within them are verified. Lines of crowded buckets meet
-   by the rarest of their shingles instead, of which similar lines share at least one: a prefix
-   filter, which is lossless too. So no link between lines that share a bucket is lost, whatever
-   its size, unless they are in one component already.
+   each other by the bounds, in buckets of up to WHOLE lines, and only pairs within them are
+   verified. What still stands in several parts of a crowded bucket then meets by the rarest of its
+   shingles, of which similar lines share at least one: a prefix filter, which is lossless too. So
+   no link between lines that share a bucket is lost, whatever its size, unless they are in one
+   component already.
 4. Verification. Exact Jaccard similarity of the sets of all shingles, each candidate pair once.
 5. Distributed union-find over the links; the first line of each component (by doc_id, then row
    and position) stays, in the place where it stands.
@@ -57,8 +58,10 @@ HOT_LEAST = 32
 SALTS = 256
 #: Which lines of a bucket all its others are compared with.
 LEADERS = (F.min, F.max)
-#: Buckets with more open lines than this are split by rare shingles; both ways find all links.
+#: Lines of buckets with more open lines than CROWD meet by rare shingles, across buckets too. Before,
+#: those of up to WHOLE are compared in the bucket by their marks alone, which joins most parts.
 CROWD = 64
+WHOLE = 2048
 #: Bits of the candidates' bitmap for each of them, and at most; a part holds 32,768 bits.
 BITS_EACH = 16
 MOST_PARTS = 8192
@@ -158,13 +161,33 @@ def maybe_similar(x: Column, y: Column, similarity: float) -> Column:
     Two sets of Jaccard similarity s or more have sizes of ratio s or more and differ in at most
     (1 - s) / (1 + s) of the sum of their sizes.
     """
-    sizes = F.least(x["size"], y["size"]) >= F.lit(similarity - EPSILON) * F.greatest(x["size"], y["size"])
-    differing = sum((F.bit_count(F.get(x["map"], F.lit(i)).bitwiseXOR(F.get(y["map"], F.lit(i)))) for i in range(MAPS)), F.lit(0))
-    return sizes & (differing <= F.lit((1 - similarity) / (1 + similarity) + EPSILON) * (x["size"] + y["size"]))
+    return within(words(x), words(y), similarity)
+
+
+def words(marks: Column) -> list[Column]:
+    """The number of shingles and the parts of the bitmap, none of them null."""
+    return [F.coalesce(marks["size"], F.lit(0)), *[F.coalesce(F.get(marks["map"], F.lit(i)), F.lit(0)) for i in range(MAPS)]]
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """rows with the words of their marks as columns w0, w1, ...: joins compare these in short compiled code."""
+    return rows.select(*[c for c in rows.columns if c != "marks"], *[w.alias(f"w{i}") for i, w in enumerate(words(F.col("marks")))])
+
+
+def flat_words(side: str) -> list[Column]:
+    return [F.col(f"{side}.w{i}") for i in range(MAPS + 1)]
+
+
+def within(x: list[Column], y: list[Column], similarity: float) -> Column:
+    sizes = F.least(x[0], y[0]) >= F.lit(similarity - EPSILON) * F.greatest(x[0], y[0])
+    differing = sum((F.bit_count(m.bitwiseXOR(n)) for m, n in zip(x[1:], y[1:], strict=True)), F.lit(0))
+    return sizes & (differing <= F.lit((1 - similarity) / (1 + similarity) + EPSILON) * (x[0] + y[0]))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Those pairs (a, b) whose exact Jaccard similarity is high enough. texts: (id, line)."""
+    """Those pairs (a, b), each once, whose exact Jaccard similarity is high enough. texts: (id, line)."""
+    # so many parts stay, since pairs take few bytes and much work
+    pairs = pairs.repartition(4 * pairs.sparkSession.sparkContext.defaultParallelism, "a", "b").distinct()
     left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
     pairs = pairs.join(left, "a").join(right, "b").select("a", "b", sample(F.col("line_a")).alias("x"), sample(F.col("line_b")).alias("y"))
@@ -239,12 +262,21 @@ def similar_lines(members: DataFrame, texts: DataFrame, similarity: float = SIMI
         roots = connected_components(links, rounds=EARLY_ROUNDS).withColumnRenamed("node", "id")
         # the leader has been compared with all others
         parts = durable(led.where("id != lead.id").select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("part")))
-    several = parts.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
-    rest = open_pairs(durable(parts.join(several, "key")), marks, texts, similarity)
-    found = durable(verified(rest, texts, similarity))
-    del rest
+    rest = durable(several(parts))
+    small = rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= WHOLE).select("key")
+    found = durable(verified(few_pairs(rest.join(small, "key"), marks, similarity), texts, similarity))
+    release(found)
+    roots = connected_components(links.union(found))
+    joined = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "part").alias("part"))
+    found = durable(verified(open_pairs(joined, marks, texts, similarity), texts, similarity))
     release(found)
-    return connected_components(links.union(found))
+    return roots if found.isEmpty() else connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
+
+
+def several(members: DataFrame) -> DataFrame:
+    """Those rows (key, id, part) whose key has more than one part."""
+    keys = members.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
+    return members.join(keys, "key")
 
 
 def alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
@@ -255,49 +287,43 @@ def alike(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
 
 
 def open_pairs(members: DataFrame, marks: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: the pairs within a bucket that may be links between two of its parts.
-
-    A bucket of CROWD lines or fewer gives its pairs as they are, which is linear in the number of
-    buckets. Pairs of lines in crowded ones come from crowded_pairs.
-    """
-    crowded = durable(members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"))
-    few = members.join(crowded, "key", "left_anti")
-    many = durable(members.join(crowded, "key").select("id", "part").distinct())
-    found = few_pairs(few, marks, similarity)
-    return found.union(alike(crowded_pairs(many, texts, similarity), marks, similarity)).distinct()
+    """(a, b), a < b: the pairs of lines of crowded buckets that may be links between two parts."""
+    crowded = members.groupBy("key").agg(F.count("*").alias("n"), F.min("part").alias("least"), F.max("part").alias("most"))
+    crowded = crowded.where((F.col("n") > CROWD) & (F.col("least") != F.col("most"))).select("key")
+    return crowded_pairs(members.join(crowded, "key").select("id", "part").distinct(), marks, texts, similarity)
 
 
 def few_pairs(members: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     """Pairs of the same bucket and of different parts whose marks allow the similarity."""
-    names = {c: f"{c}_b" for c in ("id", "part", "marks")}
-    every = members.join(marks, "id")
-    near = (F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & maybe_similar(F.col("marks"), F.col("marks_b"), similarity)
-    met = every.join(every.select("key", *names).withColumnsRenamed(names), "key").where(near)
-    return met.select(F.col("id").alias("a"), F.col("id_b").alias("b"))
+    # so many parts stay, since pairs weigh more than bytes; both sides are the same plan and share them
+    every = flat(members.join(marks, "id")).repartition(4 * members.sparkSession.sparkContext.defaultParallelism, "key")
+    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & within(flat_words("x"), flat_words("y"), similarity)
+    met = every.alias("x").join(every.alias("y"), F.col("x.key") == F.col("y.key")).where(near)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def crowded_pairs(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: pairs of members (id, part) of different parts that share a rare shingle.
+def crowded_pairs(members: DataFrame, marks: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: pairs of members (id, part) of different parts that share a rare shingle and whose marks allow the similarity.
 
     Two sets of similarity s share one of the n - ceil(s * n) + 1 first of each one's n shingles,
     in any order that is the same for all; here the rarest among the members come first. The first
-    one that they share leaves enough behind it to reach the overlap that s asks for.
+    one that they share leaves enough behind it to reach the overlap that s asks for. The marks
+    are compared in the join, so that pairs beyond the bounds give no rows.
     """
-    hashes = members.join(texts, "id").select("id", "part", F.explode(sample(F.col("line"))).alias("h"))
+    hashes = durable(members.join(texts, "id").select("id", "part", F.explode(sample(F.col("line"))).alias("h")))
     counts = hashes.groupBy("h").agg(F.count("*").alias("n"))
     ranked = hashes.join(counts, "h").groupBy("id", "part").agg(F.array_sort(F.collect_list(F.struct("n", "h"))).alias("all"))
     size = F.size("all")
     first = F.slice("all", F.lit(1), size - F.ceil(F.lit(similarity - EPSILON) * size).cast("int") + 1)
+    placed = F.transform(first, lambda s, pos: F.struct(s["n"].alias("n"), s["h"].alias("h"), (size - pos).alias("left")))
     # a shingle of one line only meets no other
-    heads = ranked.select("id", "part", size.alias("size"), F.posexplode(first).alias("pos", "s")).where("s.n > 1")
-    heads = heads.select("id", "part", "size", "pos", F.col("s.h").alias("h"))
-    names = {c: f"{c}_b" for c in ("id", "part", "size", "pos")}
-    other = heads.withColumnsRenamed(names)
-    reach = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b"))
-    enough = reach >= F.lit(similarity / (1 + similarity) - EPSILON) * (F.col("size") + F.col("size_b"))
-    ratio = F.least("size", "size_b") >= F.lit(similarity - EPSILON) * F.greatest("size", "size_b")
-    met = heads.join(other, "h").where((F.col("id") < F.col("id_b")) & (F.col("part") != F.col("part_b")) & ratio & enough)
-    return met.select(F.col("id").alias("a"), F.col("id_b").alias("b")).distinct()
+    heads = durable(flat(ranked.select("id", "part", F.filter(placed, lambda s: s["n"] > 1).alias("heads")).join(marks, "id")))
+    heads = heads.select("*", F.explode("heads").alias("s")).select("*", "s.h", "s.left").drop("heads", "s")
+    enough = F.least("x.left", "y.left") >= F.lit(similarity / (1 + similarity) - EPSILON) * (F.col("x.w0") + F.col("y.w0"))
+    near = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & enough & within(flat_words("x"), flat_words("y"), similarity)
+    # both sides are the same plan, so they share one exchange
+    met = heads.alias("x").join(heads.alias("y"), F.col("x.h") == F.col("y.h")).where(near)
+    return met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

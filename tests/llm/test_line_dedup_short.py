@@ -128,3 +128,26 @@ def test_crowded_bucket_is_split_without_loss(spark):
     got = {(r["a"], r["b"]) for r in pairs.collect()}
     want = {(i, j) for j in range(len(lines)) for i in range(j) if jaccard(lines[i], lines[j]) >= 0.8}
     assert want and want <= got and len(got) < 2 * len(lines)
+
+
+def test_joined_parts_give_no_rows_by_rare_shingles(spark):
+    """A dense group in two crowded buckets: the bounds are held in the join, which makes each pair's rows only if they allow it."""
+    rng = random.Random(17)
+    half, lines = sentence(rng, 20), []
+    for _ in range(80):
+        line = (half + " " + sentence(rng, 20)).split()
+        near = list(line)
+        near[rng.randrange(len(near))] = sentence(rng, 1)
+        lines += [" ".join(line), " ".join(near)]
+    texts = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    marks = line_dedup.with_marks(texts)
+    members = texts.select(F.explode(F.array(F.lit(1), F.lit(2)).cast("array<bigint>")).alias("key"), "id", F.col("id").alias("part"))
+    similar = {(i, j) for j in range(len(lines)) for i in range(j) if jaccard(lines[i], lines[j]) >= 0.8}
+    in_buckets = {(r["a"], r["b"]) for r in line_dedup.few_pairs(members, marks, 0.8).collect()}
+    assert similar and similar <= in_buckets and len(in_buckets) < 2 * len(lines)
+    met = line_dedup.open_pairs(members, marks, texts, 0.8)
+    joins = [x for x in met._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join Inner" in x and "NOT (part" in x]
+    assert joins and all("bit_count" in x for x in joins)
+    # lines that the buckets have joined don't meet again
+    joined = members.withColumn("part", F.col("id") - F.col("id") % 2)
+    assert {(r["a"], r["b"]) for r in line_dedup.open_pairs(joined, marks, texts, 0.8).collect()} & similar == set()
