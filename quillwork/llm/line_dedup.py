@@ -263,16 +263,27 @@ def similar_lines(members: DataFrame, texts: DataFrame, similarity: float = SIMI
         # the leader has been compared with all others
         parts = durable(led.where("id != lead.id").select("key", "id").join(roots, "id", "left").select("key", "id", F.coalesce("root", "id").alias("part")))
     rest = durable(several(parts))
-    small = rest.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") <= WHOLE).select("key")
-    found = durable(verified(few_pairs(rest.join(small, "key"), marks, similarity), texts, similarity))
+    small = F.col("n") <= WHOLE
+    sizes = rest.groupBy("key").agg(F.count("*").alias("n"))
+    found = durable(verified(few_pairs(rest.join(sizes.where(small).select("key"), "key"), marks, similarity), texts, similarity))
     release(found)
     roots = connected_components(links.union(found))
-    joined = rest.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "part").alias("part"))
+    # all pairs of the others have been held against each other
+    large = durable(rest.join(sizes.where(~small).select("key"), "key"))
+    if large.isEmpty():
+        return roots
+    joined = large.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "part").alias("part"))
     found = durable(verified(open_pairs(joined, marks, texts, similarity), texts, similarity))
     release(found)
     return roots if found.isEmpty() else connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
 
+def once_each(members: DataFrame) -> DataFrame:
+    """members (key, id) without keys that hold the same lines as another, by 128 bits of hash."""
+    sets = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("y"))
+    return members.join(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key")
+
+
 def several(members: DataFrame) -> DataFrame:
     """Those rows (key, id, part) whose key has more than one part."""
     keys = members.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least != most").select("key")
@@ -330,6 +341,7 @@ def kept_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(r, doc_id, kept): for each document with such a line, the positions of its lines that stay."""
     members = buckets(docs)
     release(members)
+    members = durable(once_each(members))
     firsts = distinct_lines(exploded(docs), durable(members.select("id").distinct()))
     release(firsts)
     texts = firsts.where("line is not null").select("id", "check", "line")
