@@ -44,6 +44,12 @@ SHORT = 64
 SHORT_BANDS = 8
 SHORT_ROWS = 3
 TOP, LEAST = (1 << 63) - 1, -(1 << 63)
+#: Of lines with ENOUGH shingles that start with every fourth character, bands hold those only; lines
+#: with fewer have bands of all shingles. From FEW to ENOUGH, and up to 2 * SHORT characters, they have both.
+SOME = "[" + "".join(f"\\x{c:02x}" for c in range(1, 128, 4)) + "\\x80-\\x{10ffff}]"
+FEW, ENOUGH = 40, 64
+#: They have more bands, of ROWS minima each, since edits change a varying share of these shingles.
+SOME_BANDS = 16
 #: Parts of 64 bits of a line's bitmap of shingles.
 MAPS = 16
 #: Rounds of the union-find between the steps; what they don't join yet is only compared again.
@@ -92,16 +98,27 @@ def sample(line: Column) -> Column:
     return F.sort_array(F.array_distinct(every))
 
 
+def thinned(line: Column) -> Column:
+    """Sorted distinct hashes of those of a line's shingles that start with a character of SOME."""
+    found = F.regexp_extract_all(line, F.lit(f"(?s)(?=({SOME}.{{{SHINGLE - 1}}})){SOME}"), F.lit(1))
+    return F.sort_array(F.array_distinct(F.transform(found, lambda x: F.xxhash64(x))))
+
+
 def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
-    """lines with ``bands``, the band keys of each line, of one kind or of both.
+    """lines with ``bands``, the band keys of each line, of one kind or of several.
 
     Each step is a column that the next reads several times, which keeps its work in compiled code.
     """
-    out = lines.withColumn("_h", sample(F.col(line)))
+    none = F.array().cast("array<bigint>")
+    text = F.col(line)
+    out = lines.withColumn("_some", F.when(F.length(text) > SHORT + SHINGLE - 1, thinned(text)).otherwise(none))
+    every = (F.length(text) <= 2 * SHORT) | (F.size("_some") < ENOUGH)
+    out = out.withColumn("_h", F.when(every, sample(text)).otherwise(none))
     other = F.transform("_h", lambda h: F.xxhash64(F.lit("again"), h))
-    out = out.withColumn("_again", F.when(F.size("_h") <= SHORT, F.sort_array(other)))
-    long, short = F.size("_h") > int(SIMILARITY * SHORT), F.size("_h") <= SHORT
+    out = out.withColumn("_again", F.when(F.size("_h").between(1, SHORT), F.sort_array(other)))
+    long, short = F.size("_h") > int(SIMILARITY * SHORT), F.size("_h").between(1, SHORT)
     rings = [("_h", BANDS, ROWS, long), ("_h", SHORT_BANDS, SHORT_ROWS, short), ("_again", SHORT_BANDS, SHORT_ROWS, short)]
+    rings.append(("_some", SOME_BANDS, ROWS, F.size("_some") >= FEW))
     starts = [[F.lit(LEAST + 2 * (TOP // n) * i) for i in range(n)] for _, n, _, _ in rings]
     # the hashes with the starts among them, and the ring on which they go on after the last
     steps = {}
@@ -116,7 +133,6 @@ def with_bands(lines: DataFrame, line: str = "line") -> DataFrame:
     def keys(k: int, rows: int) -> Column:
         return F.transform(f"_before{k}", lambda p, i: F.xxhash64(F.lit(k), i, *[F.get(f"_ring{k}", p + j) for j in range(rows)]))
 
-    none = F.array().cast("array<bigint>")
     found = [F.when(used, keys(k, rows)).otherwise(none) for k, (_, _, rows, used) in enumerate(rings)]
     return out.select(*[F.col(f"`{c}`") for c in lines.columns], F.array_distinct(F.concat(*found)).alias("bands"))
 

@@ -1,10 +1,11 @@
-"""Crowded buckets that were compared whole, keys that hold the same lines."""
+"""Crowded buckets that were compared whole, keys that hold the same lines, bands of some of the shingles."""
 
 import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_line_dedup import jaccard, sentence
+from test_line_dedup import jaccard, missed, sentence
+from test_line_dedup_short import one_letter
 
 from quillwork.llm import line_dedup
 
@@ -42,3 +43,22 @@ def test_keys_of_the_same_lines_stay_once(spark):
     rows = [(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 11), (3, 12), (4, 12)]
     got = line_dedup.once_each(spark.createDataFrame(rows, "key long, id long"))
     assert sorted(map(tuple, got.collect())) == [(1, 10), (1, 11), (3, 10), (3, 11), (3, 12), (4, 12)]
+
+
+def test_edits_are_found_on_both_sides_of_each_kind_of_bands(spark):
+    """One and three edits in lines of 60 to 500 characters, texts with and without characters of SOME."""
+    rng, pairs = random.Random(29), []
+    while len(pairs) < 500:
+        line = sentence(rng, rng.randint(8, 70))
+        if len(pairs) % 5 == 0:
+            line = line.translate(str.maketrans("aeimqu", "bcdfgh"))
+        elif len(pairs) % 5 == 1:
+            line = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(rng.randint(50, 200)))
+        other = line
+        for _ in range(rng.choice([1, 3])):
+            other = one_letter(rng, other)
+        if other != line and jaccard(line, other) >= 0.8:
+            pairs.append((line, other))
+    assert missed(spark, pairs) <= 5
+    kinds = spark.createDataFrame([(a,) for a, _ in pairs], "line string").select(F.size(line_dedup.thinned(F.col("line"))).alias("n"))
+    assert kinds.where(F.col("n") >= line_dedup.ENOUGH).count() > 50 and kinds.where(F.col("n") < line_dedup.FEW).count() > 50
