@@ -3,17 +3,18 @@
 Lines are compared in their normal form, lower-cased and without outer white space. Equal normal
 forms are one line from the start, known by a 128-bit hash. Then:
 
-1. Signatures. All shingles of SHINGLE characters are hashed and sorted. Each band has as many
+1. Signatures. All shingles of SHINGLE characters are hashed and sorted; of long lines only those
+   that start with every fourth character, where these are ENOUGH. Each band has as many
    minima as it has rows: the smallest hashes from the band's start on the ring of hash values
    (one-permutation MinHash). Long lines have BANDS bands of ROWS rows, so that chance meetings
-   stay rare; short ones have SHORT_BANDS of SHORT_ROWS from each of two rings. Lines whose
+   stay rare, and SOME_BANDS where only some shingles are hashed; short ones have SHORT_BANDS of SHORT_ROWS from each of two rings. Lines whose
    number of shingles allows partners of both kinds have both.
 2. Stars. Every line of a bucket is compared with the bucket's first line, and if that leaves
    several parts of it unlinked, with the last, where the sizes of their shingle sets and a bitmap
    of each allow the similarity; no pair that has it fails these bounds. The cost is linear.
 3. The rest. Other lines that these links leave in different parts of a bucket are held against
    each other by the bounds, in buckets of up to WHOLE lines, and only pairs within them are
-   verified. What still stands in several parts of a crowded bucket then meets by the rarest of its
+   verified. What stands in a larger bucket that still has several parts then meets by the rarest of its
    shingles, of which similar lines share at least one: a prefix filter, which is lossless too. So
    no link between lines that share a bucket is lost, whatever its size, unless they are in one
    component already.
@@ -64,8 +65,8 @@ HOT_LEAST = 32
 SALTS = 256
 #: Which lines of a bucket all its others are compared with.
 LEADERS = (F.min, F.max)
-#: Lines of buckets with more open lines than CROWD meet by rare shingles, across buckets too. Before,
-#: those of up to WHOLE are compared in the bucket by their marks alone, which joins most parts.
+#: Open lines of buckets of up to WHOLE are all compared in the bucket by their marks. Those of larger
+#: ones meet by rare shingles, across buckets too; open_pairs alone leaves out those of up to CROWD.
 CROWD = 64
 WHOLE = 2048
 #: Bits of the candidates' bitmap for each of them, and at most; a part holds 32,768 bits.
